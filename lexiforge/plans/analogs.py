@@ -140,10 +140,13 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("quantity"))
     step = F.concat(F.lit("Use "), F.col("p_name"), F.lit(" x"), F.col("l_quantity").cast("int").cast("string"))
     per_order = (lines.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(n.alias("n"), use.alias("use"), req.alias("req"),
-                                             prod.alias("prod"), step.alias("step"),
+        # line order: (linenumber, partkey, suppkey, quantity, price) is a total order
+        F.array_sort(F.collect_list(F.struct(n.alias("n"), F.col("l_partkey").alias("pk"),
                                              F.col("l_suppkey").alias("supp"),
-                                             F.col("l_partkey").alias("pk")))).alias("ls")))
+                                             F.col("l_quantity").alias("qty"),
+                                             F.col("l_extendedprice").alias("price"),
+                                             use.alias("use"), req.alias("req"),
+                                             prod.alias("prod"), step.alias("step")))).alias("ls")))
     v = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
     ls = F.coalesce(F.col("ls"), F.array().cast(per_order.schema["ls"].dataType))
     return v.select(
