@@ -52,7 +52,12 @@ def ordinal_lines(col: Column | str, start: int = 0, indent: str = "") -> Column
 
     ``start=0`` gives the rulings form, ``start=1, indent="  "`` the steps form.
     """
-    lines = split_lines(col)
+    return number_lines(split_lines(col), start, indent)
+
+
+def number_lines(lines: Column | str, start: int = 0, indent: str = "") -> Column:
+    """P-15 over an already split ``array<string>`` (split once, render twice)."""
+    lines = _c(lines)
     return F.array_join(
         F.transform(lines, lambda x, i: F.concat(F.lit(indent), (i + start).cast("string"),
                                                    F.lit(". "), x)),

@@ -148,7 +148,11 @@ def fuzzy_best_match(names: DataFrame, queries: DataFrame, key: str = "uuid",
     if not qrows:
         return spark.createDataFrame([], f"query_id {qt}, match_key {kt}, match_name string, score double")
     schema = f"query_id {qt}, match_key {kt}, match_name string, score double"
-    local = names.select(key, name).mapInPandas(_best_per_query(qrows, key, name), schema)
+    # Score each distinct name once, carrying its lowest key: exact, since a
+    # tie between names resolves to the lowest key over all of them. The
+    # min-per-name aggregate is partial, so a hot name costs nothing extra.
+    distinct = names.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias(key))
+    local = distinct.select(key, name).mapInPandas(_best_per_query(qrows, key, name), schema)
     best = (local.groupBy("query_id")
             .agg(F.min_by(F.struct("match_key", "match_name", "score"),
                           F.struct((-F.col("score")).alias("s"), F.col("match_key").alias("k")))

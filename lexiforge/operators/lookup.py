@@ -45,6 +45,23 @@ def first_by_name(cards: DataFrame, requests: DataFrame, request_col: str,
     return requests.join(firsts, requests[request_col] == firsts[name_col], "inner")
 
 
+def identity_predicate(identity: str, mode: str = "contains", col: str = "colorIdentity"):
+    return code_match(col, color_identity_get(identity), mode)
+
+
+def mana_cost_predicate(mana_cost: str, regex: bool = False, col: str = "manaCost"):
+    return contains_regex(col, mana_cost) if regex else contains_ci(col, mana_cost)
+
+
+def color_predicate(color: str, col: str = "colors"):
+    return contains_ci(col, color_get(color))
+
+
+def type_predicate(card_type: str, word: bool = False, col: str = "type"):
+    t = card_type_get(card_type)
+    return contains_word(col, t) if word else contains_ci(col, t)
+
+
 def cards_by_color_identity(cards: DataFrame, identity: str, mode: str = "contains",
                             col: str = "colorIdentity") -> DataFrame:
     """E-5: case-insensitive substring of the canonical code (default)."""
@@ -77,6 +94,18 @@ def cards_by_cmc(cards: DataFrame, cmc: int, col: str = "cmc") -> DataFrame:
     return cards.where(F.col(col) == cmc)
 
 
+def multi_search(cards: DataFrame, searches: list[tuple[dict[str, str], F.Column]],
+                 keep: list[str]) -> DataFrame:
+    """Many searches in one pass: each row yields one output row per search it
+    matches, tagged with that search's labels. One scan and one narrow
+    ``explode`` instead of a union of filtered copies of the input."""
+    entries = [F.when(pred, F.struct(*[F.lit(v).alias(k) for k, v in labels.items()]))
+               for labels, pred in searches]
+    label_cols = list(searches[0][0])
+    return (cards.select(*keep, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_m"))
+            .select(*[F.col(f"_m.{k}") for k in label_cols], *keep))
+
+
 def distinct_sorted(df: DataFrame, col: str = "cmc") -> DataFrame:
     """A-2 + T-4: distinct non-null values, ascending."""
     return df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)

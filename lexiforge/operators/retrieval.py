@@ -54,19 +54,27 @@ class SearchIndex:
 
 
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "content",
-                vectors: DataFrame | None = None) -> SearchIndex:
-    """R-1/A-7: postings, document frequencies and the two corpus scalars.
-
-    The scalars come from one aggregate row (not a driver-side pass over data).
+                vectors: DataFrame | None = None, persist: bool = True) -> SearchIndex:
+    """R-1/A-7: postings (with document length), document frequencies and the
+    two corpus scalars.
+
+    The corpus is tokenised once. With ``persist`` (the default) postings and
+    document frequencies are written to the shared checkpoint folder and read
+    back, so every later search scans Parquet instead of re-tokenising; the
+    scalars come from aggregates over the written postings.
     """
+    from lexiforge.session import materialize
     toks = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
-    toks = toks.withColumn("dl", F.size("_t"))
-    postings = (toks.select("id", "dl", F.explode("_t").alias("token"))
+    postings = (toks.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
                 .groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
+    if persist:
+        postings = materialize(postings, "postings")
     token_df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    row = toks.agg(F.count(F.lit(1)).alias("n"),
-                   F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg")).first()
-    return SearchIndex(docs, postings, token_df, int(row["n"]), float(row["avg"] or 0.0), vectors)
+    if persist:
+        token_df = materialize(token_df, "token_df")
+    n_docs = docs.count()
+    avg = postings.select("id", "dl").distinct().agg(F.avg("dl").alias("avg")).first()["avg"]
+    return SearchIndex(docs, postings, token_df, int(n_docs), float(avg or 0.0), vectors)
 
 
 def idf(df: Column, n_docs: int) -> Column:
@@ -82,8 +90,12 @@ def bm25_candidates(index: SearchIndex, queries: DataFrame, query_id: str = "que
     qt = (queries.select(F.col(query_id).alias("query_id"),
                          F.explode(word_tokens(F.col(text))).alias("token"))
           .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qn")))
+    # The size check runs on the query tokens alone (cheap); the join with
+    # document frequencies only removes rows.
+    _, small = bounded_broadcast(qt, MAX_BROADCAST_QUERIES * 64)
     qt = qt.join(index.token_df, "token", "inner").withColumn("idf", idf(F.col("df"), index.n_docs))
-    qt, _ = bounded_broadcast(qt, MAX_BROADCAST_QUERIES * 64)
+    if small:
+        qt = F.broadcast(qt)
     c = F.col("tf") / (1 - B + B * F.col("dl") / F.lit(index.avg_len or 1.0))
     part = F.col("qn") * F.col("idf") * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)
     return (index.postings.join(qt, "token", "inner")

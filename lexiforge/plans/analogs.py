@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.operators.canonical import canonical_rows, typed_cards
 from lexiforge.operators.nest import ComboTables, shred_variants
+from lexiforge.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,8 +101,10 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cards(spark: SparkSession, sf_dir: str, compat: bool = False) -> DataFrame:
-    """Canonical, typed card relation."""
-    return typed_cards(canonical(spark, sf_dir), compat=compat)
+    """Canonical, typed card relation. The canonical rows are written once
+    (the filtered-cards sink, S-3) and read back typed (S-4), so the several
+    branches of a query scan a small table instead of re-ranking printings."""
+    return typed_cards(materialize(canonical(spark, sf_dir), "cards"), compat=compat)
 
 
 # --- combos ------------------------------------------------------------------
@@ -170,7 +173,8 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combo_tables(spark: SparkSession, sf_dir: str) -> ComboTables:
-    return shred_variants(variants(spark, sf_dir))
+    """The nested source feeds four branches: land it once (S-2), then shred."""
+    return shred_variants(materialize(variants(spark, sf_dir), "variants"))
 
 
 # --- rules (static QA tables) ------------------------------------------------

@@ -64,12 +64,12 @@ def q_face_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_ordinal_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.table(spark, d, "documents")
+    docs = A.table(spark, d, "documents").select("doc_id", X.split_lines("text").alias("lines"))
     return docs.select(
         "doc_id",
-        F.size(X.split_lines("text")).cast("bigint").alias("n_lines"),
-        X.ordinal_lines("text", start=0).alias("rulings_form"),
-        X.ordinal_lines("text", start=1, indent="  ").alias("steps_form"))
+        F.size("lines").cast("bigint").alias("n_lines"),
+        X.number_lines("lines", start=0).alias("rulings_form"),
+        X.number_lines("lines", start=1, indent="  ").alias("steps_form"))
 
 
 def q_null_predicates(spark: SparkSession, d: str) -> DataFrame:
@@ -105,29 +105,18 @@ CODE_SEARCHES = [("identity", "WU"), ("identity", "WB"), ("identity", "G"),
 
 
 def q_code_contains(spark: SparkSession, d: str) -> DataFrame:
-    cards = A.cards(spark, d)
-    parts = []
-    for kind, term in CODE_SEARCHES:
-        if kind == "identity":
-            m = lookup.cards_by_color_identity(cards, term)
-        elif kind == "mana_cost":
-            m = lookup.cards_by_mana_cost(cards, term)
-        else:
-            m = lookup.cards_by_color(cards, term)
-        parts.append(m.select(F.lit(kind).alias("search"), F.lit(term).alias("term"), "uuid"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pred = {"identity": lookup.identity_predicate, "mana_cost": lookup.mana_cost_predicate,
+            "color": lookup.color_predicate}
+    searches = [({"search": kind, "term": term}, pred[kind](term)) for kind, term in CODE_SEARCHES]
+    return lookup.multi_search(A.cards(spark, d), searches, keep=["uuid"])
 
 
 def q_type_contains(spark: SparkSession, d: str) -> DataFrame:
-    cards = A.cards(spark, d)
-    s = [lookup.cards_by_type(cards, "land").select(F.lit("type_substring").alias("search"), "uuid"),
-         lookup.cards_by_type(cards, "Land", word=True).select(F.lit("type_word").alias("search"), "uuid"),
-         cards.where(P.contains_cs("name", "//")).select(F.lit("split_name").alias("search"), "uuid"),
-         cards.where(P.contains_cs("name", "bolt")).select(F.lit("name_bolt").alias("search"), "uuid")]
-    return s[0].unionByName(s[1]).unionByName(s[2]).unionByName(s[3])
+    searches = [({"search": "type_substring"}, lookup.type_predicate("land")),
+                ({"search": "type_word"}, lookup.type_predicate("Land", word=True)),
+                ({"search": "split_name"}, P.contains_cs("name", "//")),
+                ({"search": "name_bolt"}, P.contains_cs("name", "bolt"))]
+    return lookup.multi_search(A.cards(spark, d), searches, keep=["uuid"])
 
 
 def q_distinct_sorted(spark: SparkSession, d: str) -> DataFrame:
