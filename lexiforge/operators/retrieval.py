@@ -54,14 +54,16 @@ class SearchIndex:
 
 
 def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "content",
-                vectors: DataFrame | None = None, persist: bool = True) -> SearchIndex:
+                vectors: DataFrame | None = None, persist: bool = False) -> SearchIndex:
     """R-1/A-7: postings (with document length), document frequencies and the
     two corpus scalars.
 
-    The corpus is tokenised once. With ``persist`` (the default) postings and
-    document frequencies are written to the shared checkpoint folder and read
-    back, so every later search scans Parquet instead of re-tokenising; the
-    scalars come from aggregates over the written postings.
+    Within one search plan the postings feed both the document frequencies
+    and the scoring join; Spark reuses that exchange, so the corpus is
+    tokenised once per plan. The scalars come from one narrow aggregate (no
+    shuffle). With ``persist`` the postings and frequencies are written to the
+    shared checkpoint folder first, for an index searched many times (or use
+    :func:`save_index`).
     """
     from lexiforge.session import materialize
     toks = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
@@ -72,9 +74,10 @@ def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "content",
     token_df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     if persist:
         token_df = materialize(token_df, "token_df")
-    n_docs = docs.count()
-    avg = postings.select("id", "dl").distinct().agg(F.avg("dl").alias("avg")).first()["avg"]
-    return SearchIndex(docs, postings, token_df, int(n_docs), float(avg or 0.0), vectors)
+    dl = F.size(word_tokens(F.col(text_col)))
+    row = docs.select(dl.alias("dl")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg")).first()
+    return SearchIndex(docs, postings, token_df, int(row["n"]), float(row["avg"] or 0.0), vectors)
 
 
 def idf(df: Column, n_docs: int) -> Column:

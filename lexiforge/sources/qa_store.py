@@ -1,0 +1,3 @@
+"""QA corpus store (S-5..S-7): one Parquet dataset partitioned by group."""
+
+from lexiforge.operators.corpus import corpus_groups, load_corpus, write_corpus  # noqa: F401
