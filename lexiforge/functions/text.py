@@ -102,6 +102,15 @@ def train_tokens(col: Column | str) -> Column:
     return F.regexp_extract_all(_c(col), F.lit(TRAIN_TOKEN), 0)
 
 
+def explode_computed(arr: Column) -> Column:
+    """``explode`` for an array computed in the same projection (tokens,
+    fanned-out pairs). A plain inner ``explode`` makes Catalyst infer a
+    ``size(arr) > 0`` filter *below* the projection, which evaluates the whole
+    array expression (a regex over the document, every template) a second
+    time. ``explode_outer`` infers nothing; callers drop its null row."""
+    return F.explode_outer(arr)
+
+
 def md5_bucket(col: Column | str, buckets: int) -> Column:
     """Stable bucket in ``[0, buckets)`` from the first 32 bits of md5 of the
     key's text. The same integer is computable in any SQL engine, and it does

@@ -1,6 +1,6 @@
 """One canonical row per entity (S-1, S-4, E-2, J-1, J-2, W-1, A-1, P-1..P-6).
 
-Plan shape (see ``tests/test_plans.py``):
+Plan shape (checked in ``tests/test_canonical.py``):
 
   legalities --filter(fmt = legal)--> distinct keys (partial aggregate map-side)
   printings  --left_semi(keys)--> WindowGroupLimit(partial, per map task)
@@ -51,7 +51,11 @@ def aggregate_rulings(rulings: DataFrame, keys: DataFrame | None = None, key: st
     rulings are semi-filtered to those keys first, so only needed groups are
     aggregated (J-2).
     """
-    r = rulings.select(key, text)
+    # A collected list shrinks nothing map-side: hash by key first (the one
+    # shuffle the aggregate needs anyway) so lists are built by parallel
+    # reducers. Done before the semi-join, a sort-merge semi-join reuses this
+    # partitioning and a broadcast one keeps it: one shuffle of rulings.
+    r = rulings.select(key, text).repartition(key)
     if keys is not None:
         r = r.join(keys, key, "left_semi")
     return r.groupBy(key).agg(

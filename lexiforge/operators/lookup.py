@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.codes import card_type_get, color_get, color_identity_get
+from lexiforge.functions.text import explode_computed
 from lexiforge.functions.predicates import code_match, contains_ci, contains_regex, contains_word
 
 
@@ -102,7 +103,8 @@ def multi_search(cards: DataFrame, searches: list[tuple[dict[str, str], F.Column
     entries = [F.when(pred, F.struct(*[F.lit(v).alias(k) for k, v in labels.items()]))
                for labels, pred in searches]
     label_cols = list(searches[0][0])
-    return (cards.select(*keep, F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_m"))
+    return (cards.select(*keep, explode_computed(F.filter(F.array(*entries), lambda x: x.isNotNull())).alias("_m"))
+            .where(F.col("_m").isNotNull())
             .select(*[F.col(f"_m.{k}") for k in label_cols], *keep))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions.codes import color_list_delimited
 from lexiforge.functions.predicates import not_empty_keep_null
 from lexiforge.functions.text import (
-    expand_abbreviations, face_name, ordinal_lines, split_lines,
+    expand_abbreviations, explode_computed, face_name, ordinal_lines, split_lines,
 )
 from lexiforge.operators.nest import ComboTables, nest_combos
 from lexiforge.schemas import (
@@ -80,7 +80,8 @@ def fanout(df: DataFrame, templates: list[QaTemplate], keep: list[str] | None =
                          answer.alias("answer"))
             entries.append(F.when(pred, s))
     arr = F.filter(F.array(*entries), lambda x: x.isNotNull())
-    return (df.select(*keep, F.explode(arr).alias("_qa"))
+    return (df.select(*keep, explode_computed(arr).alias("_qa"))
+            .where(F.col("_qa").isNotNull())
             .select(*keep, "_qa.builder", "_qa.question", "_qa.answer"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.predicates import compile_filters
-from lexiforge.functions.text import word_tokens
+from lexiforge.functions.text import WORD_TOKEN, explode_computed, word_tokens
 from lexiforge.operators.broadcast import bounded_broadcast
 from lexiforge.schemas import (
     DEFAULT_TOP_K, DOC_LABELS, RESULT_CMC, RESULT_IDENTITY, RESULT_LOYALTY, RESULT_MANA,
@@ -67,17 +67,34 @@ def build_index(docs: DataFrame, id_col: str = "id", text_col: str = "content",
     """
     from lexiforge.session import materialize
     toks = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
-    postings = (toks.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("token"))
+    postings = (toks.select("id", F.size("_t").alias("dl"), explode_computed("_t").alias("token"))
+                .where(F.col("token").isNotNull())
                 .groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf")))
     if persist:
         postings = materialize(postings, "postings")
-    token_df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    token_df = document_frequencies(docs, text_col)
     if persist:
         token_df = materialize(token_df, "token_df")
-    dl = F.size(word_tokens(F.col(text_col)))
+    n, avg = corpus_stats(docs, text_col)
+    return SearchIndex(docs, postings, token_df, n, avg, vectors)
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "content") -> DataFrame:
+    """A-7: (token, df) for every token. Each document contributes its
+    distinct tokens, so the partial aggregate is keyed by token alone
+    (vocabulary-sized per task), not by (token, document)."""
+    return (docs.select(explode_computed(F.array_distinct(word_tokens(F.col(text_col)))).alias("token"))
+            .where(F.col("token").isNotNull())
+            .groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+
+
+def corpus_stats(docs: DataFrame, text_col: str = "content") -> tuple[int, float]:
+    """(N, average length of documents with at least one token): one narrow
+    aggregate, returned as two scalars."""
+    dl = F.regexp_count(F.lower(F.col(text_col)), F.lit(WORD_TOKEN))
     row = docs.select(dl.alias("dl")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avg")).first()
-    return SearchIndex(docs, postings, token_df, int(row["n"]), float(row["avg"] or 0.0), vectors)
+    return int(row["n"]), float(row["avg"] or 0.0)
 
 
 def idf(df: Column, n_docs: int) -> Column:
@@ -90,19 +107,59 @@ def bm25_candidates(index: SearchIndex, queries: DataFrame, query_id: str = "que
 
     Repeated query tokens count once per occurrence (``qn``).
     """
-    qt = (queries.select(F.col(query_id).alias("query_id"),
-                         F.explode(word_tokens(F.col(text))).alias("token"))
-          .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qn")))
+    qt = _query_tokens(queries, query_id, text)
     # The size check runs on the query tokens alone (cheap); the join with
     # document frequencies only removes rows.
     _, small = bounded_broadcast(qt, MAX_BROADCAST_QUERIES * 64)
-    qt = qt.join(index.token_df, "token", "inner").withColumn("idf", idf(F.col("df"), index.n_docs))
+    qt = qt.join(index.token_df, "token", "inner")
     if small:
         qt = F.broadcast(qt)
-    c = F.col("tf") / (1 - B + B * F.col("dl") / F.lit(index.avg_len or 1.0))
-    part = F.col("qn") * F.col("idf") * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)
     return (index.postings.join(qt, "token", "inner")
-            .groupBy("query_id", "id").agg(F.sum(part).alias("score")))
+            .groupBy("query_id", "id").agg(F.sum(_bm25_part(index.n_docs, index.avg_len)).alias("score")))
+
+
+def _query_tokens(queries: DataFrame, query_id: str, text: str) -> DataFrame:
+    return (queries.select(F.col(query_id).alias("query_id"),
+                           explode_computed(word_tokens(F.col(text))).alias("token"))
+            .where(F.col("token").isNotNull())
+            .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qn")))
+
+
+def _bm25_part(n_docs: int, avg_len: float) -> Column:
+    c = F.col("tf") / (1 - B + B * F.col("dl") / F.lit(avg_len or 1.0))
+    return F.col("qn") * idf(F.col("df"), n_docs) * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)
+
+
+def bm25_scan_candidates(docs: DataFrame, queries: DataFrame, id_col: str = "id",
+                         text_col: str = "content", query_id: str = "query_id",
+                         text: str = "text") -> DataFrame:
+    """R-2 without a prebuilt index, for one batch of queries: a single pass
+    over the corpus. Each document's tokens are exploded and filtered by a
+    broadcast hash join against the batch's (bounded) token set, so only
+    (token, document) pairs that can score are aggregated; nothing
+    corpus-sized is shuffled. Same scores as :func:`bm25_candidates`:
+    document frequencies of the query tokens are counted over all documents
+    in the same pass.
+    """
+    n_docs, avg_len = corpus_stats(docs, text_col)
+    qt = _query_tokens(queries, query_id, text)
+    _, small = bounded_broadcast(qt, MAX_BROADCAST_QUERIES * 64)
+    vocab = qt.select("token").distinct()
+    if small:
+        vocab = F.broadcast(vocab)
+    toks = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
+    hits = (toks.select("id", F.size("_t").alias("dl"), explode_computed("_t").alias("token"))
+            .join(vocab, "token", "left_semi"))
+    tf = hits.groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # Keeping the collection frequency (a sum over tf) keeps this branch's
+    # input identical to the scoring branch, so the exchange is reused and
+    # the corpus is scanned once.
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    q = qt.join(df.select("token", "df", "cf"), "token", "inner")
+    if small:
+        q = F.broadcast(q)
+    return (tf.join(q, "token", "inner")
+            .groupBy("query_id", "id").agg(F.sum(_bm25_part(n_docs, avg_len)).alias("score")))
 
 
 def top_k(cands: DataFrame, k: int, order: list[Column] | None = None,
@@ -134,6 +191,19 @@ def bm25_search(index: SearchIndex, queries: DataFrame, k: int = DEFAULT_TOP_K,
     return top_k(cands, k)
 
 
+def bm25_scan_search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
+                     filters: dict[str, Any] | None = None, fields: list[str] | None = None,
+                     id_col: str = "id", text_col: str = "content", query_id: str = "query_id",
+                     text: str = "text") -> DataFrame:
+    """Top-k BM25 for one query batch straight from the document table; the
+    filter applies to candidates, after statistics (E-10)."""
+    cands = bm25_scan_candidates(docs, queries, id_col, text_col, query_id, text)
+    if filters:
+        ok = docs.where(compile_filters(filters, fields or docs.columns)).select(F.col(id_col).alias("id"))
+        cands = cands.join(ok, "id", "left_semi")
+    return top_k(cands, k)
+
+
 # --- dense -------------------------------------------------------------------
 
 def _dense_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int):
@@ -212,17 +282,24 @@ def merge_results(first: DataFrame, second: DataFrame, k: int = DEFAULT_TOP_K,
                           .otherwise(F.lit(names[1]))).drop("_src")
 
 
-def hybrid_search(index: SearchIndex, queries: DataFrame, k: int = DEFAULT_TOP_K,
+def hybrid_search(index: SearchIndex | None, queries: DataFrame, k: int = DEFAULT_TOP_K,
                   candidate_k: int = DEFAULT_TOP_K, filters: dict[str, Any] | None = None,
-                  fields: list[str] | None = None) -> DataFrame:
+                  fields: list[str] | None = None, docs: DataFrame | None = None,
+                  vectors: DataFrame | None = None) -> DataFrame:
     """R-5: BM25 and dense candidates (``candidate_k`` each), merged, top ``k``.
 
-    ``queries``: (query_id, text, embedding).
+    ``queries``: (query_id, text, embedding). With a prebuilt ``index`` the
+    lexical side reads its postings; with ``docs``/``vectors`` instead, one
+    scan of the corpus serves the batch.
     """
-    lex = bm25_search(index, queries, candidate_k, filters, fields)
-    vecs = index.vectors
+    if index is not None:
+        lex = bm25_search(index, queries, candidate_k, filters, fields)
+        docs, vecs = index.docs, index.vectors
+    else:
+        lex = bm25_scan_search(docs, queries, candidate_k, filters, fields)
+        vecs = vectors
     if filters:
-        ok = index.docs.where(compile_filters(filters, fields or index.docs.columns)).select("id")
+        ok = docs.where(compile_filters(filters, fields or docs.columns)).select("id")
         vecs = vecs.join(ok, "id", "left_semi")
     den = dense_search(vecs, queries, candidate_k)
     return merge_results(lex, den, k)

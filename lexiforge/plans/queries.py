@@ -85,7 +85,7 @@ def q_null_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_lookup_by_key(spark: SparkSession, d: str) -> DataFrame:
-    cards = A.cards(spark, d).select("uuid", "name", "cmc")
+    cards = A.cards(spark, d, persist=True).select("uuid", "name", "cmc")
     li = A.table(spark, d, "lineitem")
     by_id_req = li.where(F.col("l_returnflag") == "A").select(F.col("l_partkey").alias("req")).distinct()
     by_id = lookup.cards_by_ids(cards, by_id_req, "req").select(
@@ -211,18 +211,16 @@ def q_doc_content(spark: SparkSession, d: str) -> DataFrame:
                                            "power", "toughness", "rarity", "loyalty", "side")])
 
 
-def _index(spark: SparkSession, d: str) -> retrieval.SearchIndex:
-    return retrieval.build_index(A.doc_table(spark, d), vectors=A.vector_table(spark, d))
-
-
 def q_bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    ix = _index(spark, d)
-    return ix.token_df.select("token", F.col("df").cast("bigint").alias("df"),
-                              F.round(retrieval.idf(F.col("df"), ix.n_docs), 6).alias("idf"))
+    docs = A.doc_table(spark, d)
+    n_docs, _ = retrieval.corpus_stats(docs)
+    return retrieval.document_frequencies(docs).select(
+        "token", F.col("df").cast("bigint").alias("df"),
+        F.round(retrieval.idf(F.col("df"), n_docs), 6).alias("idf"))
 
 
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    r = retrieval.bm25_search(_index(spark, d), A.query_table(spark, d), TOP_K)
+    r = retrieval.bm25_scan_search(A.doc_table(spark, d), A.query_table(spark, d), TOP_K)
     return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
@@ -233,15 +231,15 @@ def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_filtered_search(spark: SparkSession, d: str) -> DataFrame:
-    ix = _index(spark, d)
-    r = retrieval.bm25_search(ix, A.query_table(spark, d), TOP_K, SEARCH_FILTERS,
-                              fields=["lang", "source", "n_chars"])
+    r = retrieval.bm25_scan_search(A.doc_table(spark, d), A.query_table(spark, d), TOP_K,
+                                   SEARCH_FILTERS, fields=["lang", "source", "n_chars"])
     return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     q = A.query_table(spark, d).where(F.col("embedding").isNotNull())
-    return retrieval.hybrid_search(_index(spark, d), q, TOP_K, TOP_K)
+    return retrieval.hybrid_search(None, q, TOP_K, TOP_K, docs=A.doc_table(spark, d),
+                                   vectors=A.vector_table(spark, d))
 
 
 def q_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
