@@ -61,28 +61,35 @@ class QaTemplate:
 
 
 def _face() -> Column:
-    return face_name("name", "side")
+    return F.col("_face")
 
 
 def fanout(df: DataFrame, templates: list[QaTemplate], keep: list[str] | None = None) -> DataFrame:
-    """P-21: one pass over ``df`` -> (keep..., builder, question, answer)."""
+    """P-21: one pass over ``df`` -> (keep..., builder, question, answer).
+
+    The face name is computed once per row; each template contributes one
+    struct (its answer evaluated once, its phrasings as an array), null when
+    its predicate fails. Two narrow explodes follow. Keeping the generated
+    expression small matters as much as the row count: it is compiled once per
+    stage.
+    """
     keep = keep or []
+    base = df.withColumn("_face", face_name("name", "side")) if "name" in df.columns else df
     entries = []
     for t in templates:
         subject = (t.subject or _face)()
         vals = {"name": subject}
         if t.value is not None:
             vals["value"] = t.value()
-        answer = t.answer().cast("string")
         pred = t.predicate() if t.predicate is not None else F.lit(True)
-        for q in t.questions:
-            s = F.struct(F.lit(t.name).alias("builder"), render(q, **vals).alias("question"),
-                         answer.alias("answer"))
-            entries.append(F.when(pred, s))
-    arr = F.filter(F.array(*entries), lambda x: x.isNotNull())
-    return (df.select(*keep, explode_computed(arr).alias("_qa"))
-            .where(F.col("_qa").isNotNull())
-            .select(*keep, "_qa.builder", "_qa.question", "_qa.answer"))
+        entries.append(F.when(pred, F.struct(
+            F.lit(t.name).alias("builder"), t.answer().cast("string").alias("answer"),
+            F.array(*[render(q, **vals) for q in t.questions]).alias("questions"))))
+    per_template = (base.select(*keep, explode_computed(F.array(*entries)).alias("_t"))
+                    .where(F.col("_t").isNotNull()))
+    return per_template.select(*keep, F.col("_t.builder").alias("builder"),
+                               F.explode("_t.questions").alias("question"),
+                               F.col("_t.answer").alias("answer"))
 
 
 # --- the card builders (B-1..B-15) -----------------------------------------
