@@ -320,3 +320,19 @@ def to_conversations(pairs: DataFrame, keep: list[str] | None = None) -> DataFra
     keep = keep or []
     return pairs.select("group", "builder", *keep,
                         chat_pair(F.col("question"), F.col("answer")).alias("conversations"))
+
+
+def build_corpus(registry: QaRegistry, tables: dict[str, Any], path: str,
+                 groups: list[str] | None = None, mode: str = "overwrite") -> dict[str, int]:
+    """X-2: run every builder, write one dataset per group (S-5), and report
+    rows and characters (A-8) from an ``Observation`` on the same write, not
+    from a second pass over the corpus."""
+    from pyspark.sql import Observation
+
+    from lexiforge.operators.corpus import write_corpus
+    obs = Observation("qa_corpus")
+    pairs = registry.build(tables, groups).observe(
+        obs, F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.length("question") + F.length("answer")), F.lit(0)).alias("chars"))
+    write_corpus(to_conversations(pairs), path, mode)
+    return {k: int(v) for k, v in obs.get.items()}

@@ -50,6 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a shared folder: a machine-local "
+                               "folder does not survive a lost executor")
         path = tempfile.mkdtemp(prefix="lexiforge-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:

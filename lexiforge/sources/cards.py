@@ -18,10 +18,13 @@ from lexiforge.schemas import LEGALITIES, PRINTINGS, RULINGS, STATIC_QA
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
           **options) -> DataFrame:
-    reader = spark.read.schema(schema).options(**options)
     if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.format(fmt).load(path)
+        # CSV maps a schema by position; map by header name instead: read the
+        # columns as text (no inference) and cast each schema field by name.
+        raw = spark.read.option("header", True).options(**options).csv(path)
+        return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None))
+                            .cast(f.dataType).alias(f.name) for f in schema.fields])
+    return spark.read.schema(schema).options(**options).format(fmt).load(path)
 
 
 def read_printings(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:

@@ -185,3 +185,12 @@ def test_streaming_equals_batch(spark, cards, tmp_dir):
     batch = qa.fanout(typed_cards(raw), qa.card_templates(), keep=["uuid"])
     cols = ["uuid", "builder", "question", "answer"]
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def test_build_corpus_observes_counts(spark, cards, tmp_dir):
+    reg = qa.default_registry(with_combos=False)
+    stats = qa.build_corpus(reg, {"cards": cards}, f"{tmp_dir}/corpus")
+    back = load_corpus(spark, f"{tmp_dir}/corpus", "cards")
+    assert stats["rows"] == back.count() > 0
+    want = sum(len(m.content) for r in back.collect() for m in r.conversations)
+    assert stats["chars"] == want
