@@ -113,50 +113,62 @@ def cards(spark: SparkSession, sf_dir: str, compat: bool = False, persist: bool
 # --- combos ------------------------------------------------------------------
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested variant row per order (the shape of the combo JSON)."""
+    """One nested variant row per order (the shape of the combo JSON).
+
+    Lines travel as flat structs and are grouped per order first; the nested
+    use / require / produce structs are built afterwards, per order, by the
+    parallel reducers rather than in the scan tasks.
+    """
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     lines = li.join(p, li.l_partkey == p.p_partkey, "inner")
-    zone = (F.when(F.col("l_returnflag") == "R", F.array(F.lit("B")))
-             .when(F.col("l_returnflag") == "A", F.array(F.lit("G"), F.lit("E")))
-             .otherwise(F.array(F.lit("H"))))
-    n = F.col("l_linenumber")
-    use = F.struct(
-        F.struct(F.col("l_partkey").cast("string").alias("oracleId"),
-                 F.col("p_name").alias("name")).alias("card"),
-        zone.alias("zoneLocations"),
-        F.lit("tapped").alias("battlefieldCardState"), F.lit(None).cast("string").alias("exileCardState"),
-        F.lit(None).cast("string").alias("libraryCardState"),
-        (n == 1).alias("mustBeCommander"), F.col("l_quantity").cast("int").alias("quantity"))
-    req = F.when(F.col("l_linestatus") == "O", F.struct(
-        F.struct(n.cast("bigint").alias("id"), F.concat(F.lit("Any "), F.col("p_type")).alias("name"))
-         .alias("template"),
-        F.array(F.lit("B")).alias("zoneLocations"), F.lit(None).cast("string").alias("battlefieldCardState"),
-        F.lit(None).cast("string").alias("exileCardState"),
-        F.lit(None).cast("string").alias("libraryCardState"),
-        F.lit(None).cast("string").alias("graveyardCardState"),
-        F.lit(False).alias("mustBeCommander"), F.lit(1).alias("quantity")))
-    prod = F.struct(
-        F.struct(n.cast("bigint").alias("id"),
-                 F.when(n % 3 == 0, F.lit("Infinite ETB"))
-                  .when(n % 3 == 1, F.lit("Infinite LTB"))
-                  .otherwise(F.lit("ETB then LTB")).alias("name"),
-                 (n % 2 == 0).alias("uncountable")).alias("feature"),
-        F.col("l_quantity").cast("int").alias("quantity"))
-    step = F.concat(F.lit("Use "), F.col("p_name"), F.lit(" x"), F.col("l_quantity").cast("int").cast("string"))
+    # line order: (linenumber, partkey, suppkey, quantity, price) is a total order
+    flat = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"),
+                    F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"),
+                    F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
+                    F.col("l_linestatus").alias("status"), F.col("p_name").alias("pname"),
+                    F.col("p_type").alias("ptype"))
     # collect_list reduces nothing map-side, so hash the lines by order first:
     # same shuffle volume, and the lists are built in parallel reduce tasks.
-    per_order = (lines.repartition("l_orderkey").groupBy("l_orderkey").agg(
-        # line order: (linenumber, partkey, suppkey, quantity, price) is a total order
-        F.array_sort(F.collect_list(F.struct(n.alias("n"), F.col("l_partkey").alias("pk"),
-                                             F.col("l_suppkey").alias("supp"),
-                                             F.col("l_quantity").alias("qty"),
-                                             F.col("l_extendedprice").alias("price"),
-                                             use.alias("use"), req.alias("req"),
-                                             prod.alias("prod"), step.alias("step")))).alias("ls")))
+    per_order = (lines.select("l_orderkey", flat.alias("l")).repartition("l_orderkey")
+                 .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("ls")))
     v = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
     ls = F.coalesce(F.col("ls"), F.array().cast(per_order.schema["ls"].dataType))
+    none = F.lit(None).cast("string")
+
+    def use(x):
+        zone = (F.when(x["flag"] == "R", F.array(F.lit("B")))
+                 .when(x["flag"] == "A", F.array(F.lit("G"), F.lit("E")))
+                 .otherwise(F.array(F.lit("H"))))
+        return F.struct(
+            F.struct(x["pk"].cast("string").alias("oracleId"), x["pname"].alias("name")).alias("card"),
+            zone.alias("zoneLocations"), F.lit("tapped").alias("battlefieldCardState"),
+            none.alias("exileCardState"), none.alias("libraryCardState"),
+            (x["n"] == 1).alias("mustBeCommander"), x["qty"].cast("int").alias("quantity"))
+
+    def req(x):
+        return F.when(x["status"] == "O", F.struct(
+            F.struct(x["n"].cast("bigint").alias("id"),
+                     F.concat(F.lit("Any "), x["ptype"]).alias("name")).alias("template"),
+            F.array(F.lit("B")).alias("zoneLocations"), none.alias("battlefieldCardState"),
+            none.alias("exileCardState"), none.alias("libraryCardState"),
+            none.alias("graveyardCardState"), F.lit(False).alias("mustBeCommander"),
+            F.lit(1).alias("quantity")))
+
+    def prod(x):
+        n = x["n"]
+        return F.struct(
+            F.struct(n.cast("bigint").alias("id"),
+                     F.when(n % 3 == 0, F.lit("Infinite ETB"))
+                      .when(n % 3 == 1, F.lit("Infinite LTB"))
+                      .otherwise(F.lit("ETB then LTB")).alias("name"),
+                     (n % 2 == 0).alias("uncountable")).alias("feature"),
+            x["qty"].cast("int").alias("quantity"))
+
+    def step(x):
+        return F.concat(F.lit("Use "), x["pname"], F.lit(" x"), x["qty"].cast("int").cast("string"))
+
     return v.select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_orderpriority").alias("manaNeeded"),
@@ -167,13 +179,13 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_orderstatus") == "P",
                F.concat(F.lit("Hold two mana open\nPriority "), F.col("o_orderpriority")))
          .alias("otherPrerequisites"),
-        F.when(F.size(ls) > 0, F.array_join(F.transform(ls, lambda x: x["step"]), "\n")).alias("description"),
+        F.when(F.size(ls) > 0, F.array_join(F.transform(ls, step), "\n")).alias("description"),
         F.lit("").alias("notes"),
         F.transform(ls, lambda x: F.struct(x["supp"].alias("id"))).alias("of"),
         F.transform(ls, lambda x: F.struct(x["pk"].alias("id"))).alias("includes"),
-        F.transform(ls, lambda x: x["use"]).alias("uses"),
-        F.filter(F.transform(ls, lambda x: x["req"]), lambda r: r.isNotNull()).alias("requires"),
-        F.transform(ls, lambda x: x["prod"]).alias("produces"),
+        F.transform(ls, use).alias("uses"),
+        F.filter(F.transform(ls, req), lambda r: r.isNotNull()).alias("requires"),
+        F.transform(ls, prod).alias("produces"),
     )
 
 
