@@ -45,3 +45,28 @@ def test_static_pairs_shape(spark, bad):
     from lexiforge.operators.qa import static_pairs
     t = spark.createDataFrame([("q", bad)], "question string, answer string")
     assert static_pairs(t, "rules").columns == ["builder", "question", "answer"]
+
+
+def test_streaming_keep_first_matches_batch(spark, tmp_dir):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lexiforge.streaming.keep_first import maintain_canonical
+    from tests.fixtures import printings_df
+    first = printings_df(spark, [dict(uuid="u5", name="A"), dict(uuid="u3", name="B", side="a"),
+                                 dict(uuid="u9", name="C")])
+    second = printings_df(spark, [dict(uuid="u1", name="A"), dict(uuid="u7", name="B", side="a"),
+                                  dict(uuid="u2", name="B", side="b"), dict(uuid="u0", name="D")])
+    src, target = f"{tmp_dir}/src", f"{tmp_dir}/canon"
+    first.write.parquet(f"{src}/b1")
+    maintain_canonical(spark, f"{src}/*", first.schema, target, f"{tmp_dir}/ck", buckets=4) \
+        .awaitTermination(120)
+    second.write.parquet(f"{src}/b2")
+    maintain_canonical(spark, f"{src}/*", first.schema, target, f"{tmp_dir}/ck", buckets=4) \
+        .awaitTermination(120)
+    got = sorted((r.name, r.side, r.uuid) for r in spark.read.parquet(target).collect())
+    allrows = first.unionByName(second)
+    w = Window.partitionBy("name", "side").orderBy("uuid")
+    want = sorted((r.name, r.side, r.uuid) for r in
+                  allrows.withColumn("rn", F.row_number().over(w)).where("rn = 1").collect())
+    assert got == want
