@@ -93,12 +93,18 @@ def truncate_tokens(turns: DataFrame, max_len: int, conv: str = "conv_id", turn:
 
     Tensors are not padded here: padding depends on batch grouping and belongs
     to the export step. The running offset per conversation is a window over
-    narrow (turn, count) rows; the collected tokens are at most ``max_len``.
+    narrow (turn, count) rows joined back on the (conv, turn) key; the
+    collected tokens are at most ``max_len``.
     """
     begin = train_tokens(F.lit(template.begin))
     t = turn_tokens(turns, conv, turn, role, text, template)
+    # The running offset is ordered within a conversation, so its window only
+    # sees narrow (conv, turn, count) rows; the token arrays rejoin by key.
     w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("_off", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + F.size(begin))
+    offs = (t.select(conv, turn, "n_tokens")
+            .withColumn("_off", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + F.size(begin))
+            .select(conv, turn, "_off"))
+    t = t.join(offs, [conv, turn], "inner")
     room = F.greatest(F.lit(max_len) - F.col("_off"), F.lit(0))
     kept = F.when(room > 0, F.slice("tokens", 1, room)).otherwise(F.array().cast("array<string>"))
     per_conv = (t.select(conv, turn, "n_tokens", kept.alias("_k"))
@@ -160,7 +166,9 @@ def pack_offsets(docs: DataFrame, length: str, key: str, block_len: int,
     ``block_len`` tokens -> (+ shard, offset, first_block, last_block).
 
     ``shard`` is a hash bucket of the key, so the running sum is a window per
-    shard over narrow rows, never one global window.
+    shard over narrow rows, never one global window. Choose ``shards`` so a
+    shard's (key, length) rows fit one task (about a million documents per
+    shard); the packing only depends on the shard count, not on partitioning.
     """
     w = (Window.partitionBy("shard").orderBy(key)
          .rowsBetween(Window.unboundedPreceding, -1))
