@@ -282,6 +282,17 @@ def merge_results(first: DataFrame, second: DataFrame, k: int = DEFAULT_TOP_K,
                           .otherwise(F.lit(names[1]))).drop("_src")
 
 
+def rrf_merge(first: DataFrame, second: DataFrame, k: int = DEFAULT_TOP_K,
+              c: int = 60) -> DataFrame:
+    """U-3, optional mode: reciprocal-rank fusion. Each list contributes
+    ``1 / (c + rank)`` per document; scores are summed over the lists and the
+    top ``k`` kept (ties by id). Inputs carry ``rank`` (as from :func:`top_k`).
+    Per-(query, doc) sums are partial aggregates."""
+    u = (first.select("query_id", "id", "rank").unionByName(second.select("query_id", "id", "rank"))
+         .groupBy("query_id", "id").agg(F.sum(1.0 / (F.lit(c) + F.col("rank"))).alias("score")))
+    return top_k(u, k).withColumn("retriever", F.lit("rrf"))
+
+
 def hybrid_search(index: SearchIndex | None, queries: DataFrame, k: int = DEFAULT_TOP_K,
                   candidate_k: int = DEFAULT_TOP_K, filters: dict[str, Any] | None = None,
                   fields: list[str] | None = None, docs: DataFrame | None = None,

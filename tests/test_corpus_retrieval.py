@@ -251,3 +251,10 @@ def test_fuzzy_best_match_against_brute_force(spark):
         key = min(k for s, k in scored if s == best)
         assert got[qid] == (key, pytest.approx(round(best, 6)))
     assert got[100][0] == 1                                # contained in a longer name: 100, lowest key
+
+
+def test_rrf_merge(spark):
+    a = spark.createDataFrame([(1, 7, 1), (1, 8, 2)], "query_id long, id long, rank int")
+    b = spark.createDataFrame([(1, 8, 1), (1, 9, 2)], "query_id long, id long, rank int")
+    out = [(r.rank, r.id) for r in retrieval.rrf_merge(a, b, k=3).orderBy("rank").collect()]
+    assert out == [(1, 8), (2, 7), (3, 9)]      # 8 is in both lists
