@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiforge.session import ship_by_value
+
 MAX_QUERIES = 100_000
 
 
@@ -159,3 +161,7 @@ def fuzzy_best_match(names: DataFrame, queries: DataFrame, key: str = "uuid",
                  .alias("b")))
     return best.select("query_id", "b.match_key", "b.match_name",
                        F.round("b.score", 6).alias("score"))
+
+
+# Worker-side functions above travel by value (see ``ship_by_value``).
+ship_by_value(__name__)

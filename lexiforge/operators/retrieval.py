@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from lexiforge.functions.predicates import compile_filters
 from lexiforge.functions.text import WORD_TOKEN, explode_computed, word_tokens
 from lexiforge.operators.broadcast import bounded_broadcast
+from lexiforge.session import ship_by_value
 from lexiforge.schemas import (
     DEFAULT_TOP_K, DOC_LABELS, RESULT_CMC, RESULT_IDENTITY, RESULT_LOYALTY, RESULT_MANA,
     RESULT_RARITY, RESULT_SCORE,
@@ -483,3 +484,7 @@ def hashing_encoder(dim: int = 256):
             return out
         return enc
     return build
+
+
+# Worker-side functions above travel by value (see ``ship_by_value``).
+ship_by_value(__name__)

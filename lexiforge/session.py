@@ -73,3 +73,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ship_by_value(module_name: str) -> None:
+    """Pickle the functions of ``module_name`` by value when Spark sends them
+    to Python workers (``mapInPandas`` / pandas UDF bodies), so workers need
+    no copy of this package on their path."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
