@@ -132,8 +132,8 @@ def response_mask_counts(turns: DataFrame, conv: str = "conv_id", **kw) -> DataF
 IGNORE_INDEX = -100
 
 
-def response_mask_labels(turns: DataFrame, vocab: DataFrame | None = None,
-                         conv: str = "conv_id", turn: str = "turn", **kw) -> DataFrame:
+def response_mask_labels(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
+                         **kw) -> DataFrame:
     """M-6 per turn: token list and label mask (1 = trained, IGNORE_INDEX = not).
 
     Per-turn rows keep the mask distributed; a consumer that needs one array

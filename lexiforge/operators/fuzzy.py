@@ -72,12 +72,6 @@ def partial_ratio(q: str, name: str) -> float:
     return best
 
 
-def score_upper_bound(q: str, name: str, overlap: int) -> float:
-    m = min(len(q), len(name))
-    ov = min(overlap, m)
-    return 200.0 * ov / (m + ov) if m + ov else 0.0
-
-
 def _best_per_query(queries: list[tuple], key: str, name: str):
     qids = [q[0] for q in queries]
     qtexts = [q[1] for q in queries]

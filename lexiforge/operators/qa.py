@@ -25,7 +25,7 @@ from lexiforge.functions.text import (
 from lexiforge.operators.nest import ComboTables, nest_combos
 from lexiforge.schemas import (
     COMBO_ALL_ZONE, COMBO_FORMED, COMBO_IDENTITY, COMBO_MANA, COMBO_PREREQ, COMBO_RESULT,
-    COMBO_START, COMBO_STEPS, LAND_NO_MANA_COST, MARKERS, NO_MANA_COST, NO_POWER,
+    COMBO_STEPS, LAND_NO_MANA_COST, MARKERS, NO_MANA_COST, NO_POWER,
     NO_TOUGHNESS, QUESTIONS, ZONE_PHRASES,
 )
 

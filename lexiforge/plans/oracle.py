@@ -44,9 +44,6 @@ def render(template: str, **vals: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-NL = "chr(10)"
-
-
 def _bits(x: str = "p_size") -> str:
     parts = ", ".join(f"CASE WHEN ({x} & {b}) <> 0 THEN '{c}' END"
                       for b, c in ((16, "G"), (8, "R"), (4, "B"), (2, "U"), (1, "W")))

@@ -250,7 +250,6 @@ NO_POWER = "{name} has no power"
 NO_TOUGHNESS = "{name} has no toughness"
 
 # Combo answer fragments, in output order.
-COMBO_START = "[START OF COMBO]"
 COMBO_FORMED = "This combo can be formed with "
 COMBO_IDENTITY = "Color identity: "
 COMBO_MANA = "Mana cost: "
