@@ -137,24 +137,34 @@ def bm25_scan_candidates(docs: DataFrame, queries: DataFrame, id_col: str = "id"
     """R-2 without a prebuilt index, for one batch of queries: a single pass
     over the corpus. Each document's tokens are exploded and filtered by a
     broadcast hash join against the batch's (bounded) token set, so only
-    (token, document) pairs that can score are aggregated; nothing
-    corpus-sized is shuffled. Same scores as :func:`bm25_candidates`:
-    document frequencies of the query tokens are counted over all documents
-    in the same pass.
+    (token, document) pairs that can score are aggregated and written;
+    nothing corpus-sized is shuffled, and N / average length are observed in
+    the same pass. Same scores as :func:`bm25_candidates`: document
+    frequencies of the query tokens are counted over all documents.
     """
-    n_docs, avg_len = corpus_stats(docs, text_col)
+    from pyspark.sql import Observation
+
+    from lexiforge.session import materialize
     qt = _query_tokens(queries, query_id, text)
     _, small = bounded_broadcast(qt, MAX_BROADCAST_QUERIES * 64)
     vocab = qt.select("token").distinct()
     if small:
         vocab = F.broadcast(vocab)
-    toks = docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
-    hits = (toks.select("id", F.size("_t").alias("dl"), explode_computed("_t").alias("token"))
+    # One pass over the corpus: the corpus scalars are observed on the
+    # tokenised documents while the matching (token, doc) pairs are written
+    # to the shared checkpoint folder; scoring then reads only those pairs.
+    obs = Observation("bm25_corpus")
+    toks = (docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
+            .withColumn("dl", F.size("_t"))
+            .observe(obs, F.count(F.lit(1)).alias("n"),
+                     F.sum(F.when(F.col("dl") > 0, F.col("dl"))).alias("len_sum"),
+                     F.count(F.when(F.col("dl") > 0, F.lit(1))).alias("len_docs")))
+    hits = (toks.select("id", "dl", explode_computed("_t").alias("token"))
             .join(vocab, "token", "left_semi"))
-    tf = hits.groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # Keeping the collection frequency (a sum over tf) keeps this branch's
-    # input identical to the scoring branch, so the exchange is reused and
-    # the corpus is scanned once.
+    tf = materialize(hits.groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "bm25-hits")
+    m = obs.get
+    n_docs = int(m["n"])
+    avg_len = float(m["len_sum"]) / m["len_docs"] if m["len_docs"] else 0.0
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     q = qt.join(df.select("token", "df", "cf"), "token", "inner")
     if small:
