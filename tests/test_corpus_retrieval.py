@@ -258,3 +258,34 @@ def test_rrf_merge(spark):
     b = spark.createDataFrame([(1, 8, 1), (1, 9, 2)], "query_id long, id long, rank int")
     out = [(r.rank, r.id) for r in retrieval.rrf_merge(a, b, k=3).orderBy("rank").collect()]
     assert out == [(1, 8), (2, 7), (3, 9)]      # 8 is in both lists
+
+
+def test_index_versions_switch_pointer(spark, index, tmp_dir):
+    retrieval.save_index(index, f"{tmp_dir}/ix", "1")
+    smaller = retrieval.SearchIndex(index.docs.limit(2), index.postings.limit(3), index.token_df,
+                                    2, index.avg_len, None)
+    retrieval.save_index(smaller, f"{tmp_dir}/ix", "2")
+    assert retrieval.load_index(spark, f"{tmp_dir}/ix").n_docs == 2
+    old = spark.read.parquet(f"{tmp_dir}/ix/v=1/docs")          # earlier version stays readable
+    assert old.count() == len(DOCS)
+    with pytest.raises(Exception):
+        retrieval.save_index(index, f"{tmp_dir}/ix", "2")        # a version is never overwritten
+
+
+def test_query_batches_over_the_bound_are_sliced(spark, index):
+    qv = spark.createDataFrame([(i, [float(i % 3), 1.0, 0.5]) for i in range(7)],
+                               "query_id long, embedding array<float>")
+    whole = {(r.query_id, r.rank, r.id) for r in retrieval.dense_search(index.vectors, qv, k=2).collect()}
+    sliced = {(r.query_id, r.rank, r.id) for r in
+              retrieval.dense_search(index.vectors, qv, k=2, max_queries=3).collect()}
+    assert sliced == whole and len({q for q, _, _ in whole}) == 7
+
+
+def test_fuzzy_slices_over_the_bound(spark, monkeypatch):
+    from lexiforge.operators import fuzzy
+    names = spark.createDataFrame([(1, "Bolt"), (2, "Helix"), (3, "Shock")], "uuid long, name string")
+    qs = spark.createDataFrame([(i, t) for i, t in enumerate(["bolt", "Helx", "Shok", "Bolt"])],
+                               "query_id long, text string")
+    whole = {tuple(r) for r in fuzzy.fuzzy_best_match(names, qs).collect()}
+    monkeypatch.setattr(fuzzy, "MAX_QUERIES", 1)
+    assert {tuple(r) for r in fuzzy.fuzzy_best_match(names, qs).collect()} == whole
