@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import (bpe, chat_format, langid, quality_cnn, quality_rules, toxicity,
-                           url_filters, warc)
+from lexiforge.llm import (bpe, chat_format, langid, ngram_join, quality_cnn, quality_rules,
+                           toxicity, url_filters, warc)
 from lexiforge.llm.common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,6 +48,11 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_formatted(out)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.captures(table(spark, sf_dir, "pages"))
     fields = F.col("metadata.fields")
@@ -77,4 +82,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_quality_classifier, op3_quality_rules, op5_url_filters, op6_chat_formatting,
-        op8_warc, op9_language_id, op10_toxicity)}
+        op7_ngram_join, op8_warc, op9_language_id, op10_toxicity)}
