@@ -245,3 +245,14 @@ def score_quality(docs: DataFrame, net: Network, key: str | list[str | Column] =
 
     kind = given.schema["key"].dataType.simpleString()
     return given.mapInArrow(run, f"key {kind}, score double").select("key.*", "score")
+
+
+def keep_good(docs: DataFrame, net: Network, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows that score at least ``threshold``, with the columns they came with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(net)
+        for batch in slices(batches, text):
+            score = scorer.score(batch.column(batch.schema.get_field_index(text)))
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import (bpe, chat_format, langid, ngram_join, quality_cnn, quality_rules,
-                           toxicity, url_filters, warc)
+from lexiforge.llm import (bpe, chat_format, decontamination, langid, ngram_join, quality_cnn,
+                           quality_rules, toxicity, url_filters, warc)
 from lexiforge.llm.common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages")).select(
         "page_id", "host", "path", "rule", "verdict")
@@ -81,5 +85,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_bpe, op2_quality_classifier, op3_quality_rules, op5_url_filters, op6_chat_formatting,
+        op1_bpe, op2_quality_classifier, op3_quality_rules, op4_decontamination,
+        op5_url_filters, op6_chat_formatting,
         op7_ngram_join, op8_warc, op9_language_id, op10_toxicity)}
