@@ -56,7 +56,7 @@ WORDS = 5
 SKETCH = 1 << 21
 BLOCK = 1024
 #: Candidate ranks of the rounds; the last takes all.
-RANKS = (2, 24, 1 << 62)
+RANKS = (4, 1 << 62)
 SLICE = 2 << 20
 
 
@@ -165,8 +165,18 @@ def token_classes(parts: DataFrame) -> tuple[np.ndarray, float]:
     counts = np.zeros(SKETCH, np.int64)
     step = SKETCH // 32
     # Partial sums first, so that no group is as long as there are tasks.
-    halved = parts.withColumn("salt", F.spark_partition_id() % 16).groupBy("part", "salt").applyInArrow(
-        lambda g: _packed(add(g.select(["part", "counts"]))), "part int, counts binary")
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[i] = held.get(i, 0) + np.frombuffer(zlib.decompress(x), "<u4").astype(np.uint32)
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int32()),
+                 pa.array([zlib.compress(x.astype("<u4").tobytes(), 1) for x in held.values()])], ["part", "counts"])
+
+    halved = parts.select("part", "counts").coalesce(64).mapInArrow(combine, "part int, counts binary")
     for r in halved.groupBy("part").applyInArrow(add, "part int, counts binary").toLocalIterator():
         counts[r["part"] * step:(r["part"] + 1) * step] = np.frombuffer(r["counts"], "<i8")
     mean = counts.mean()
@@ -174,12 +184,6 @@ def token_classes(parts: DataFrame) -> tuple[np.ndarray, float]:
     return np.where(counts <= 3 * mean + 64, 0, np.log2(np.maximum(extra, 1)).astype(np.int64) + 1).astype(np.uint8), mean
 
 
-def _packed(t: pa.Table) -> pa.Table:
-    import zlib
-    x = np.frombuffer(t.column("counts")[0].as_py(), "<i8").astype("<u4")
-    return pa.table({"part": t.column("part"), "counts": pa.array([zlib.compress(x.tobytes(), 1)])})
-
-
 def prefix_tokens(docs: DataFrame, text: str, classes, seed: int, percent: int) -> DataFrame:
     """(token, node): the prefix of each node under the first order. A task
     emits a node once, however many copies it reads. A token that is frequent
@@ -346,7 +350,9 @@ def candidates(members: DataFrame, partitions: int, low: int, high: int, percent
             y = pa.array([None, *pairs[:, 1].tolist()] if more else pairs[:, 1].tolist(), pa.int64())
             yield pa.RecordBatch.from_arrays([x, y], ["x", "y"])
 
-    return (members.repartition(partitions, "a", "b").mapInArrow(run, "x long, y long").distinct())
+    # Cells with one least member are mostly of one group of copies: a few of them
+    # together emit a pair once.
+    return members.repartition(partitions, F.col("least"), F.pmod("a", F.lit(6))).drop("least").mapInArrow(run, "x long, y long").distinct()
 
 
 def set_rows(docs: DataFrame, key: str, text: str, wanted: DataFrame, seed: int) -> DataFrame:
@@ -438,7 +444,7 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         # cells with the same members are kept once
         cells = token_cells(tokens, max(least, facts["prefix"] // 1_000_000 + 1)).dropDuplicates(["a", "b"])
         member = materialize(
-            cells.select("a", "b", F.explode("members").alias("node"))
+            cells.select("a", "b", F.array_min("members").alias("least"), F.explode("members").alias("node"))
             .join(classes.select("node", "n", "bitmap"), "node"), "join-members")
         links, comps = _rounds(docs, key, text, member, classes, percent, seed, least)
     ids = classes.select("node", "first_id")
@@ -468,15 +474,14 @@ def _rounds(docs, key, text, member, classes, percent, seed, least):
         parts = max(least, count // 100_000 + 1)
         now = member.withColumn("comp", F.col("node")) if comps is None else (
             member.join(comps, "node", "left").select(*member.columns, F.coalesce("component", "node").alias("comp")))
-        found = materialize(candidates(now.select("a", "b", "node", "n", "bitmap", "comp"), parts, low, high, percent),
+        found = materialize(candidates(now.select("a", "b", "node", "n", "bitmap", "comp", "least"), parts, low, high, percent),
                             "join-pairs")
         pairs = found.where("x IS NOT NULL")
         if sets is None:
             alive = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
             wanted = classes.join(alive, "node", "left_semi").select("one.id", "one.th")
             sets = materialize(set_rows(docs, key, text, wanted, seed), "join-sets")
-            member = materialize(member.join(alive, "node", "left_semi"), "join-alive")
-            count = member.count()
+            member = member.join(alive, "node", "left_semi")
         new = materialize(verify(pairs, sets, percent), "join-links")
         if not new.isEmpty():
             comps = merge_components(comps, new)
@@ -490,7 +495,7 @@ def _rounds(docs, key, text, member, classes, percent, seed, least):
 def merge_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, component) after further links: components are joined as wholes."""
     if comps is None:
-        return materialize(connected_components(links), "join-components")
+        return connected_components(links)
     def label(side):
         return comps.select(F.col("node").alias(side), F.col("component").alias("c" + side))
     between = (links.join(label("src"), "src", "left").join(label("dst"), "dst", "left")

@@ -54,8 +54,7 @@ RULES = (
 def _counts(docs: DataFrame, text: str) -> DataFrame:
     """Columns _w (words), and the contract's counts."""
     t = F.coalesce(F.col(text), F.lit(""))
-    blank = r"^[\x20\x09-\x0D]*$"
-    lines = F.filter(F.split(t, "\n", -1), lambda x: ~x.rlike(blank))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.filter(F.split(t, SPACE, -1), lambda w: w != F.lit(""))
     d = docs.withColumn("_t", t).withColumn("_w", words).withColumn("_l", lines)
     n = F.size("_w")

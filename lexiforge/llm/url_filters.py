@@ -134,7 +134,7 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
     all_edges = None
     for e in edges:
         all_edges = e if all_edges is None else all_edges.unionByName(e)
-    comps = None if all_edges is None else connected_components(all_edges)
+    comps = None if all_edges is None else connected_components(all_edges, python=False)
     if comps is None:
         d = d.withColumn("_alias", F.lit(None).cast("string"))
     else:
