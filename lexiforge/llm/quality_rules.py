@@ -131,7 +131,11 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
          .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
              "base_failed", "failed_rules", "kept"]
-    return d.select(*[F.col(f"`{c}`") for c in own if c not in added], *added)
+    # One value per row through a generator: filters on the results then stay above
+    # it, where they cost nothing, and are not unfolded into the expressions below.
+    result = F.explode_outer(F.array(F.struct(*added))).alias("_v")
+    others = [F.col(f"`{c}`") for c in own if c not in added]
+    return d.select(*others, result).select(*others, "_v.*")
 
 
 def keep_good(docs: DataFrame, text: str = "text", **options) -> DataFrame:
