@@ -25,10 +25,11 @@ def fold(doc_id: str | Column, mod: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
-           max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+           max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows whose texts hold about ``max_bytes``
     (at least one row), so a worker's working memory is bounded by that or by
-    its longest text, not by the batch's row count."""
+    its longest text, not by the batch's row count. Freed memory goes back to the
+    system after each batch, as workers live on beyond a task."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -39,6 +40,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        del batch, offsets
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory of Arrow's pool and of malloc back to the system."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):      # another C library
+        pass
 
 
 def text_offsets(column: pa.Array) -> np.ndarray:

@@ -47,7 +47,7 @@ from lexiforge.llm.common import mix64, slices, span_hashes, text_bytes, word_sp
 
 MAX_RATE, MIN_WORDS, SAMPLES, RECALL = 0.2, 5, 4, 0.99
 MAX_ITEMS = 20_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 FLAGS = 1 << 20
 
 

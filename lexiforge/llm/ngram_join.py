@@ -57,7 +57,7 @@ SKETCH = 1 << 21
 BLOCK = 1024
 #: Candidate ranks of the rounds; the last takes all.
 RANKS = (4, 1 << 62)
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 def shingle_sets(column: pa.Array, seed: int = 0, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -112,7 +112,14 @@ def profile(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         import zlib
-        counts = np.zeros(SKETCH, np.int64)
+        counts, held = np.zeros(SKETCH, np.int64), []
+
+        def count():
+            if held:
+                counts[:] += np.bincount((np.concatenate(held) & np.uint64(SKETCH - 1)).astype(np.int64),
+                                         minlength=SKETCH)
+                held.clear()
+
         names = ["id", "th", "node", "digest", "n", "bitmap", "part", "counts"]
         id_type = pa.int64()
         for batch in slices(batches, max_bytes=SLICE):
@@ -130,14 +137,15 @@ def profile(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
                     digest.append(None)
                     node.append(None)
                     bitmap.append(None)
-            if tokens:
-                counts += np.bincount((np.concatenate(tokens) & np.uint64(SKETCH - 1)).astype(np.int64),
-                                      minlength=SKETCH)
+            held += tokens
+            if sum(map(len, held)) > SKETCH // 2:
+                count()
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), batch.column(2), pa.array(node, pa.int64()), pa.array(digest, pa.binary()),
                  pa.array(n, pa.int64()), pa.array(bitmap, pa.binary()), pa.nulls(m, pa.int32()),
                  pa.nulls(m, pa.binary())], names)
+        count()
         step = SKETCH // 32
         for i in range(32):
             part = counts[i * step:(i + 1) * step]
