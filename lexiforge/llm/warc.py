@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.session import ensure_checkpoint_dir
+from lexiforge.operators.broadcast import bounded_broadcast
+from lexiforge.session import ensure_checkpoint_dir, materialize
 
 DATE = "2024-01-01T00:00:00Z"
 RECORD = ("record_type string, record_id string, concurrent_to string, refers_to string, "
@@ -56,6 +57,9 @@ def mark_revisits(pages: DataFrame, key: str, payload: str, min_revisit_bytes: i
     largest = (d.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest")
                .agg(F.max(key).alias("_max"), F.count("*").alias("_n")).where("_n > 1")
                .select(F.col("_digest").alias("_d"), "_max"))
+    # Few payloads repeat as a rule: the table goes to all tasks if a count shows
+    # that it is small, else both sides are shuffled.
+    largest, _ = bounded_broadcast(materialize(largest, "warc-repeats"), 500_000)
     return (d.join(largest, (F.col("_digest") == F.col("_d"))
                    & (F.col("_bytes") >= min_revisit_bytes), "left")
             .withColumn("_first", F.when(F.col("_max").isNotNull()
