@@ -63,7 +63,7 @@ def fold_table() -> dict[int, str]:
     return out
 
 
-_DIGIT = re.compile(r"(?<=[^\W\d_])[0134578@$€!9]+(?=[^\W\d_])|(?<![\w@$€!])[0134578@$€9]+(?=[^\W\d_]{2})")
+_DIGIT = re.compile(r"(?<=[^\W\d_])[0134578@$€!9]+(?=[^\W\d_])|(?<![\w@$€!])[0134578@$€9]+(?=[^\W\d_][\w@$€!])")
 
 
 class Folder:
