@@ -17,8 +17,6 @@ the checkpointed stream is exactly-once in effect.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,13 +49,10 @@ def merge_batch(batch: DataFrame, target: str, buckets: int = 64, key: str = "uu
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path or path.startswith("file:"):
-        return os.path.exists(path.replace("file:", "", 1))
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+    """Whether ``path`` exists, as the file system that Spark would use for it
+    says; a file system that cannot answer raises."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def maintain_canonical(spark: SparkSession, source_dir: str, schema: T.StructType, target: str,

@@ -43,10 +43,11 @@ def test_color_list_delimited(spark):
 
 
 def test_float_text_to_int(spark):
-    # row 10: '3.0' -> 3, '0.5' -> quarantined, null -> null; row 11 fits int
-    vals = ["3.0", "0.5", None, "40000.0", "abc"]
-    assert one_col(spark, vals, codes.float_text_to_int) == [3, None, None, 40000, None]
-    assert one_col(spark, vals, codes.is_fractional_text) == [False, True, False, False, False]
+    # row 10: '3.0' -> 3, '0.5' -> quarantined, null -> null; row 11 fits int;
+    # text that is no number, or too large a one, is flagged as well
+    vals = ["3.0", "0.5", None, "40000.0", "abc", "9e12"]
+    assert one_col(spark, vals, codes.float_text_to_int) == [3, None, None, 40000, None, None]
+    assert one_col(spark, vals, codes.is_fractional_text) == [False, True, False, False, True, True]
 
 
 def test_enum_lookups():

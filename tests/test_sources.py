@@ -70,3 +70,24 @@ def test_streaming_keep_first_matches_batch(spark, tmp_dir):
     want = sorted((r.name, r.side, r.uuid) for r in
                   allrows.withColumn("rn", F.row_number().over(w)).where("rn = 1").collect())
     assert got == want
+
+
+def test_broken_combo_document_is_reported(spark, tmp_dir):
+    from lexiforge.sources import combos
+    for name, text in (("good.json", json.dumps({"variants": [{"id": "1"}, {"id": "2"}]})), ("bad.json", "{broken")):
+        with open(f"{tmp_dir}/{name}", "w") as f:
+            f.write(text)
+    assert combos.read_variants_json(spark, f"{tmp_dir}/good.json").count() == 2
+    assert combos.broken_documents(spark, f"{tmp_dir}/good.json").count() == 0
+    broken = combos.broken_documents(spark, tmp_dir).collect()
+    assert len(broken) == 1 and broken[0].path.endswith("bad.json")
+    with pytest.raises(Exception, match="broken combo document"):
+        combos.read_variants_json(spark, tmp_dir).collect()
+
+
+def test_keep_first_asks_the_file_system(spark, tmp_dir):
+    from lexiforge.streaming.keep_first import _exists
+    assert _exists(spark, tmp_dir) and _exists(spark, f"file://{tmp_dir}")
+    assert not _exists(spark, f"{tmp_dir}/none")
+    with pytest.raises(Exception, match="nosuchscheme"):
+        _exists(spark, "nosuchscheme://host/x")
