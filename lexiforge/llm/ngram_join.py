@@ -318,9 +318,10 @@ def candidates(members: DataFrame, partitions: int, low: int, high: int, percent
     """(x, y, more): passing pairs of unlike components whose rank (by distance)
     is in [low, high) for either of them; ``more`` marks that further ranks hold some."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
+        table = pa.Table.from_batches(got)
         a, b = table.column("a").to_numpy(), table.column("b").to_numpy()
         node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
         comp = table.column("comp").to_numpy()
