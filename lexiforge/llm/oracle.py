@@ -6,7 +6,7 @@ from __future__ import annotations
 OP3 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-      list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 tri AS (SELECT k, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g
         FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM tri) WHERE n > 1),
@@ -19,8 +19,8 @@ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
       length(regexp_replace(t, '\P{L}+', '', 'g')) AS letters,
       length(regexp_replace(t, '\P{Lu}+', '', 'g')) AS uppers,
       length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks,
-      len(list_filter(ws, x -> x = '|')) AS pipes,
-      len(list_filter(ws, x -> list_contains(stops, rtrim(lower(x), '.,;:!?')))) AS stopped
+      len(list_filter(ws, lambda x: x = '|')) AS pipes,
+      len(list_filter(ws, lambda x: list_contains(stops, rtrim(lower(x), '.,;:!?')))) AS stopped
       FROM m, (SELECT string_split('@STOPS@', ' ') AS stops))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,

@@ -54,7 +54,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id", "n_links")
+        "doc_id", "n_shingles", "component_id")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
