@@ -13,11 +13,10 @@ these steps, none of which drops a pair that may link:
    node. Groups of one token are cut into blocks of ``BLOCK`` nodes, and pairs of
    blocks are the cells in which pairs are looked at. Cells with the same
    members are kept once.
-3. In a cell, sizes and bitmaps bound the similarity from above. Pairs that
-   pass become candidates in rounds: each node's nearest partners first, then
-   further ranks, always leaving out pairs already in one component. The last
-   round takes all ranks, so each pair that passes is either tested or
-   connected otherwise.
+3. In a cell, sizes and bitmaps bound the similarity from above. Of the pairs
+   that pass, the first round makes a spanning forest candidates, nearest pairs
+   first. The second round takes every pair that passes and is not yet in one
+   component, so each pair that passes is either tested or connected otherwise.
 4. Candidates must also share a prefix token under the second and the third
    order (hashes with other seeds); those that do are compared whole.
 5. Connected components over the links give the classes.
@@ -55,8 +54,6 @@ from lexiforge.session import materialize
 WORDS = 5
 SKETCH = 1 << 21
 BLOCK = 1024
-#: Candidate ranks of the rounds; the last takes all.
-RANKS = (4, 1 << 62)
 SLICE = 1 << 20
 
 
@@ -314,9 +311,44 @@ def near_in_cell(n: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> tupl
     return np.concatenate(out_i), np.concatenate(out_j), np.concatenate(out_d)
 
 
-def candidates(members: DataFrame, partitions: int, low: int, high: int, percent: int) -> DataFrame:
-    """(x, y, more): passing pairs of unlike components whose rank (by distance)
-    is in [low, high) for either of them; ``more`` marks that further ranks hold some."""
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def nearest_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, nodes: np.ndarray, root: list[int]) -> np.ndarray:
+    """Which pairs (i, j) to take, nearest first, to connect what the pairs of a
+    cell connect and ``root`` (parents, by ``nodes``; updated) does not yet: each
+    part takes its nearest pair to another part, until no pair is left."""
+    parts, label = np.unique(np.array([_find(root, x) for x in nodes.tolist()]), return_inverse=True)
+    order = np.lexsort((j, i, d))
+    a, b = label[i[order]], label[j[order]]
+    own, taken = list(range(len(parts))), []
+    while len(order):
+        apart = a != b
+        order, a, b = order[apart], a[apart], b[apart]
+        at = np.arange(len(order))
+        best = np.full(len(parts), len(order))
+        np.minimum.at(best, a, at)
+        np.minimum.at(best, b, at)
+        for k in np.unique(best[best < len(order)]).tolist():
+            x, y = _find(own, int(a[k])), _find(own, int(b[k]))
+            if x != y:
+                own[max(x, y)] = min(x, y)
+                u, v = _find(root, int(parts[x])), _find(root, int(parts[y]))
+                root[max(u, v)] = min(u, v)
+                taken.append(int(order[k]))
+        now = np.array([_find(own, x) for x in range(len(parts))])
+        a, b = now[a], now[b]
+    return np.array(taken, np.int64)
+
+
+def candidates(members: DataFrame, partitions: int, forest: bool, percent: int) -> DataFrame:
+    """(x, y, more): passing pairs of unlike components; with ``forest`` only
+    those that connect the nodes of a task (at most one a node), and a row of
+    nulls marks that others were left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -329,27 +361,23 @@ def candidates(members: DataFrame, partitions: int, low: int, high: int, percent
         a, b, node, n, comp = a[order], b[order], node[order], n[order], comp[order]
         bitmap = table.column("bitmap").combine_chunks()
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
+        place = np.unique(node, return_inverse=True)[1]
+        root = list(range(int(place.max()) + 1))
         more, seen_x, seen_y = False, [], []
         for s, e in zip(cut[:-1], cut[1:]):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
             maps = [np.frombuffer(bitmap[int(k)].as_py(), "<u8") for k in order[s:e]]
             i, j, d = near_in_cell(n[s:e], maps, percent)
+            unlike = comp[s:e][i] != comp[s:e][j]
+            i, j, d = i[unlike], j[unlike], d[unlike]
             if not len(i):
                 continue
-            # rank of each pair among the partners of either end
-            end = np.concatenate([i, j])
-            other = np.concatenate([j, i])
-            far = np.concatenate([d, d])
-            o = np.lexsort((node[s:e][other], far, end))
-            rank = np.empty(len(o), np.int64)
-            begin = np.flatnonzero(np.concatenate([[True], end[o][1:] != end[o][:-1]]))
-            rank[o] = np.arange(len(o)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(o)]])))
-            best = np.minimum(rank[:len(i)], rank[len(i):])
-            unlike = comp[s:e][i] != comp[s:e][j]
-            more = more or bool((unlike & (best >= high)).any())
-            take = np.flatnonzero(unlike & (best >= low) & (best < high))
-            x, y = node[s:e][i[take]], node[s:e][j[take]]
+            if forest:
+                take = nearest_forest(i, j, d, place[s:e], root)
+                more = more or len(take) < len(i)
+                i, j = i[take], j[take]
+            x, y = node[s:e][i], node[s:e][j]
             seen_x.append(np.minimum(x, y))
             seen_y.append(np.maximum(x, y))
         pairs = np.unique(np.stack([np.concatenate(seen_x), np.concatenate(seen_y)], axis=1), axis=0) \
@@ -474,16 +502,17 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def _rounds(docs, key, text, member, classes, percent, seed, least):
-    """(links, components), round by round of candidate ranks; None without links."""
+    """(links, components): a forest of candidates, then all that are still apart;
+    None without links."""
     count = member.count()
     if not count:
         return None, None
-    links, comps, sets, low = None, None, None, 0
-    for high in RANKS:
+    links, comps, sets = None, None, None
+    for forest in (True, False):
         parts = max(least, count // 100_000 + 1)
         now = member.withColumn("comp", F.col("node")) if comps is None else (
             member.join(comps, "node", "left").select(*member.columns, F.coalesce("component", "node").alias("comp")))
-        found = materialize(candidates(now.select("a", "b", "node", "n", "bitmap", "comp", "least"), parts, low, high, percent),
+        found = materialize(candidates(now.select("a", "b", "node", "n", "bitmap", "comp", "least"), parts, forest, percent),
                             "join-pairs")
         pairs = found.where("x IS NOT NULL")
         if sets is None:
@@ -497,7 +526,6 @@ def _rounds(docs, key, text, member, classes, percent, seed, least):
             links = new if links is None else links.unionByName(new)
         if found.where("x IS NULL").isEmpty():
             break
-        low = high
     return links, comps
 
 
