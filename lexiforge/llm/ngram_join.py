@@ -89,9 +89,12 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def parity_bitmap(s: np.ndarray) -> bytes:
-    """Bit j: whether an odd number of tokens falls on j; as many bits as the
-    power of two at or above the set's size (64 at least)."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
+    """Bit j: whether an odd number of tokens falls on j. Four times as many bits
+    as the power of two at or above the set's size (64 at least), so that few
+    pairs below the threshold pass; sets over 8,192 tokens get that power alone,
+    sets between get no fewer bits than smaller ones."""
+    size = 1 << (len(s) - 1).bit_length()
+    bits = max(64, min(4 * size, 8192), size)
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
