@@ -91,24 +91,32 @@ def compile_filters(filters: dict[str, Any] | None, fields: list[str],
     Forms: ``{"field": value}`` (equality), ``{"field": [v1, v2]}`` (``isin``),
     ``{"field": {"$lte": 3, ...}}`` (comparisons), and the logical keys
     ``$and`` / ``$or`` (lists of filter dicts) and ``$not`` (one dict).
+    ``{"field": None}`` keeps rows whose field is null; any other comparison with
+    a null is unknown, also under ``$not``, and unknown rows are not kept.
     Unknown fields raise, so a typo never silently matches everything.
     """
+    # Only the whole predicate turns unknown into false: inside, ``$not`` of an
+    # unknown comparison stays unknown.
+    return F.coalesce(_predicate(filters, fields, prefix), F.lit(False))
+
+
+def _predicate(filters: dict[str, Any] | None, fields: list[str], prefix: str) -> Column:
     if not filters:
         return F.lit(True)
     preds: list[Column] = []
     for key, value in filters.items():
         if key in ("$and", "AND"):
-            preds.append(_all([compile_filters(f, fields, prefix) for f in value]))
+            preds.append(_all([_predicate(f, fields, prefix) for f in value]))
             continue
         if key in ("$or", "OR"):
-            parts = [compile_filters(f, fields, prefix) for f in value]
+            parts = [_predicate(f, fields, prefix) for f in value]
             out = parts[0]
             for p in parts[1:]:
                 out = out | p
             preds.append(out)
             continue
         if key in ("$not", "NOT"):
-            preds.append(~compile_filters(value, fields, prefix))
+            preds.append(~_predicate(value, fields, prefix))
             continue
         if key not in fields:
             raise ValueError(f"unknown filter field {key!r}; known: {sorted(fields)}")
@@ -120,11 +128,11 @@ def compile_filters(filters: dict[str, Any] | None, fields: list[str],
                 preds.append(_OPS[op](col, v))
         elif isinstance(value, (list, tuple, set)):
             preds.append(col.isin(list(value)))
+        elif value is None:
+            preds.append(col.isNull())
         else:
             preds.append(col == value)
-    # Null comparisons are false, not unknown: a filter never keeps a row it
-    # cannot decide.
-    return F.coalesce(_all(preds), F.lit(False))
+    return _all(preds)
 
 
 def _all(preds: list[Column]) -> Column:

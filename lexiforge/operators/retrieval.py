@@ -23,12 +23,13 @@ from typing import Any, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiforge.functions.predicates import compile_filters
-from lexiforge.functions.text import WORD_TOKEN, explode_computed, word_tokens
+from lexiforge.functions.text import WORD_TOKEN, explode_computed, split_lines, word_tokens
 from lexiforge.operators.broadcast import bounded_broadcast
 from lexiforge.session import ship_by_value
 from lexiforge.schemas import (
@@ -263,7 +264,9 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
-    rows = queries.select(query_id, embedding).collect()
+    # Rows without a vector have no dense results, on either side.
+    vectors = vectors.where(F.col(embedding).isNotNull())
+    rows = queries.where(F.col(embedding).isNotNull()).select(query_id, embedding).collect()
     if not rows:
         return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     qids = np.array([r[0] for r in rows])
@@ -387,8 +390,7 @@ def format_result(score: Column, content: Column, meta: Column) -> Column:
     Empty content gives null (the source raises).
     """
     lines = F.concat(
-        F.coalesce(F.split(F.regexp_replace(content, "(?:\\r\\n|[\\n\\r])\\z", ""), "\\r\\n|[\\n\\r]"),
-                   F.array().cast("array<string>")),
+        F.coalesce(split_lines(content), F.array().cast("array<string>")),
         F.array_compact(F.array(
             F.when(_not_blank(meta["mana_cost"]), F.concat(F.lit(RESULT_MANA), meta["mana_cost"])),
             F.when(meta["cmc"].isNotNull(),
@@ -434,8 +436,8 @@ def save_index(index: SearchIndex, path: str, version: str) -> str:
     index.token_df.write.mode("error").parquet(f"{root}/token_df")
     if index.vectors is not None:
         index.vectors.write.mode("error").parquet(f"{root}/vectors")
-    spark.createDataFrame([(index.n_docs, index.avg_len, version)],
-                          "n_docs long, avg_len double, version string") \
+    spark.createDataFrame([(index.n_docs, index.avg_len, version, index.vectors is not None)],
+                          "n_docs long, avg_len double, version string, has_vectors boolean") \
         .write.mode("error").parquet(f"{root}/stats")
     spark.createDataFrame([(version,)], "version string").coalesce(1) \
         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_POINTER}")
@@ -446,14 +448,13 @@ def load_index(spark: SparkSession, path: str) -> SearchIndex:
     """Read the version the pointer names; missing store -> FileNotFoundError."""
     try:
         version = spark.read.parquet(f"{path.rstrip('/')}/{_POINTER}").first()["version"]
-    except Exception as e:  # noqa: BLE001
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no search index at {path}") from e
     root = f"{path.rstrip('/')}/v={version}"
     stats = spark.read.parquet(f"{root}/stats").first()
-    try:
-        vectors = spark.read.parquet(f"{root}/vectors")
-    except Exception:  # noqa: BLE001 - optional table
-        vectors = None
+    vectors = spark.read.parquet(f"{root}/vectors") if stats["has_vectors"] else None
     return SearchIndex(spark.read.parquet(f"{root}/docs"), spark.read.parquet(f"{root}/postings"),
                        spark.read.parquet(f"{root}/token_df"), int(stats["n_docs"]),
                        float(stats["avg_len"]), vectors)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiforge.functions.predicates import compile_filters
 from lexiforge.operators import corpus, retrieval
 from lexiforge.operators.fuzzy import fuzzy_best_match, lcs_length, partial_ratio
 
@@ -289,3 +290,23 @@ def test_fuzzy_slices_over_the_bound(spark, monkeypatch):
     whole = {tuple(r) for r in fuzzy.fuzzy_best_match(names, qs).collect()}
     monkeypatch.setattr(fuzzy, "MAX_QUERIES", 1)
     assert {tuple(r) for r in fuzzy.fuzzy_best_match(names, qs).collect()} == whole
+
+
+def test_filters_on_nulls(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id int, a string")
+
+    def ids(f):
+        return sorted(r[0] for r in df.where(compile_filters(f, ["a"])).select("id").collect())
+
+    assert ids({"a": "y"}) == [2]
+    assert ids({"$not": {"a": "y"}}) == [1]
+    assert ids({"a": None}) == [3]
+    assert ids({"$not": {"a": None}}) == [1, 2]
+    assert ids({"$or": [{"a": "y"}, {"a": None}]}) == [2, 3]
+
+
+def test_dense_search_without_vectors_on_some_rows(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], "id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, embedding array<float>")
+    got = retrieval.dense_search(vectors, queries, 2).select("query_id", "id", "rank").collect()
+    assert sorted(map(tuple, got)) == [(7, 1, 1), (7, 3, 2)]
