@@ -2,9 +2,9 @@
 
 Design for skew: a conversation is a group of turns, and one conversation may
 be huge. Per-conversation totals (token counts, trainable counts) are
-partial aggregates; the only ordered operations per conversation run over
-narrow (turn, count) rows, and the only collected text is bounded by the
-truncation length.
+partial aggregates; the only ordered operations per conversation are windows
+over its turns (sorted with spill), and the only collected text is bounded by
+the truncation length.
 """
 
 from __future__ import annotations
@@ -93,18 +93,14 @@ def truncate_tokens(turns: DataFrame, max_len: int, conv: str = "conv_id", turn:
 
     Tensors are not padded here: padding depends on batch grouping and belongs
     to the export step. The running offset per conversation is a window over
-    narrow (turn, count) rows joined back on the (conv, turn) key; the
-    collected tokens are at most ``max_len``.
+    its turns; the collected tokens are at most ``max_len``.
     """
     begin = train_tokens(F.lit(template.begin))
     t = turn_tokens(turns, conv, turn, role, text, template)
-    # The running offset is ordered within a conversation, so its window only
-    # sees narrow (conv, turn, count) rows; the token arrays rejoin by key.
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
-    offs = (t.select(conv, turn, "n_tokens")
-            .withColumn("_off", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + F.size(begin))
-            .select(conv, turn, "_off"))
-    t = t.join(offs, [conv, turn], "inner")
+    # The token arrays go through the window with their row, so a repeated
+    # (conv, turn) counts each of its rows once; ties go by the tokens.
+    w = Window.partitionBy(conv).orderBy(turn, "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_off", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + F.size(begin))
     room = F.greatest(F.lit(max_len) - F.col("_off"), F.lit(0))
     kept = F.when(room > 0, F.slice("tokens", 1, room)).otherwise(F.array().cast("array<string>"))
     per_conv = (t.select(conv, turn, "n_tokens", kept.alias("_k"))

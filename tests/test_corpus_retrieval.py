@@ -310,3 +310,12 @@ def test_dense_search_without_vectors_on_some_rows(spark):
     queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id long, embedding array<float>")
     got = retrieval.dense_search(vectors, queries, 2).select("query_id", "id", "rank").collect()
     assert sorted(map(tuple, got)) == [(7, 1, 1), (7, 3, 2)]
+
+
+def test_truncate_counts_repeated_turns_once(spark):
+    row = (1, 0, "user", "one two three")
+    one = spark.createDataFrame([row], "conv_id long, turn long, role string, text string")
+    n1 = corpus.truncate_tokens(one, 100).first()
+    n2 = corpus.truncate_tokens(one.unionAll(one), 100).first()
+    begin = 1
+    assert n2["n_tokens"] == 2 * (n1["n_tokens"] - begin) + begin == n2["n_kept"]
