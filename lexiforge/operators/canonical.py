@@ -71,9 +71,16 @@ def canonical_rows(printings: DataFrame, legalities: DataFrame, rulings: DataFra
     (P-1). Only rulings of the chosen representative attach (J-2)."""
     keys = legal_keys(legalities, fmt, legal_value, key)
     reps = representatives(printings, keys, key, name, side)
-    agg = aggregate_rulings(rulings, reps.select(key), key, ruling_text)
     cols = columns if columns is not None else [c for c in CARD_COLUMNS if c in printings.columns]
-    return reps.select(*cols).join(agg, key, "left")
+    return attach_rulings(reps, rulings, key, ruling_text, cols)
+
+
+def attach_rulings(reps: DataFrame, rulings: DataFrame, key: str = "uuid", ruling_text: str = "text",
+                   columns: list[str] | None = None) -> DataFrame:
+    """Representatives with their rulings (J-2). ``reps`` feeds both the
+    semi-join and the left join: write it once first where it is costly."""
+    agg = aggregate_rulings(rulings, reps.select(key), key, ruling_text)
+    return reps.select(*(columns or reps.columns)).join(agg, key, "left")
 
 
 def typed_cards(cards: DataFrame, compat: bool = False) -> DataFrame:

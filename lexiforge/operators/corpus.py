@@ -180,14 +180,18 @@ def pack_blocks(docs: DataFrame, tokens: str, key: str, block_len: int, shards:
     """M-5, contents: -> (shard, block, tokens) with at most ``block_len``
     tokens per block. A document crossing a boundary is split; each shard's
     last block may be partial (reported by its size, never dropped)."""
-    d = docs.select(key, F.concat(F.col(tokens), F.array(F.lit(end_token))).alias("_t"))
+    own = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
+    d = docs.select(key, F.concat(own, F.array(F.lit(end_token))).alias("_t"))
     d = d.withColumn("_len", F.size("_t"))
     d = pack_offsets(d, "_len", key, block_len, shards)
-    exploded = d.select("shard", "offset", F.posexplode("_t").alias("_i", "_tok"))
-    exploded = exploded.withColumn("_g", F.col("offset") + F.col("_i"))
-    return (exploded.groupBy("shard", F.floor(F.col("_g") / block_len).cast("bigint").alias("block"))
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_g", "_tok"))),
-                             lambda x: x["_tok"]).alias("tokens")))
+    # one row per (document, block) it touches, holding its slice of tokens
+    d = d.withColumn("block", F.explode(F.sequence("first_block", "last_block")))
+    begin = F.greatest(F.col("offset"), F.col("block") * block_len)
+    end = F.least(F.col("offset") + F.col("_len"), (F.col("block") + 1) * block_len)
+    piece = F.slice("_t", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
+    return (d.select("shard", "block", F.struct(begin.alias("_g"), piece.alias("_p")).alias("_x"))
+            .groupBy("shard", "block")
+            .agg(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_p"])).alias("tokens")))
 
 
 def system_message(context: Column) -> Column:

@@ -124,31 +124,27 @@ def fuzzy_best_match(names: DataFrame, queries: DataFrame, key: str = "uuid",
                      text: str = "text") -> DataFrame:
     """(query_id, match_key, match_name, score): the best name per non-empty
     query; equal scores go to the lowest key."""
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        # Exact for any batch size: hash slices of the queries, each within
-        # the broadcast bound.
-        from lexiforge.functions.text import md5_bucket
-        slices = -(-queries.count() // MAX_QUERIES) * 2
-        parts = [fuzzy_best_match(names, queries.where(md5_bucket(F.col(query_id), slices) == i),
-                                  key, name, query_id, text) for i in range(slices)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    qrows = [(r[0], r[1]) for r in queries.select(query_id, text)
-             .where(F.length(F.col(text)) > 0).collect()]
     spark = names.sparkSession
     kt = names.schema[key].dataType.simpleString()
     qt = queries.schema[query_id].dataType.simpleString()
-    if not qrows:
-        return spark.createDataFrame([], f"query_id {qt}, match_key {kt}, match_name string, score double")
     schema = f"query_id {qt}, match_key {kt}, match_name string, score double"
+    queries = queries.where(F.length(F.col(text)) > 0).select(query_id, text).distinct()
+    n = queries.count()
     # Score each distinct name once, carrying its lowest key: exact, since a
     # tie between names resolves to the lowest key over all of them. The
     # min-per-name aggregate is partial, so a hot name costs nothing extra.
     distinct = names.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(key).alias(key))
-    local = distinct.select(key, name).mapInPandas(_best_per_query(qrows, key, name), schema)
+    # Exact for any batch size: slices by a hash of the whole row, so a repeated
+    # id splits too, each within the bound of what rides to the tasks.
+    slices = 1 if n <= MAX_QUERIES else -(-n // MAX_QUERIES) * 2
+    local = spark.createDataFrame([], schema)
+    for i in range(slices):
+        part = queries if slices == 1 else queries.where(
+            F.pmod(F.xxhash64(query_id, text), F.lit(slices)) == i)
+        qrows = [(r[0], r[1]) for r in part.collect()]
+        if qrows:
+            local = local.unionByName(
+                distinct.select(key, name).mapInPandas(_best_per_query(qrows, key, name), schema))
     best = (local.groupBy("query_id")
             .agg(F.min_by(F.struct("match_key", "match_name", "score"),
                           F.struct((-F.col("score")).alias("s"), F.col("match_key").alias("k")))

@@ -3,15 +3,15 @@ P-12..P-14, S-9).
 
 Plan choices, for a corpus far larger than the query batch:
 
-* BM25: query tokens (a bounded table, broadcast after a size check) are
-  joined to the postings by token, so the postings are streamed, never
-  shuffled. Document length is stored in the postings, so scoring needs no
-  second join. Per-(query, doc) sums are partial aggregates; the per-query
-  top-k runs as a partial ``WindowGroupLimit`` before its shuffle.
-* Dense: the query matrix is broadcast (size-checked) and each vector
-  partition computes its scores with one numpy matmul per Arrow batch,
-  keeping only its local top-k per query. No query x document pairs are ever
-  materialised as rows.
+* BM25 over a table, for a batch within a size bound: one job counts N, the
+  total length and the batch tokens' document frequencies (a result as large as
+  the batch's vocabulary), a second scores each document inside its own Arrow
+  batch and keeps a running top-k per query, so tasks x queries x k rows move.
+  Larger batches, and saved indexes, join tokens with postings.
+* Dense: each vector partition scores its batches against tiles of the
+  (size-checked) query matrix and keeps one running top-k per query. The work
+  is exact, O(queries x vectors x dimensions); no query x document pairs are
+  ever materialised as rows.
 * Merge: union, first-source-wins dedupe per (query, doc), then top-k.
 """
 
@@ -23,10 +23,13 @@ from typing import Any, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiforge.functions.predicates import compile_filters
 from lexiforge.functions.text import WORD_TOKEN, explode_computed, split_lines, word_tokens
@@ -41,6 +44,10 @@ from lexiforge.schemas import (
 K1, B, DELTA = 1.5, 0.75, 0.5
 SCORE_DIGITS = 6
 MAX_BROADCAST_QUERIES = 200_000
+#: A batch of at most this many characters travels to the tasks as a token table.
+MAX_BATCH_CHARS = 4_000_000
+#: Scores held at once by a task while it scores one Arrow batch.
+TILE_SCORES = 4_000_000
 
 
 @dataclass
@@ -135,45 +142,114 @@ def _bm25_part(n_docs: int, avg_len: float) -> Column:
 def bm25_scan_candidates(docs: DataFrame, queries: DataFrame, id_col: str = "id",
                          text_col: str = "content", query_id: str = "query_id",
                          text: str = "text") -> DataFrame:
-    """R-2 without a prebuilt index, for one batch of queries: a single pass
-    over the corpus. Each document's tokens are exploded and filtered by a
-    broadcast hash join against the batch's (bounded) token set, so only
-    (token, document) pairs that can score are aggregated and written;
-    nothing corpus-sized is shuffled, and N / average length are observed in
-    the same pass. Same scores as :func:`bm25_candidates`: document
-    frequencies of the query tokens are counted over all documents.
+    """R-2 without a prebuilt index, for a batch of any size: tokens of the
+    documents that some query holds are counted per document, written, and
+    joined with the query tokens by token. Document frequencies are counted
+    over all documents, N and the average length by a plain aggregate.
     """
-    from pyspark.sql import Observation
-
     from lexiforge.session import materialize
     qt = _query_tokens(queries, query_id, text)
     _, small = bounded_broadcast(qt, MAX_BROADCAST_QUERIES * 64)
     vocab = qt.select("token").distinct()
     if small:
         vocab = F.broadcast(vocab)
-    # One pass over the corpus: the corpus scalars are observed on the
-    # tokenised documents while the matching (token, doc) pairs are written
-    # to the shared checkpoint folder; scoring then reads only those pairs.
-    obs = Observation("bm25_corpus")
+    n_docs, avg_len = corpus_stats(docs, text_col)
     toks = (docs.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
-            .withColumn("dl", F.size("_t"))
-            .observe(obs, F.count(F.lit(1)).alias("n"),
-                     F.sum(F.when(F.col("dl") > 0, F.col("dl"))).alias("len_sum"),
-                     F.count(F.when(F.col("dl") > 0, F.lit(1))).alias("len_docs")))
+            .withColumn("dl", F.size("_t")))
     hits = (toks.select("id", "dl", explode_computed("_t").alias("token"))
             .join(vocab, "token", "left_semi"))
     tf = materialize(hits.groupBy("token", "id", "dl").agg(F.count(F.lit(1)).alias("tf")), "bm25-hits")
-    m = obs.get
-    n_docs = int(m["n"])
-    avg_len = float(m["len_sum"]) / m["len_docs"] if m["len_docs"] else 0.0
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    q = qt.join(df.select("token", "df", "cf"), "token", "inner")
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    q = qt.join(df, "token", "inner")
     if small:
         q = F.broadcast(q)
     return (tf.join(q, "token", "inner")
             .groupBy("query_id", "id").agg(F.sum(_bm25_part(n_docs, avg_len)).alias("score")))
 
 
+def _batch_statistics(docs: DataFrame, vocab: DataFrame, text_col: str) -> tuple[int, float, dict[str, int]]:
+    """(N, average length, document frequency per batch token) in one job over
+    all documents. Each document sends its distinct tokens and one null token
+    that carries its length; tokens outside the batch stop at the broadcast
+    join, so the aggregate holds at most one row per batch token and one more."""
+    t = word_tokens(F.col(text_col))
+    marked = F.concat(F.array_distinct(t), F.array(F.lit(None).cast("string")))
+    # Length and tokens are computed below the explode, once per document.
+    rows = (docs.select(F.size(t).alias("dl"), marked.alias("_m"))
+            .select("dl", explode_computed("_m").alias("token"))
+            .join(F.broadcast(vocab.withColumn("_in", F.lit(True))), "token", "left")
+            .where(F.col("_in") | F.col("token").isNull())
+            .groupBy("token").agg(F.count(F.lit(1)).alias("n"),
+                                  F.sum(F.when(F.col("dl") > 0, F.col("dl"))).alias("len_sum"),
+                                  F.count(F.when(F.col("dl") > 0, F.lit(1))).alias("len_docs"))
+            .collect())
+    total = next((r for r in rows if r["token"] is None), None)
+    n_docs = int(total["n"]) if total else 0
+    avg_len = total["len_sum"] / total["len_docs"] if total and total["len_docs"] else 0.0
+    return n_docs, float(avg_len), {r["token"]: int(r["n"]) for r in rows if r["token"] is not None}
+
+
+def _keep_top(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """First ``k`` per query number by score desc, then id."""
+    order = np.lexsort((ids, -scores, q))
+    qs = q[order]
+    start = np.flatnonzero(np.r_[True, qs[1:] != qs[:-1]])
+    rank = np.arange(len(qs)) - np.repeat(start, np.diff(np.r_[start, len(qs)]))
+    keep = order[rank < k]
+    return q[keep], ids[keep], scores[keep]
+
+
+def _merge_top(best, new, k: int):
+    return _keep_top(*(new if best is None else map(np.concatenate, zip(best, new))), k)
+
+
+def _bm25_topk_fn(vocab: list[str], weights: np.ndarray, first: np.ndarray, token_query: np.ndarray,
+                  token_n: np.ndarray, qids: list, qid_type, avg_len: float, k: int):
+    """Task body: ``first[t]:first[t + 1]`` are the entries of token ``t`` in
+    ``token_query`` (query numbers) and ``token_n`` (its occurrences there)."""
+    def score(lists, ids):
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        pos = pc.index_in(lists.flatten(), value_set=pa.array(vocab, pa.string()))
+        hit = pos.is_valid().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(lengths)), lengths)[hit]
+        tok = pos.drop_null().to_numpy().astype(np.int64)
+        key, tf = np.unique(doc * len(vocab) + tok, return_counts=True)
+        if not len(key):
+            return
+        doc, tok = np.divmod(key, len(vocab))
+        c = tf / (1 - B + B * lengths[doc] / (avg_len or 1.0))
+        part = weights[tok] * (K1 + 1) * (c + DELTA) / (K1 + c + DELTA)
+        fan = first[tok + 1] - first[tok]
+        # whole documents per tile, TILE_SCORES scores or one document each
+        ends = np.r_[np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)]
+        total = np.cumsum(fan)[ends - 1]
+        a = i = done = 0
+        while i < len(ends):
+            j = max(i, int(np.searchsorted(total, done + TILE_SCORES, "right")) - 1)
+            f, b = fan[a:ends[j]], ends[j]
+            row = np.repeat(np.arange(a, b), f)
+            at = np.arange(f.sum()) + np.repeat(first[tok[a:b]] - (np.cumsum(f) - f), f)
+            pair, inv = np.unique(doc[row] * len(qids) + token_query[at], return_inverse=True)
+            s = np.bincount(inv, part[row] * token_n[at], len(pair))
+            d, q = np.divmod(pair, len(qids))
+            yield q, ids[d], np.floor(s * 10 ** SCORE_DIGITS + 0.5) / 10 ** SCORE_DIGITS
+            a, i, done = b, j + 1, total[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = id_type = None
+        for batch in batches:
+            id_type = batch.column("id").type
+            ids = np.asarray(batch.column("id").to_pylist())
+            for new in score(batch.column("_t"), ids):
+                best = _merge_top(best, new, k)
+        if best is not None:
+            q, ids, s = best
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qids, qid_type).take(pa.array(q)), pa.array(ids.tolist(), id_type), pa.array(s)],
+                names=["query_id", "id", "score"])
+    return run
+
+
 def top_k(cands: DataFrame, k: int, order: list[Column] | None = None,
           part: str = "query_id") -> DataFrame:
     """T-2/T-3: first ``k`` per query by rounded score desc, then id; adds
@@ -207,37 +283,65 @@ def bm25_scan_search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K
                      filters: dict[str, Any] | None = None, fields: list[str] | None = None,
                      id_col: str = "id", text_col: str = "content", query_id: str = "query_id",
                      text: str = "text") -> DataFrame:
-    """Top-k BM25 for one query batch straight from the document table; the
-    filter applies to candidates, after statistics (E-10)."""
-    cands = bm25_scan_candidates(docs, queries, id_col, text_col, query_id, text)
+    """Top-k BM25 for one query batch straight from the document table.
+
+    Statistics cover all documents; the filter is applied before scoring
+    (E-10). Null query ids ask nothing; a document without an id counts in the
+    statistics and is never returned. A batch of more than MAX_BATCH_CHARS
+    characters goes through :func:`bm25_scan_candidates`, with equal results.
+    """
+    queries = queries.where(F.col(query_id).isNotNull())
+    found = docs.where(F.col(id_col).isNotNull())
     if filters:
-        ok = docs.where(compile_filters(filters, fields or docs.columns)).select(F.col(id_col).alias("id"))
-        cands = cands.join(ok, "id", "left_semi")
-    return top_k(cands, k)
+        found = found.where(compile_filters(filters, fields or docs.columns))
+    chars = queries.agg(F.sum(F.length(F.col(text)))).first()[0] or 0
+    if chars > MAX_BATCH_CHARS:
+        cands = bm25_scan_candidates(docs, queries, id_col, text_col, query_id, text)
+        return top_k(cands.join(found.select(F.col(id_col).alias("id")), "id", "left_semi"), k)
+    qt = _query_tokens(queries, query_id, text)
+    rows = sorted((r["token"], r["query_id"], r["qn"]) for r in qt.collect())
+    spark = docs.sparkSession
+    vocab = sorted({t for t, _, _ in rows})
+    token_no = {t: i for i, t in enumerate(vocab)}
+    qids = sorted({q for _, q, _ in rows})
+    query_no = {q: i for i, q in enumerate(qids)}
+    n_docs, avg_len, df = _batch_statistics(
+        docs, spark.createDataFrame([(t,) for t in vocab], "token string"), text_col)
+    counts = np.bincount([token_no[t] for t, _, _ in rows], minlength=len(vocab)) if rows else np.zeros(0, int)
+    score = _bm25_topk_fn(
+        vocab, np.array([math.log((n_docs + 1.0) / (df.get(t, 0) + 0.5)) for t in vocab]),
+        np.r_[0, np.cumsum(counts)].astype(np.int64),
+        np.array([query_no[q] for _, q, _ in rows], dtype=np.int64),
+        np.array([n for _, _, n in rows], dtype=np.int64), qids,
+        to_arrow_type(queries.schema[query_id].dataType), avg_len, k)
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
+                           T.StructField("id", docs.schema[id_col].dataType),
+                           T.StructField("score", T.DoubleType())])
+    local = (found.select(F.col(id_col).alias("id"), word_tokens(F.col(text_col)).alias("_t"))
+             .mapInArrow(score, schema))
+    return top_k(local, k)
 
 
 # --- dense -------------------------------------------------------------------
 
 def _dense_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf["id"].to_numpy()
+            ids = np.asarray(pdf["id"].tolist())
             mat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            scores = np.round(mat @ qmat.T, SCORE_DIGITS)  # (n_docs, n_queries)
             kk = min(k, len(ids))
-            out_q, out_id, out_s = [], [], []
-            for j in range(qmat.shape[0]):
-                s = scores[:, j]
-                # order by score desc, then id asc; keep the local top-k
-                idx = np.lexsort((ids, -s))[:kk]
-                out_q.append(np.full(kk, qids[j]))
-                out_id.append(ids[idx])
-                out_s.append(s[idx])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q),
-                                "id": np.concatenate(out_id),
-                                "score": np.concatenate(out_s)})
+            tile = max(1, TILE_SCORES // len(ids))
+            for j in range(0, len(qmat), tile):
+                scores = np.round(qmat[j:j + tile] @ mat.T, SCORE_DIGITS)  # (queries, docs)
+                # everything from the k-th score on, so ties go by id below
+                kth = np.partition(scores, len(ids) - kk, axis=1)[:, len(ids) - kk]
+                q, d = np.nonzero(scores >= kth[:, None])
+                best = _merge_top(best, (q + j, ids[d], scores[q, d]), k)
+        if best is not None:
+            yield pd.DataFrame({"query_id": qids[best[0]], "id": best[1], "score": best[2]})
     return run
 
 
@@ -246,36 +350,29 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K,
                  id_col: str = "id", max_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
     """R-3: inner-product top-k per query, in double precision.
 
-    The query side is collected only after a bounded count (it is the
-    broadcast side); a larger batch is processed in hash slices within the
-    bound, so the broadcast never grows with the data.
+    The distinct queries are collected only within a count bound (they ride to
+    the tasks); a larger batch is split by a hash of the whole row, so a
+    repeated id splits too, and one ranking covers all slices.
     """
     spark = vectors.sparkSession
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        # Exact for any batch size: score hash slices of the queries one
-        # broadcast at a time; each slice is within the bound.
-        from lexiforge.functions.text import md5_bucket
-        slices = -(-queries.count() // max_queries) * 2
-        parts = [dense_search(vectors, queries.where(md5_bucket(F.col(query_id), slices) == i),
-                              k, query_id, embedding, id_col, max_queries)
-                 for i in range(slices)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
     # Rows without a vector have no dense results, on either side.
-    vectors = vectors.where(F.col(embedding).isNotNull())
-    rows = queries.where(F.col(embedding).isNotNull()).select(query_id, embedding).collect()
-    if not rows:
-        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    qids = np.array([r[0] for r in rows])
-    qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
+    vectors = (vectors.where(F.col(embedding).isNotNull())
+               .select(F.col(id_col).alias("id"), F.col(embedding).alias("embedding")))
+    queries = queries.where(F.col(embedding).isNotNull()).select(query_id, embedding).distinct()
+    n = queries.count()
     qid_type = queries.schema[query_id].dataType.simpleString()
-    id_type = vectors.schema[id_col].dataType.simpleString()
+    id_type = vectors.schema["id"].dataType.simpleString()
     schema = f"query_id {qid_type}, id {id_type}, score double"
-    local = (vectors.select(F.col(id_col).alias("id"), F.col(embedding).alias("embedding"))
-             .mapInPandas(_dense_topk_fn(qids, qmat, k), schema))
+    slices = 1 if n <= max_queries else -(-n // max_queries) * 2
+    local = spark.createDataFrame([], schema)
+    for i in range(slices):
+        part = queries if slices == 1 else queries.where(
+            F.pmod(F.xxhash64(query_id, embedding), F.lit(slices)) == i)
+        rows = part.collect()
+        if rows:
+            qids = np.array([r[0] for r in rows])
+            qmat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows])
+            local = local.unionByName(vectors.mapInPandas(_dense_topk_fn(qids, qmat, k), schema))
     return top_k(local, k)
 
 

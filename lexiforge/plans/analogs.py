@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.operators.canonical import canonical_rows, typed_cards
+from lexiforge.operators.canonical import attach_rulings, legal_keys, representatives, typed_cards
 from lexiforge.operators.nest import ComboTables, shred_variants
 from lexiforge.session import materialize
 
@@ -94,17 +94,22 @@ CANONICAL_OUT = ["uuid", "name", "side", "manaCost", "manaValue", "type", "power
                  "asciiName", "rarity", "layout", "text", "rulings"]
 
 
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canonical(spark: SparkSession, sf_dir: str, with_rulings: bool = True) -> DataFrame:
+    """Canonical rows. Representatives are ranked once: those that get rulings
+    are written (the filtered-cards sink, S-3) and read back for both joins."""
     pr = printings(spark, sf_dir)
-    return canonical_rows(pr, legalities(spark, sf_dir), rulings(spark, sf_dir),
-                          columns=[c for c in pr.columns])
+    reps = representatives(pr, legal_keys(legalities(spark, sf_dir)))
+    if not with_rulings:
+        return reps
+    return attach_rulings(materialize(reps, "representatives"), rulings(spark, sf_dir))
 
 
-def cards(spark: SparkSession, sf_dir: str, compat: bool = False, persist: bool = False) -> DataFrame:
+def cards(spark: SparkSession, sf_dir: str, compat: bool = False, persist: bool = False,
+          with_rulings: bool = True) -> DataFrame:
     """Canonical, typed card relation. With ``persist`` the canonical rows are
-    written once (the filtered-cards sink, S-3) and read back typed (S-4), for
-    queries whose several branches would otherwise re-rank the printings."""
-    rows = canonical(spark, sf_dir)
+    written once and read back typed (S-4), for queries with several branches;
+    queries that read no rulings leave them out."""
+    rows = canonical(spark, sf_dir, with_rulings)
     if persist:
         rows = materialize(rows, "cards")
     return typed_cards(rows, compat=compat)
@@ -232,7 +237,11 @@ def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings whose vec_id names an existing document, as (id, embedding)."""
-    e = table(spark, sf_dir, "embeddings")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
-    return e.join(d, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "embedding")
+    """All embeddings as (id, embedding)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def doc_vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of documents: a hybrid result names a document."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return vector_table(spark, sf_dir).join(d, "id", "left_semi")

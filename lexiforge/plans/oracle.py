@@ -311,10 +311,18 @@ SELECT conv_id, CAST(sum(n_tok) + 1 AS BIGINT) AS n_tokens,
 FROM t GROUP BY conv_id"""
 
 
-def md5_bucket(x: str, n: int) -> str:
+def md5_bucket(x: str, n: int | str) -> str:
     return f"((('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8))::BIGINT) % {n})"
 
 
+_PACKED = f"""s AS (SELECT CAST(greatest({Q.MIN_PACK_SHARDS}, ceil(count(*) / {Q.PACK_DOCS}.0)) AS BIGINT) AS n FROM documents),
+d AS (SELECT doc_id, list_concat(coalesce(regexp_extract_all(lower(text), '{WT}'), []), ['{CHAT_END}']) AS toks,
+        {md5_bucket('doc_id', '(SELECT n FROM s)')} AS shard FROM documents),
+o AS (SELECT *, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(coalesce(sum(len(toks)) OVER (
+        PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+      FROM d)"""
+
+
 # --- retrieval ---------------------------------------------------------------------
 
 BM25_BASE = f"""dt AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '{WT}') AS toks FROM documents),
@@ -344,10 +352,11 @@ def _topk(src: str, k: int = Q.TOP_K) -> str:
 
 
 QUERIES_ALL = "SELECT item_id AS query_id, text FROM benchmark"
-QUERIES_VEC = ("SELECT item_id AS query_id, text FROM benchmark "
-               "WHERE item_id IN (SELECT vec_id FROM embeddings)")
-DENSE = """qv AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
-vv AS (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+
+
+def _dense(where: str = "") -> str:
+    return f"""qv AS (SELECT b.item_id AS query_id, e.embedding FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+vv AS (SELECT vec_id AS id, embedding FROM embeddings {where}),
 ds AS (SELECT qv.query_id, vv.id,
          round(list_inner_product(qv.embedding::DOUBLE[], vv.embedding::DOUBLE[]), 6) AS score
        FROM qv CROSS JOIN vv)"""
@@ -355,8 +364,8 @@ ds AS (SELECT qv.query_id, vv.id,
 
 def _hybrid_cte() -> str:
     return f"""{BM25_BASE},
-{_bm25_scores(QUERIES_VEC)},
-{DENSE},
+{_bm25_scores(QUERIES_ALL)},
+{_dense("WHERE vec_id IN (SELECT doc_id FROM documents)")},
 bm AS ({_topk('sc')}),
 dn AS ({_topk('ds')}),
 u AS (SELECT query_id, id, score, 0 AS src FROM bm UNION ALL SELECT query_id, id, score, 1 FROM dn),
@@ -384,7 +393,7 @@ def _prompt() -> str:
     extra = lit("." + RAG_PREAMBLE + RAG_JOIN)
     return f"""WITH {_formatted_cte()},
 ctx AS (SELECT query_id, string_agg(formatted, chr(10) ORDER BY rank) AS context FROM fmt GROUP BY query_id),
-q AS ({QUERIES_VEC}),
+q AS ({QUERIES_ALL}),
 hist AS (SELECT conv_id AS query_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT)
                 AS msg_index, role, text AS content
          FROM conversations WHERE conv_id IN (SELECT query_id FROM q)),
@@ -466,7 +475,7 @@ SELECT uuid, value, value IS NULL AS is_null, value IS NOT NULL AS is_not_null,
         "lookup_by_key": f"""WITH {CANON},
 firsts AS (SELECT name, min(uuid) AS uuid FROM cards GROUP BY name)
 SELECT 'by_id' AS lookup, CAST(r.req AS VARCHAR) AS request, c.uuid, c.name
-FROM (SELECT DISTINCT l_partkey AS req FROM lineitem WHERE l_returnflag = 'A') r JOIN cards c ON r.req = c.uuid
+FROM (SELECT DISTINCT l_partkey AS req FROM lineitem) r JOIN cards c ON r.req = c.uuid
 UNION ALL
 SELECT 'by_name', r.req, f.uuid, f.name
 FROM (SELECT DISTINCT name AS req FROM printings) r JOIN firsts f ON r.req = f.name
@@ -499,19 +508,19 @@ FROM allpairs GROUP BY "group\"""",
         "response_mask": _response_mask(),
         "hash_split": f"""SELECT conv_id, turn,
   CASE WHEN {md5_bucket('conv_id', 100)} < 20 THEN 'test' ELSE 'train' END AS split FROM conversations""",
-        "pack_sequences": f"""WITH d AS (
-  SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '{WT}')) + 1 AS BIGINT) AS n_tokens,
-         {md5_bucket('doc_id', Q.PACK_SHARDS)} AS shard FROM documents),
-o AS (SELECT *, CAST(coalesce(sum(n_tokens) OVER (PARTITION BY shard ORDER BY doc_id
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM d)
+        "pack_sequences": f"""WITH {_PACKED}
 SELECT doc_id, shard, n_tokens, "offset",
   CAST(floor("offset" / {Q.MAX_SEQ_LEN}) AS BIGINT) AS first_block,
   CAST(floor(("offset" + n_tokens - 1) / {Q.MAX_SEQ_LEN}) AS BIGINT) AS last_block FROM o""",
+        "pack_contents": f"""WITH {_PACKED},
+t AS (SELECT shard, "offset" + unnest(range(len(toks))) AS g, unnest(toks) AS tok FROM o)
+SELECT shard, CAST(floor(g / {Q.MAX_SEQ_LEN}) AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n_tokens,
+  string_agg(tok, ' ' ORDER BY g) AS tokens FROM t GROUP BY 1, 2""",
         "doc_content": _doc_content(),
         "bm25_stats": f"""WITH {BM25_BASE}
 SELECT token, df, round(ln((s.n + 1.0) / (df + 0.5)), 6) AS idf FROM tdf CROSS JOIN stats s""",
         "bm25_topk": f"WITH {BM25_BASE},\n{_bm25_scores(QUERIES_ALL)}\n{_topk('sc')}",
-        "dense_topk": f"WITH {DENSE}\n{_topk('ds')}",
+        "dense_topk": f"WITH {_dense()}\n{_topk('ds')}",
         "filtered_search": f"""WITH {BM25_BASE},
 {_bm25_scores(QUERIES_ALL)},
 ok AS (SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'de') AND n_chars <= 20000),

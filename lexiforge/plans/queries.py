@@ -18,7 +18,8 @@ from lexiforge.operators.nest import nest_combos
 from lexiforge.plans import analogs as A
 
 MAX_SEQ_LEN = 1024        # sequence length of the smaller training recipes
-PACK_SHARDS = 16
+PACK_DOCS = 100_000       # documents per packing shard, so shards grow with the table
+MIN_PACK_SHARDS = 16
 TOP_K = 10
 SEARCH_FILTERS = {"lang": ["en", "de"], "n_chars": {"$lte": 20000}}
 
@@ -85,9 +86,9 @@ def q_null_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_lookup_by_key(spark: SparkSession, d: str) -> DataFrame:
-    cards = A.cards(spark, d, persist=True).select("uuid", "name", "cmc")
+    cards = A.cards(spark, d, persist=True, with_rulings=False).select("uuid", "name", "cmc")
     li = A.table(spark, d, "lineitem")
-    by_id_req = li.where(F.col("l_returnflag") == "A").select(F.col("l_partkey").alias("req")).distinct()
+    by_id_req = li.select(F.col("l_partkey").alias("req")).distinct()
     by_id = lookup.cards_by_ids(cards, by_id_req, "req").select(
         F.lit("by_id").alias("lookup"), F.col("req").cast("string").alias("request"), "uuid", "name")
     names = A.printings(spark, d).select(F.col("name").alias("req")).distinct()
@@ -108,7 +109,7 @@ def q_code_contains(spark: SparkSession, d: str) -> DataFrame:
     pred = {"identity": lookup.identity_predicate, "mana_cost": lookup.mana_cost_predicate,
             "color": lookup.color_predicate}
     searches = [({"search": kind, "term": term}, pred[kind](term)) for kind, term in CODE_SEARCHES]
-    return lookup.multi_search(A.cards(spark, d), searches, keep=["uuid"])
+    return lookup.multi_search(A.cards(spark, d, with_rulings=False), searches, keep=["uuid"])
 
 
 def q_type_contains(spark: SparkSession, d: str) -> DataFrame:
@@ -116,11 +117,11 @@ def q_type_contains(spark: SparkSession, d: str) -> DataFrame:
                 ({"search": "type_word"}, lookup.type_predicate("Land", word=True)),
                 ({"search": "split_name"}, P.contains_cs("name", "//")),
                 ({"search": "name_bolt"}, P.contains_cs("name", "bolt"))]
-    return lookup.multi_search(A.cards(spark, d), searches, keep=["uuid"])
+    return lookup.multi_search(A.cards(spark, d, with_rulings=False), searches, keep=["uuid"])
 
 
 def q_distinct_sorted(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.distinct_sorted(A.cards(spark, d), "cmc")
+    return lookup.distinct_sorted(A.cards(spark, d, with_rulings=False), "cmc")
 
 
 def q_value_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -144,20 +145,16 @@ def q_combo_qa(spark: SparkSession, d: str) -> DataFrame:
     return qa.combo_pairs(A.combo_tables(spark, d)).select("combo_id", "question", "answer")
 
 
-def _card_pairs(spark: SparkSession, d: str, compat: bool) -> DataFrame:
-    cards = A.cards(spark, d, compat=compat)
-    return qa.fanout(cards, qa.card_templates(compat), keep=["uuid"])
-
-
 def q_qa_template_fanout(spark: SparkSession, d: str) -> DataFrame:
-    return _card_pairs(spark, d, False)
+    return qa.fanout(A.cards(spark, d), qa.card_templates(False), keep=["uuid"])
 
 
 COMPAT_BUILDERS = ["mana_cost", "colors", "color_identity", "card_with_cmc"]
 
 
 def q_qa_null_branch(spark: SparkSession, d: str) -> DataFrame:
-    return _card_pairs(spark, d, True).where(F.col("builder").isin(COMPAT_BUILDERS))
+    templates = [t for t in qa.card_templates(True) if t.name in COMPAT_BUILDERS]
+    return qa.fanout(A.cards(spark, d, compat=True, with_rulings=False), templates, keep=["uuid"])
 
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -197,15 +194,28 @@ def q_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return corpus.hash_split(c, "conv_id").select("conv_id", "turn", "split")
 
 
+def _pack_shards(docs: DataFrame) -> int:
+    return max(MIN_PACK_SHARDS, -(-docs.count() // PACK_DOCS))
+
+
 def q_pack_sequences(spark: SparkSession, d: str) -> DataFrame:
-    docs = A.table(spark, d, "documents").select(
-        "doc_id", (F.size(X.word_tokens("text")) + 1).cast("bigint").alias("n_tokens"))
-    return corpus.pack_offsets(docs, "n_tokens", "doc_id", MAX_SEQ_LEN, PACK_SHARDS).select(
+    docs = A.table(spark, d, "documents")
+    lengths = docs.select(
+        "doc_id", (F.coalesce(F.size(X.word_tokens("text")), F.lit(0)) + 1).cast("bigint").alias("n_tokens"))
+    return corpus.pack_offsets(lengths, "n_tokens", "doc_id", MAX_SEQ_LEN, _pack_shards(docs)).select(
         "doc_id", "shard", "n_tokens", "offset", "first_block", "last_block")
 
 
+def q_pack_contents(spark: SparkSession, d: str) -> DataFrame:
+    docs = A.table(spark, d, "documents")
+    toks = docs.select("doc_id", X.word_tokens("text").alias("tokens"))
+    blocks = corpus.pack_blocks(toks, "tokens", "doc_id", MAX_SEQ_LEN, _pack_shards(docs))
+    return blocks.select("shard", "block", F.size("tokens").cast("bigint").alias("n_tokens"),
+                         F.array_join("tokens", " ").alias("tokens"))
+
+
 def q_doc_content(spark: SparkSession, d: str) -> DataFrame:
-    docs = retrieval.card_documents(A.cards(spark, d))
+    docs = retrieval.card_documents(A.cards(spark, d, with_rulings=False))
     return docs.select("id", "content", *[F.col(f"meta.{f}").alias(f"meta_{f}") for f in
                                           ("name", "mana_cost", "cmc", "color_identity", "type",
                                            "power", "toughness", "rarity", "loyalty", "side")])
@@ -225,8 +235,7 @@ def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    r = retrieval.dense_search(A.vector_table(spark, d),
-                               A.query_table(spark, d).where(F.col("embedding").isNotNull()), TOP_K)
+    r = retrieval.dense_search(A.vector_table(spark, d), A.query_table(spark, d), TOP_K)
     return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
@@ -237,9 +246,8 @@ def q_filtered_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> DataFrame:
-    q = A.query_table(spark, d).where(F.col("embedding").isNotNull())
-    return retrieval.hybrid_search(None, q, TOP_K, TOP_K, docs=A.doc_table(spark, d),
-                                   vectors=A.vector_table(spark, d))
+    return retrieval.hybrid_search(None, A.query_table(spark, d), TOP_K, TOP_K,
+                                   docs=A.doc_table(spark, d), vectors=A.doc_vector_table(spark, d))
 
 
 def q_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +269,7 @@ def q_format_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_prompt_messages(spark: SparkSession, d: str) -> DataFrame:
-    q = A.query_table(spark, d).where(F.col("embedding").isNotNull())
+    q = A.query_table(spark, d)
     ctx = retrieval.context_per_query(_formatted(spark, d))
     conv = A.table(spark, d, "conversations").select(
         F.col("conv_id").alias("query_id"), "turn", "role", F.col("text").alias("content"))
@@ -305,6 +313,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "response_mask": q_response_mask,
     "hash_split": q_hash_split,
     "pack_sequences": q_pack_sequences,
+    "pack_contents": q_pack_contents,
     "doc_content": q_doc_content,
     "bm25_stats": q_bm25_stats,
     "bm25_topk": q_bm25_topk,
