@@ -1,32 +1,25 @@
 """Benchmark decontamination: passages within a small edit distance of an item.
 
-Texts and items are words (A-Z lower-cased, ASCII marks dropped). Windows as
-long as an item (rounded down to its length class) start at every word. The CGK
-random walk turns a window into a string: at step t it writes the word it
-stands on and moves on by one if a random bit of (t, word) says so. Words equal
-up to few edits give strings that agree in most places.
-
-Locality-sensitive hashing samples places of these strings, again and again
-with new walks. In each repetition every item's walk starts at one of its longer
-words that few items hold (a rare word, most likely), and every second repetition walks backwards.
-Sampled places are tested in rising order and a window is dropped at the first
-one that no item agrees with: nearly all windows are dropped at the very first,
-by one look-up shared by all repetitions. ``repetitions_for`` gives the number
-of repetitions for a target recall.
-
-Windows that agree with an item in all sampled places are verified: the least
-word edit distance between the whole item and any stretch of the text around
-the window must be at most ``max_rate`` of the item's words.
+Texts and items are words (A-Z lower-cased, ASCII marks dropped). An item of n
+words may differ by k = ``max_rate`` * n word edits. Each item is cut into k + 1
+pieces, evenly spread and of nearly equal length: k edits touch at most k of
+them, so every passage within the limit holds one piece unchanged, wherever the
+edits are and whatever the other items hold. The pieces are looked up at every
+word of the texts, so no match is lost (recall is 1, not an estimate).
+
+A piece found gives a window of the text that must hold the match. Windows with
+fewer than n - k words of the item cannot hold it and are dropped; in the others
+the least word edit distance between the whole item and any stretch is taken.
 
 The item tables are small and sent to all tasks, in blocks of at most
 ``MAX_ITEMS`` distinct items (one pass over the texts each), so their size is
 bounded. Nothing is shuffled, and no pair of text and item is formed unless
-their samples agree.
+they share a piece.
 
 Defined results: null or empty texts and items match nothing; items with fewer
 than ``min_words`` words say too little to be matched and are left out; equal
 items are one, under the least id; a text that holds an item several times is
-reported once, at its best and then first place; repeated rows are each judged;
+reported once, at its least distance and then first word; repeated rows are each judged;
 an empty table gives an empty result; ``remove_contaminated`` returns rows with
 all their columns, whatever their names.
 """
@@ -48,11 +41,14 @@ from lexiforge.llm.common import mix64, slices, span_hashes, text_bytes, word_sp
 MAX_RATE, MIN_WORDS, SAMPLES, RECALL = 0.2, 5, 4, 0.99
 MAX_ITEMS = 20_000
 SLICE = 1 << 20
-FLAGS = 1 << 20
+FLAGS = 1 << 22
+LONGEST = 8               # words of a piece that are looked up
+CHUNK = 1 << 20           # words of the windows that are counted at once
 
 
 def repetitions_for(recall: float = RECALL, samples: int = SAMPLES, agreement: float = 0.65) -> int:
-    """Repetitions so that a pair whose walks agree in ``agreement`` of their
+    """Repetitions of a sampled search (``build_tables`` needs none: its pieces find
+    every match) so that a pair whose walks agree in ``agreement`` of their
     places meets in all ``samples`` places at least once with ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement ** samples))
 
@@ -74,127 +70,131 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Repetition:
-    """One walk: its seed and direction, the words that items start from, and per
-    length class the sampled places, and the items and their starts by sample."""
-    seed: int
-    backward: bool
-    firsts: np.ndarray                   # sorted
-    classes: list[tuple[tuple[int, ...], np.ndarray, np.ndarray, np.ndarray]]
+class Pieces:
+    """All pieces of one length: their keys (sorted), items and places in the items."""
+    size: int
+    keys: np.ndarray
+    items: np.ndarray
+    places: np.ndarray
 
 
-def _walk(words: np.ndarray, seed: int, pos: np.ndarray, start: int, stop: int) -> np.ndarray:
-    """Positions after the steps from ``start`` to ``stop``; a walk rests on a 0."""
-    for t in range(start, stop):
-        here = words[pos]
-        bit = (mix64(here, 1000 + seed) >> np.uint64(t % 64)) & np.uint64(1)
-        pos = pos + np.where(here != 0, bit, np.uint64(0)).astype(np.int64)
-    return pos
+def allowed(n: int, max_rate: float = MAX_RATE) -> int:
+    """Word edits by which a passage may differ from an item of ``n`` words."""
+    return int(max_rate * n)
 
 
-def _key(*symbols: np.ndarray) -> np.ndarray:
+def _keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the ``size`` words from each word on (as many as fit)."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = np.zeros(len(symbols[0]), np.uint64)
-        for s in symbols:
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + s, 5)
+        h = np.zeros(n, np.uint64)
+        for i in range(size):
+            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n], 5)
         return h
 
 
-def window_of(n: int) -> int:
-    """Items of a length class share the window of its shortest length."""
-    return n if n < 8 else 1 << (n.bit_length() - 1) if n < 16 else (n // 8) * 8 if n < 64 else (n // 32) * 32
+def build_tables(items: list[np.ndarray], lengths: list[np.ndarray] | None = None, repetitions: int | None = None,
+                 max_rate: float = MAX_RATE) -> list[Pieces]:
+    """The pieces of all items by length. ``lengths`` and ``repetitions`` have no
+    effect: pieces are neither chosen by their words nor sampled."""
+    if not 0 <= max_rate < 1:
+        raise ValueError(f"max_rate {max_rate} is not in [0, 1)")
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    for i, x in enumerate(items):
+        cuts = [len(x) * j // (allowed(len(x), max_rate) + 1) for j in range(allowed(len(x), max_rate) + 2)]
+        for size in {b - a for a, b in zip(cuts, cuts[1:])}:
+            keys = _keys(x, min(size, LONGEST))
+            found.setdefault(min(size, LONGEST), []).extend(
+                (int(keys[a]), i, a) for a, b in zip(cuts, cuts[1:]) if b - a == size)
+    out = []
+    for size, rows in sorted(found.items()):
+        rows.sort()
+        out.append(Pieces(size, np.array([k for k, _, _ in rows], np.uint64),
+                          np.array([i for _, i, _ in rows]), np.array([a for _, _, a in rows])))
+    return out
 
 
-def build_tables(items: list[np.ndarray], lengths: list[np.ndarray], repetitions: int,
-                 seed: int = 0) -> list[Repetition]:
-    """``lengths``: of each item's words, in characters or bytes."""
+def first_flags(tables: list[Pieces]) -> list[np.ndarray]:
+    """Of each table, which keys (by their low bits) some piece has."""
     out = []
-    held, times = np.unique(np.concatenate([np.unique(x) for x in items]), return_counts=True)
-    sizes = sorted({window_of(len(x)) for x in items})
-    for r in range(repetitions):
-        rng = np.random.default_rng([seed, r])
-        backward = r % 2 == 1
-        firsts, classes = set(), []
-        for w in sizes:
-            places = tuple(sorted(int(t) for t in rng.choice(np.arange(1, max(w, SAMPLES)), SAMPLES - 1,
-                                                              replace=False)))
-            own = [i for i, x in enumerate(items) if window_of(len(x)) == w]
-            keys, starts = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
-            for k, i in enumerate(own):
-                x, size = (items[i][::-1], lengths[i][::-1]) if backward else (items[i], lengths[i])
-                padded = np.concatenate([x, np.zeros(1, np.uint64)])
-                # one of the longer words of the first half that fewest items hold, from
-                # which the walk stays inside
-                half = max(1, len(x) // 2)
-                common = times[np.searchsorted(held, x[:half])]
-                rare = np.flatnonzero(common == common.min())
-                long = rare[size[rare] >= np.median(size[rare])]
-                for start in [*rng.permutation(long), 0]:
-                    symbols, pos, at = [x[[start]]], np.array([start]), 0
-                    for t in places:
-                        pos = _walk(padded, r, pos, at, t)
-                        at = t
-                        symbols.append(padded[pos])
-                    if symbols[-1][0] != 0:
-                        break
-                firsts.add(int(symbols[0][0]))
-                keys[k], starts[k] = _key(*symbols)[0], start
-            order = np.argsort(keys, kind="stable")
-            classes.append((places, keys[order], np.asarray(own)[order], starts[order]))
-        out.append(Repetition(r, backward, np.array(sorted(firsts), np.uint64), classes))
+    for t in tables:
+        flags = np.zeros(FLAGS, bool)
+        flags[(t.keys & np.uint64(FLAGS - 1)).astype(np.int64)] = True
+        out.append(flags)
     return out
 
 
-def _lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of key, index in sorted_keys) of all equal pairs."""
-    lo, hi = np.searchsorted(sorted_keys, keys, "left"), np.searchsorted(sorted_keys, keys, "right")
-    n = hi - lo
-    return np.repeat(np.arange(len(keys)), n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-
-
-def first_flags(tables: list[Repetition]) -> np.ndarray:
-    """Which words (by their low bits) some item starts from in some repetition."""
-    flags = np.zeros(FLAGS, bool)
-    for rep in tables:
-        flags[(rep.firsts & np.uint64(FLAGS - 1)).astype(np.int64)] = True
-    return flags
-
-
-def candidates(words: np.ndarray, first: np.ndarray, tables: list[Repetition], flags: np.ndarray,
-               lengths: np.ndarray) -> set[tuple[int, int, int]]:
-    """(row, item, first word of the window within the row)."""
-    n = len(first) - 1
-    sizes = np.diff(first)
-    padded = np.zeros(len(words) + n + 1, np.uint64)       # a rest around each text
-    row = np.repeat(np.arange(n), sizes)
-    padded[1 + np.arange(len(words)) + row] = words
-    row_of = np.repeat(np.arange(n), sizes + 1)
-    begin = 1 + first[:-1] + np.arange(n)
-    some = 1 + np.flatnonzero(flags[(padded[1:] & np.uint64(FLAGS - 1)).astype(np.int64)] & (padded[1:] != 0))
-    last = len(padded) - 1
-    out: set[tuple[int, int, int]] = set()
-    for rep in tables:
-        s, at = (padded[::-1], last - some) if rep.backward else (padded, some)
-        word = s[at]
-        k = np.minimum(np.searchsorted(rep.firsts, word), len(rep.firsts) - 1)
-        start = at[rep.firsts[k] == word]
-        for places, keys, own, starts in rep.classes:
-            pos, t0, symbols = start, 0, [s[start]]
-            for t in places:
-                pos = _walk(s, rep.seed, pos, t0, t)
-                t0 = t
-                symbols.append(s[pos])
-            which, k = _lookup(keys, _key(*symbols))
-            item, where = own[k], start[which]
-            if rep.backward:       # ``starts`` counts from the item's last word
-                where = last - where
-                r = row_of[where - 1]
-                where = where - begin[r] - (lengths[item] - 1 - starts[k])
-            else:
-                r = row_of[where - 1]
-                where = where - begin[r] - starts[k]
-            out.update(zip(r.tolist(), item.tolist(), where.tolist()))
-    return out
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, number within it) of all of ``counts`` repeated."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _runs(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of ``counts`` that add up to about ``most`` (at least one each)."""
+    ends, start = np.cumsum(counts), 0
+    while start < len(counts):
+        done = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield slice(start, end)
+        start = end
+
+
+class Held:
+    """Which words each item holds, by bits of a hash of both (some say yes wrongly)."""
+
+    def __init__(self, items: list[np.ndarray]):
+        size = sum(len(x) for x in items)
+        self.bits = np.uint64(1 << max(16, (8 * size).bit_length()))
+        self.flags = np.zeros(int(self.bits), bool)
+        owner = np.repeat(np.arange(len(items)), [len(x) for x in items])
+        self.flags[self._at(np.concatenate(items), owner)] = True
+
+    def _at(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = mix64(words + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 11)
+        return (h & (self.bits - np.uint64(1))).astype(np.int64)
+
+    def __call__(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return self.flags[self._at(words, owner)]
+
+
+def candidates(words: np.ndarray, first: np.ndarray, tables: list[Pieces], flags: list[np.ndarray],
+               lengths: np.ndarray, most: np.ndarray, held: Held) -> list[tuple[int, int, int]]:
+    """Sorted (row, item, first word of the window within the row) of the windows
+    that share a piece with an item and hold enough of its words."""
+    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = [np.zeros((0, 3), np.int64)]
+    for t, some in zip(tables, flags):
+        keys = _keys(words, t.size)
+        at = np.flatnonzero(some[(keys & np.uint64(FLAGS - 1)).astype(np.int64)])
+        at = at[row_of[at] == row_of[at + t.size - 1]]
+        lo, hi = (np.searchsorted(t.keys, keys[at], side) for side in ("left", "right"))
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        for run in _runs(n, CHUNK // 16):
+            which, k = _spread(n[run])
+            k += lo[run][which]
+            item, row = t.items[k], row_of[at[run][which]]
+            where = at[run][which] - first[row] - t.places[k]
+            found = np.unique(np.column_stack([row, item, where]), axis=0)
+            out.append(found[enough(found, words, first, lengths, most, held)])
+    return [tuple(r) for r in np.unique(np.concatenate(out), axis=0).tolist()]
+
+
+def enough(found: np.ndarray, words: np.ndarray, first: np.ndarray, lengths: np.ndarray, most: np.ndarray,
+           held: Held) -> np.ndarray:
+    """Which windows hold as many words of the item as a match leaves unedited."""
+    row, item, where = found.T
+    begin = np.maximum(first[row], first[row] + where - most[item])
+    end = np.minimum(first[row + 1], first[row] + where + lengths[item] + most[item])
+    good = np.zeros(len(found), bool)
+    for run in _runs(end - begin, CHUNK):
+        which, k = _spread((end - begin)[run])
+        own = held(words[begin[run][which] + k], item[run][which])
+        good[run] = np.bincount(which[own], minlength=len(begin[run])) >= (lengths - most)[item[run]]
+    return good
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> int:
@@ -209,27 +209,42 @@ def infix_distance(item: np.ndarray, text: np.ndarray) -> int:
     return int(row.min())
 
 
-def matches(column: pa.Array, items: list[np.ndarray], tables: list[Repetition], flags: np.ndarray,
-            max_rate: float) -> dict[tuple[int, int], tuple[int, int]]:
-    """(row, item) -> (distance, first word) of the verified matches."""
+def infix_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """``infix_distance`` and the first word of the first stretch that has it."""
+    unit = len(text) + 1                      # a cell is distance * unit + first word
+    column = np.arange(unit) * unit
+    row = np.arange(unit)
+    for i, x in enumerate(item, 1):
+        best = np.empty_like(row)
+        best[0] = i * unit
+        best[1:] = np.minimum(row[:-1] + (text != x) * unit, row[1:] + unit)
+        row = np.minimum.accumulate(best - column) + column
+    return divmod(int(row.min()), unit)
+
+
+def matches(column: pa.Array, items: list[np.ndarray], tables: list[Pieces], flags: list[np.ndarray],
+            max_rate: float, held: Held | None = None) -> dict[tuple[int, int], tuple[int, int]]:
+    """(row, item) -> (distance, first word) of the verified matches. ``tables`` are
+    those of ``max_rate``."""
     words, first, _ = words_of(column)
     if not len(words):
         return {}
     lengths = np.array([len(x) for x in items])
+    limit = np.array([allowed(n, max_rate) for n in lengths.tolist()])
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for r, item, where in sorted(candidates(words, first, tables, flags, lengths)):
+    for r, item, where in candidates(words, first, tables, flags, lengths, limit, held or Held(items)):
         known = best.get((r, item))
         if known is not None and known[0] == 0:
             continue
-        x = items[item]
-        most = int(max_rate * len(x))
+        x, most = items[item], int(limit[item])
         text = words[first[r]:first[r + 1]]
-        a = max(0, where)
-        if np.array_equal(text[a:a + len(x)], x):
-            d = 0
+        if where >= 0 and np.array_equal(text[where:where + len(x)], x):
+            d, a = 0, where
         else:
-            d = infix_distance(x, text[max(0, where - most):max(0, where + len(x) + most)])
-        if d <= most and (known is None or d < known[0]):
+            a = max(0, where - most)
+            d, start = infix_place(x, text[a:max(0, where + len(x) + most)])
+            a += start
+        if d <= most and (known is None or (d, a) < known):
             best[(r, item)] = (d, a)
     return best
 
@@ -256,34 +271,34 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, min_words: int,
             yield ids, items, lengths
 
 
-def _shared(docs: DataFrame, items, lengths, repetitions: int):
-    tables = [astuple(r) for r in build_tables(items, lengths, repetitions)]
+def _shared(docs: DataFrame, items, max_rate: float):
+    tables = [astuple(t) for t in build_tables(items, max_rate=max_rate)]
     return docs.sparkSession.sparkContext.broadcast((items, tables))     # at most MAX_ITEMS items
 
 
-def _tables(raw) -> list[Repetition]:
-    return [Repetition(*r) for r in raw]
+def _tables(raw) -> list[Pieces]:
+    return [Pieces(*t) for t in raw]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                        item_key: str = "item_id", item_text: str = "text", max_rate: float = MAX_RATE,
                        min_words: int = MIN_WORDS, repetitions: int | None = None) -> DataFrame:
-    """(key, item_id, n_words, distance, first_word): one row per text and item that it holds."""
-    repetitions = repetitions or repetitions_for()
+    """(key, item_id, n_words, distance, first_word): one row per text and item that
+    it holds. ``repetitions`` has no effect (see ``build_tables``)."""
     kind = docs.schema[key].dataType.simpleString()
     item_kind = benchmark.schema[item_key].dataType.simpleString()
     schema = f"{key} {kind}, {item_key} {item_kind}, n_words long, distance long, first_word long"
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     result = docs.sparkSession.createDataFrame([], schema)
-    for ids, items, lengths in item_blocks(benchmark, item_key, item_text, min_words):
-        shared = _shared(docs, items, lengths, repetitions)
+    for ids, items, _ in item_blocks(benchmark, item_key, item_text, min_words):
+        shared = _shared(docs, items, max_rate)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
             own, raw = shared.value
             tables = _tables(raw)
-            flags = first_flags(tables)
+            flags, held = first_flags(tables), Held(own)
             for batch in slices(batches, max_bytes=SLICE):
-                found = sorted(matches(batch.column(1), own, tables, flags, max_rate).items())
+                found = sorted(matches(batch.column(1), own, tables, flags, max_rate, held).items())
                 if found:
                     rows = pa.array([r for (r, _), _ in found])
                     yield pa.RecordBatch.from_arrays(
@@ -300,21 +315,20 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id",
                         item_text: str = "text", max_rate: float = MAX_RATE, min_words: int = MIN_WORDS,
                         repetitions: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    repetitions = repetitions or repetitions_for()
+    """The rows of ``docs`` that hold no benchmark item. ``repetitions`` has no effect."""
     names = docs.columns
     out = docs
-    for _, items, lengths in item_blocks(benchmark, item_key, item_text, min_words):
-        shared = _shared(docs, items, lengths, repetitions)
+    for _, items, _ in item_blocks(benchmark, item_key, item_text, min_words):
+        shared = _shared(docs, items, max_rate)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, raw = shared.value
             tables = _tables(raw)
-            flags = first_flags(tables)
+            flags, held = first_flags(tables), Held(own)
             for batch in slices(batches, text, SLICE):
                 column = batch.column(batch.schema.get_field_index(text))
-                held = {r for r, _ in matches(column, own, tables, flags, max_rate)}
-                yield batch.filter(pa.array([r not in held for r in range(batch.num_rows)]))
+                leaks = {r for r, _ in matches(column, own, tables, flags, max_rate, held)}
+                yield batch.filter(pa.array([r not in leaks for r in range(batch.num_rows)]))
 
         out = out.mapInArrow(run, docs.schema)
     return out.select(*[F.col(f"`{c}`") for c in names])

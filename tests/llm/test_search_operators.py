@@ -238,3 +238,50 @@ def test_recall_at_the_edit_limit():
             texts.append("before it " + " ".join(ws) + " and after")
         found = decontamination.matches(pa.array(texts), own, tables, flags, 0.2)
         assert sum((i, i) in found for i in range(len(items))) >= least * len(items)
+
+
+def test_recall_does_not_depend_on_other_items():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(20000)]
+    weights = np.cumsum(1 / np.arange(1, 20001)).tolist()
+
+    def draw(n):
+        return rng.choices(vocabulary, cum_weights=weights, k=n)
+
+    items = [draw(rng.randint(15, 60)) for _ in range(20000)]
+    held = {}
+    for x in items:
+        for y in set(x):
+            held[y] = held.get(y, 0) + 1
+    w, f, _ = decontamination.words_of(pa.array([" ".join(x) for x in items]))
+    own = [w[f[i]:f[i + 1]] for i in range(len(items))]
+    tables = decontamination.build_tables(own)
+    flags = decontamination.first_flags(tables)
+    picked = rng.sample(range(len(items)), 300)
+    for kind in ("rarest of both halves", "any"):
+        texts = []
+        for i in picked:
+            x, half = list(items[i]), len(items[i]) // 2
+            ends = [sorted(p, key=lambda j: held[x[j]]) for p in (range(half), range(half, len(x)))]
+            most = int(0.2 * len(x))
+            at = [j for p in zip(*ends) for j in p][:most] if kind != "any" else rng.sample(range(len(x)), most)
+            for j in at:
+                x[j] = rng.choice(["", "changed", x[j] + " added"])
+            texts.append(" ".join(draw(40) + x + draw(40)))
+        found = decontamination.matches(pa.array(texts), own, tables, flags, 0.2)
+        assert all((r, i) in found for r, i in enumerate(picked)), kind
+
+
+def test_every_match_is_found_at_its_place():
+    rng = random.Random(12)
+    items, docs = leaky(rng, 40, 120)
+    w, f, _ = decontamination.words_of(pa.array(items))
+    own = [w[f[i]:f[i + 1]] for i in range(len(items))]
+    tables = decontamination.build_tables(own)
+    got = decontamination.matches(pa.array(docs), own, tables, decontamination.first_flags(tables), 0.2)
+    want = {(d, i): infix(words(x), words(t)) for d, t in enumerate(docs) for i, x in enumerate(items)}
+    assert {k: d for k, (d, _) in got.items()} == {k: d for k, d in want.items() if d <= int(0.2 * len(words(items[k[1]])))}
+    for (d, i), (k, a) in got.items():
+        text, item = words(docs[d]), words(items[i])
+        assert infix(item, text[a:a + len(item) + k]) == k
+        assert infix(item, text[max(0, a - 1):]) == k and (k or text[a:a + len(item)] == item)
