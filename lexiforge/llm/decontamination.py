@@ -1,7 +1,9 @@
 """Benchmark decontamination: passages within a small edit distance of an item.
 
-Texts and items are words (A-Z lower-cased, ASCII marks dropped). An item of n
-words may differ by k = ``max_rate`` * n word edits. Each item is cut into k + 1
+Texts and items are words (A-Z lower-cased, ASCII marks dropped). In scripts
+without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) every character is a
+word, and East Asian marks are dropped. An item of n words may differ by
+k = ``max_rate`` * n word edits, one of fewer than ``min_words`` words by none. Each item is cut into k + 1
 pieces, evenly spread and of nearly equal length: k edits touch at most k of
 them, so every passage within the limit holds one piece unchanged, wherever the
 edits are and whatever the other items hold. The pieces are looked up at every
@@ -16,8 +18,8 @@ The item tables are small and sent to all tasks, in blocks of at most
 bounded. Nothing is shuffled, and no pair of text and item is formed unless
 they share a piece.
 
-Defined results: null or empty texts and items match nothing; items with fewer
-than ``min_words`` words say too little to be matched and are left out; equal
+Defined results: null or empty texts and items (or items of marks alone) match
+nothing; items with fewer than ``min_words`` words match whole words exactly; equal
 items are one, under the least id; a text that holds an item several times is
 reported once, at its least distance and then first word; repeated rows are each judged;
 an empty table gives an empty result; ``remove_contaminated`` returns rows with
@@ -52,6 +54,43 @@ def repetitions_for(recall: float = RECALL, samples: int = SAMPLES, agreement: f
     places meets in all ``samples`` places at least once with ``recall``."""
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement ** samples))
 
+#: Characters that are words of their own, and marks that part words.
+ALONE = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x3005, 0x3007), (0x3021, 0x302F),
+         (0x3031, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+         (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F),
+         (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _within(points: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    k = np.searchsorted([a for a, _ in ranges], points, side="right") - 1
+    return (k >= 0) & (points <= np.array([b for _, b in ranges])[k])
+
+
+def cut_characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (UTF-8) with spaces around the characters of ``ALONE`` and in place of ``MARKS``."""
+    points, starts, sizes = [], [], []
+    for size, least, most in ((3, 0xE0, 0xEF), (4, 0xF0, 0xF7)):
+        at = np.flatnonzero((buf >= least) & (buf <= most))
+        at = at[at + size <= len(buf)]
+        point = buf[at].astype(np.int64) & (0xF if size == 3 else 0x7)
+        for i in range(1, size):
+            point = point << 6 | (buf[at + i] & 0x3F)
+        points.append(point)
+        starts.append(at)
+        sizes.append(np.full(len(at), size))
+    points, starts, sizes = np.concatenate(points), np.concatenate(starts), np.concatenate(sizes)
+    marks = _within(points, MARKS)
+    if marks.any():
+        buf = buf.copy()
+        for i in range(3):
+            buf[starts[marks] + i] = 32
+    alone = _within(points, ALONE)
+    if not alone.any():
+        return buf, offsets
+    cuts = np.sort(np.concatenate([starts[alone], (starts + sizes)[alone]]))
+    return np.insert(buf, cuts, 32), offsets + np.searchsorted(cuts, offsets)
+
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes (never 0) of all rows, the first word of each row (rows + 1), and
@@ -62,7 +101,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for c in range(128):
         if not chr(c).isalnum():
             lower[c] = 32
-    buf = lower[buf]
+    buf, offsets = cut_characters(lower[buf], offsets)
     starts, ends, row = word_spans(buf, offsets)
     h = span_hashes(buf, starts, ends)
     h[h == 0] = 1
@@ -78,9 +117,9 @@ class Pieces:
     places: np.ndarray
 
 
-def allowed(n: int, max_rate: float = MAX_RATE) -> int:
+def allowed(n: int, max_rate: float = MAX_RATE, min_words: int = MIN_WORDS) -> int:
     """Word edits by which a passage may differ from an item of ``n`` words."""
-    return int(max_rate * n)
+    return int(max_rate * n) if n >= min_words else 0
 
 
 def _keys(words: np.ndarray, size: int) -> np.ndarray:
@@ -96,14 +135,15 @@ def _keys(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def build_tables(items: list[np.ndarray], lengths: list[np.ndarray] | None = None, repetitions: int | None = None,
-                 max_rate: float = MAX_RATE) -> list[Pieces]:
+                 max_rate: float = MAX_RATE, min_words: int = MIN_WORDS) -> list[Pieces]:
     """The pieces of all items by length. ``lengths`` and ``repetitions`` have no
     effect: pieces are neither chosen by their words nor sampled."""
     if not 0 <= max_rate < 1:
         raise ValueError(f"max_rate {max_rate} is not in [0, 1)")
     found: dict[int, list[tuple[int, int, int]]] = {}
     for i, x in enumerate(items):
-        cuts = [len(x) * j // (allowed(len(x), max_rate) + 1) for j in range(allowed(len(x), max_rate) + 2)]
+        pieces = allowed(len(x), max_rate, min_words) + 1
+        cuts = [len(x) * j // pieces for j in range(pieces + 1)]
         for size in {b - a for a, b in zip(cuts, cuts[1:])}:
             keys = _keys(x, min(size, LONGEST))
             found.setdefault(min(size, LONGEST), []).extend(
@@ -223,14 +263,15 @@ def infix_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def matches(column: pa.Array, items: list[np.ndarray], tables: list[Pieces], flags: list[np.ndarray],
-            max_rate: float, held: Held | None = None) -> dict[tuple[int, int], tuple[int, int]]:
+            max_rate: float, held: Held | None = None,
+            min_words: int = MIN_WORDS) -> dict[tuple[int, int], tuple[int, int]]:
     """(row, item) -> (distance, first word) of the verified matches. ``tables`` are
-    those of ``max_rate``."""
+    those of ``max_rate`` and ``min_words``."""
     words, first, _ = words_of(column)
     if not len(words):
         return {}
     lengths = np.array([len(x) for x in items])
-    limit = np.array([allowed(n, max_rate) for n in lengths.tolist()])
+    limit = np.array([allowed(n, max_rate, min_words) for n in lengths.tolist()])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for r, item, where in candidates(words, first, tables, flags, lengths, limit, held or Held(items)):
         known = best.get((r, item))
@@ -251,7 +292,8 @@ def matches(column: pa.Array, items: list[np.ndarray], tables: list[Pieces], fla
 
 def item_blocks(benchmark: DataFrame, key: str, text: str, min_words: int,
                 max_items: int = MAX_ITEMS) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
-    """Blocks of (ids, words, word lengths) of the distinct items, at most about ``max_items`` each."""
+    """Blocks of (ids, words, word lengths) of the distinct items of ``min_words`` words
+    or more, at most about ``max_items`` each."""
     distinct = (benchmark.where(F.col(text).isNotNull()).groupBy(F.col(f"`{text}`").alias("text"))
                 .agg(F.min(key).alias("id")))
     blocks = max(1, -(-distinct.count() // max_items))
@@ -271,8 +313,8 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, min_words: int,
             yield ids, items, lengths
 
 
-def _shared(docs: DataFrame, items, max_rate: float):
-    tables = [astuple(t) for t in build_tables(items, max_rate=max_rate)]
+def _shared(docs: DataFrame, items, max_rate: float, min_words: int):
+    tables = [astuple(t) for t in build_tables(items, max_rate=max_rate, min_words=min_words)]
     return docs.sparkSession.sparkContext.broadcast((items, tables))     # at most MAX_ITEMS items
 
 
@@ -290,15 +332,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     schema = f"{key} {kind}, {item_key} {item_kind}, n_words long, distance long, first_word long"
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     result = docs.sparkSession.createDataFrame([], schema)
-    for ids, items, _ in item_blocks(benchmark, item_key, item_text, min_words):
-        shared = _shared(docs, items, max_rate)
+    for ids, items, _ in item_blocks(benchmark, item_key, item_text, 1):
+        shared = _shared(docs, items, max_rate, min_words)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
             own, raw = shared.value
             tables = _tables(raw)
             flags, held = first_flags(tables), Held(own)
             for batch in slices(batches, max_bytes=SLICE):
-                found = sorted(matches(batch.column(1), own, tables, flags, max_rate, held).items())
+                found = sorted(matches(batch.column(1), own, tables, flags, max_rate, held, min_words).items())
                 if found:
                     rows = pa.array([r for (r, _), _ in found])
                     yield pa.RecordBatch.from_arrays(
@@ -318,8 +360,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
     """The rows of ``docs`` that hold no benchmark item. ``repetitions`` has no effect."""
     names = docs.columns
     out = docs
-    for _, items, _ in item_blocks(benchmark, item_key, item_text, min_words):
-        shared = _shared(docs, items, max_rate)
+    for _, items, _ in item_blocks(benchmark, item_key, item_text, 1):
+        shared = _shared(docs, items, max_rate, min_words)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, raw = shared.value
@@ -327,7 +369,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
             flags, held = first_flags(tables), Held(own)
             for batch in slices(batches, text, SLICE):
                 column = batch.column(batch.schema.get_field_index(text))
-                leaks = {r for r, _ in matches(column, own, tables, flags, max_rate, held)}
+                leaks = {r for r, _ in matches(column, own, tables, flags, max_rate, held, min_words)}
                 yield batch.filter(pa.array([r not in leaks for r in range(batch.num_rows)]))
 
         out = out.mapInArrow(run, docs.schema)

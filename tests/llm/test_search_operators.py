@@ -285,3 +285,25 @@ def test_every_match_is_found_at_its_place():
         text, item = words(docs[d]), words(items[i])
         assert infix(item, text[a:a + len(item) + k]) == k
         assert infix(item, text[max(0, a - 1):]) == k and (k or text[a:a + len(item)] == item)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = ["forty two", "Yes", "中华人民共和国首都是哪里？", "日本の首都はどこですか。", "เมืองหลวงของประเทศไทย", "東京", "?!", "𠀀𠀁"]
+    docs = ["the answer is Forty-two.", "forty and two", "yesterday", "oh yes!", "问：中华人民共和国首都是哪里", "答：中华人民共和国首都在哪里",
+            "では、日本の首都はどこですか？", "ถาม เมืองหลวงของประเทศไทย คือ", "私は東京に住む", "京東", "x𠀀𠀁y", "中文 plain text 5 % é", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for rate in (0.2, 0.6):       # short items stay exact
+        got = {(r["doc_id"], r["item_id"]): r["distance"]
+               for r in decontamination.find_contamination(df, bench, max_rate=rate).collect()}
+        assert {k: d for k, d in got.items() if k[1] not in (2, 3, 4) or rate == 0.2} == \
+            {(0, 0): 0, (3, 1): 0, (8, 5): 0, (10, 7): 0, **({(4, 2): 0, (5, 2): 1, (6, 3): 0, (7, 4): 0} if rate == 0.2 else {})}
+    kept = decontamination.remove_contaminated(df, bench).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 2, 9, 11, 12]
+
+
+def test_cut_characters_keeps_rows_apart():
+    texts = ["", "a中b", "中", "", "é,中国 x", "ไทย", "plain"]
+    w, f, _ = decontamination.words_of(pa.array(texts))
+    assert np.diff(f).tolist() == [0, 3, 1, 0, 4, 3, 1]
+    assert w[1] == w[3] == w[5]
