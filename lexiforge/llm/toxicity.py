@@ -9,9 +9,9 @@ sum of the weights of a text's hits, and that sum per thousand words, go
 through a logistic curve.
 
 Learning uses a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_CLEAN``,
-chosen by a hash of the id): terms that are far more frequent in toxic texts,
-then a greedy choice that covers every toxic text ``COVER`` times, so words that
-merely sit in many copies of one toxic text are passed over.
+chosen by a hash of the id), in which equal texts of one label count once: all
+terms that are far more frequent in toxic texts, then a greedy choice that covers
+every toxic text ``COVER`` times, as far as terms of two texts or more can.
 
 Defined results: null or empty texts have no hits and get the lowest score;
 without toxic labels the lexicon is empty and every score is that of no hit;
@@ -20,6 +20,7 @@ repeated rows are each scored; only the named columns are read.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,8 +35,7 @@ from lexiforge.llm.common import slices
 from lexiforge.session import materialize
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
-MAX_TERMS = 4000
-MIN_SHARE, MIN_LIFT = 0.01, 12.0
+MIN_TEXTS, MIN_LIFT = 2, 12.0
 COVER = 4
 
 #: Look-alikes and the letters that they stand for.
@@ -164,7 +164,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
           label: str = "toxic") -> Lexicon:
     """A lexicon from labelled rows (already restricted to those one may learn from)."""
-    sample = materialize(labelled_sample(docs, labels, key, text, label), "toxicity-sample")
+    sample = materialize(labelled_sample(docs, labels, key, text, label).select("text", "y").distinct(),
+                         "toxicity-sample")
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic:
@@ -180,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         yield pa.RecordBatch.from_arrays(
             [pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()),
              pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "bad", "good"])
-        rest = [t for t in seen[0] if t not in seen[1] and seen[0][t] > 1]
+        rest = [t for t in seen[0] if t not in seen[1]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()),
              pa.array([seen[0][t] for t in rest], pa.int64())], ["term", "bad", "good"])
@@ -188,22 +189,22 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = (sample.select("text", "y").mapInArrow(count, "term string, bad long, good long")
               .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
     lift = ((F.col("bad") + 0.5) / (toxic + 1)) / ((F.col("good") + 0.5) / (clean + 1))
-    top = (counts.where(F.col("bad") >= max(2, int(MIN_SHARE * toxic))).withColumn("lift", lift)
-           .where(F.col("lift") >= MIN_LIFT).orderBy(F.desc("bad"), F.desc("lift"), "term").limit(MAX_TERMS)
-           .collect())
-    candidates = {r["term"]: (r["bad"], float(np.log(r["lift"]))) for r in top}
+    passed = (counts.where(F.col("bad") >= MIN_TEXTS).withColumn("lift", lift)
+              .where(F.col("lift") >= MIN_LIFT).select("term", "bad", "lift").toArrow().sort_by("term"))
+    names = passed.column("term").to_pylist()     # of at most max_toxic texts
+    candidates = {t: (n, float(np.log(x))) for t, n, x in
+                  zip(names, passed.column("bad").to_pylist(), passed.column("lift").to_pylist())}
     if not candidates:
         return Lexicon()
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = Folder()
+        folder, number = Folder(), {t: i for i, t in enumerate(names)}
         for batch in slices(batches):
-            own = [sorted(terms_of(folder(t)) & candidates.keys()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["terms"])
+            own = [[number[x] for x in terms_of(folder(t)) if x in number] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32()))], ["terms"])
 
-    texts = [r["terms"] for r in sample.where("y = 1").select("text")
-             .mapInArrow(present, "terms array<string>").collect()]     # at most max_toxic rows
-    chosen = cover(texts, candidates)
+    texts = sample.where("y = 1").select("text").mapInArrow(present, "terms array<int>").toArrow().column("terms")
+    chosen = cover([[names[i] for i in t.as_py()] for t in texts], candidates)
     lexicon = Lexicon({t: round(candidates[t][1], 4) for t in chosen})
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,25 +222,34 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def cover(texts: list[list[str]], candidates: dict[str, tuple[int, float]], times: int = COVER) -> list[str]:
     """Greedy choice of terms until each text is hit ``times`` (as far as it can
-    be), or no term helps more than a hundredth of the texts."""
+    be), or no term helps ``MIN_TEXTS`` texts. Terms that begin with a chosen one, and
+    those that a chosen one begins with, are passed over."""
     need = np.full(len(texts), times)
     where: dict[str, list[int]] = {}
     for i, terms in enumerate(texts):
         for t in terms:
             where.setdefault(t, []).append(i)
     rows = {t: np.asarray(v) for t, v in where.items()}
+    last = {t: i for i, t in enumerate(sorted(rows, reverse=True))}
+    # gains only fall, so a term whose gain has not fallen since it was queued is the best
+    queue = [(-len(r), -candidates[t][1], len(t), last[t], t) for t, r in rows.items()]
+    heapq.heapify(queue)
     chosen: list[str] = []
-    while rows:
-        gain = {t: (int((need[r] > 0).sum()), candidates[t][1], -len(t)) for t, r in rows.items()}
-        best = max(gain, key=lambda t: (gain[t], t))
-        if gain[best][0] < max(2, MIN_SHARE * len(texts)):
-            break
-        chosen.append(best)
-        need[rows.pop(best)] -= 1
-        for t in [t for t in rows if t.startswith(best.rstrip()) or best.startswith(t.rstrip())]:
-            if t.strip() != best.strip() and gain[t][0] > 1.2 * gain[best][0]:
-                continue
-            del rows[t]
+    taken, starts = set(), set()          # the chosen terms, and all that they begin with
+    while queue:
+        gain, *rank, t = heapq.heappop(queue)
+        if t in starts or any(t[:n] in taken for n in range(1, len(t))):
+            continue
+        now = int((need[rows[t]] > 0).sum())
+        if now < MIN_TEXTS:
+            continue
+        if now < -gain:
+            heapq.heappush(queue, (-now, *rank, t))
+            continue
+        chosen.append(t)
+        need[rows[t]] -= 1
+        taken.add(t)
+        starts.update(t[:n] for n in range(1, len(t) + 1))
     return chosen
 
 

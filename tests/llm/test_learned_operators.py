@@ -146,3 +146,29 @@ def test_sample_is_bounded(spark):
     n = {r["y"]: r["n"] for r in picked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert n == {1: 10, 0: 20}
     assert picked.select("key").distinct().count() == 30
+
+
+def test_copies_and_rare_words_in_the_toxicity_sample(spark):
+    rng = random.Random(8)
+
+    def coin():
+        return "".join(rng.choice("abcdefghklmnoprstuvwxyz") for _ in range(8))
+
+    common, real, rare = [coin() for _ in range(60)], [coin() for _ in range(10)], [coin() for _ in range(3)]
+    long = " ".join(coin() for _ in range(1500))
+    toxic = [long] * 150 + [" ".join(rng.choices(common, k=30) + rng.sample(real, 2)) for _ in range(241)]
+    toxic += [" ".join(rng.choices(common, k=30) + [w]) for w in rare for _ in range(3)]
+    clean = [" ".join(rng.choices(common, k=32)) for _ in range(1000)]
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn(docs.drop("toxic"), docs.drop("text"))
+    m = toxicity.Matcher(lexicon)
+    assert all(m.hits(m.folder(w)) for w in real + rare)
+    assert sum(m.score(t)[0] >= 0.7 for t in toxic[150:391]) == 241
+    assert not any(m.score(t)[0] >= 0.7 for t in clean)
+
+
+def test_cover_passes_over_words_of_one_text_and_keeps_longer_words():
+    texts = [[" idiot ", f" own{i} "] for i in range(5)] + [[" idiotic "]] * 2 + [[" lowe", " loweiz"]] * 2
+    candidates = {t: (1, 1.0) for x in texts for t in x}
+    assert toxicity.cover(texts, candidates) == [" idiot ", " lowe", " idiotic "]
