@@ -94,20 +94,18 @@ def resolve(href: Column, base: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) of the canonical link and the meta refresh of each page."""
+    """(src, dst) of all canonical links and meta refreshes of each page."""
     text = F.col(html)
-    link = F.regexp_extract(text, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*"
-                                  r"(?:\"([^\"]*)\"|'[^']*'|[^\s\"'>]+)", 1)
-    link1 = F.regexp_extract(text, r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*"
-                                   r"'([^']*)'", 1)
-    meta = F.regexp_extract(text, r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent"
-                                  r"\s*=\s*[\"']?\s*[\d.]+\s*[;,]\s*url\s*=\s*'?([^\"'>\s]+)", 1)
+    link = F.regexp_extract_all(text, F.lit(r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?(?<=[\s\"'/])href"
+                                            r"\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), 1)
+    meta = F.regexp_extract_all(text, F.lit(r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\bcontent"
+                                            r"\s*=\s*[\"']?\s*[\d.]+\s*[;,]\s*url\s*=\s*'?([^\"'>\s]+)"), 1)
     some = F.col(html).rlike(r"(?i)canonical|http-equiv")   # most pages have neither
-    hrefs = F.when(some, F.array(F.when(link != "", link).otherwise(link1), meta)) \
-        .otherwise(F.array().cast("array<string>"))
+    hrefs = F.when(some, F.concat(link, meta)).otherwise(F.array().cast("array<string>"))
+    href = F.regexp_replace("href", r"^[\"']|[\"']$", "")
     found = (pages.where(F.col(url).contains("://") & F.col(html).isNotNull())
              .select(F.col(url).alias("base"), F.explode(hrefs).alias("href"))
-             .where("href != ''"))
+             .select("base", href.alias("href")).where("href != ''"))
     return (found.select(node_of(F.col("base")).alias("src"),
                          node_of(resolve(F.col("href"), F.col("base"))).alias("dst"))
             .where("src IS NOT NULL AND dst IS NOT NULL AND src != dst").distinct())

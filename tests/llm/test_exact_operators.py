@@ -251,6 +251,25 @@ def test_url_aliases(spark):
     assert got == {1: "block", 6: "block", 7: "block"}
 
 
+def test_links_in_all_forms(spark):
+    pages = [
+        ("http://a.org/1", "<link rel=canonical href=https://b.net/fr/1>"),
+        ("http://a.org/2", "<LINK href=//b.net/fr/2 rel=canonical><link rel='canonical' href='/x2' />"),
+        ("http://a.org/3", '<link rel="canonical"href="/x3">\n<link rel=stylesheet href=no.css><link rel=canonical href=x4>'),
+        ("http://a.org/4", "<meta http-equiv=refresh content=0;url=/y4><meta http-equiv='refresh' content='1; url=/z4'>"),
+        ("http://a.org/5", "<link rel=canonical data-href=/no href=/q?href=1&amp;b=2><meta http-equiv=refresh content='0'>"),
+        ("http://a.org/6", "<link rel=canonical href=''><link rel=canonical href><link rel=icon href=/no>"),
+    ]
+    df = spark.createDataFrame(pages, "url string, html string")
+    got = {(r["src"], r["dst"]) for r in url_filters.page_edges(df).collect()}
+    assert got == {("http://a.org/1", "https://b.net/fr/1"), ("http://a.org/2", "http://b.net/fr/2"),
+                   ("http://a.org/2", "http://a.org/x2"), ("http://a.org/3", "http://a.org/x3"),
+                   ("http://a.org/3", "http://a.org/x4"), ("http://a.org/4", "http://a.org/y4"),
+                   ("http://a.org/4", "http://a.org/z4"), ("http://a.org/5", "http://a.org/q?href=1&b=2")}
+    judged = {r["url"]: (r["verdict"], r["decided_by"]) for r in url_filters.filter_urls(df).collect()}
+    assert judged["http://a.org/1"] == judged["http://a.org/2"] == ("block", "alias")
+
+
 def test_template_vocabulary_has_its_marks():
     t = chat_format.load_tokenizer(open(SPEC, encoding="utf-8").read())
     ids = t.encode("<|im_start|>x<|im_end|>", add_special_tokens=False).ids
