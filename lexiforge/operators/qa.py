@@ -168,29 +168,39 @@ def static_pairs(table: DataFrame, builder: str) -> DataFrame:
 
 # --- combos (B-19, P-17..P-19) ----------------------------------------------
 
+def needed(value: Column, *message: Column) -> Column:
+    """``value``; a null raises ``message``."""
+    parts = [F.coalesce(m.cast("string"), F.lit("null")) for m in message]
+    return F.coalesce(value, F.raise_error(F.concat(*parts)))
+
+
 def combo_pairs(t: ComboTables, markers: bool = True,
                 zone_phrases: dict[str, str] | None = None) -> DataFrame:
-    """One (question, answer) per combo from the re-assembled combo rows."""
+    """One (question, answer) per combo from the re-assembled combo rows. Unknown or
+    missing zones and null card or feature names raise, as in the source."""
     zones = zone_phrases or ZONE_PHRASES
     zmap = F.create_map(*[F.lit(x) for kv in zones.items() for x in kv])
     mk = (lambda i: F.lit(MARKERS[i])) if markers else (lambda i: F.lit(""))
     end_steps, end_result, end_prereq, start, end_combo = (mk(i) for i in range(5))
 
     nested = nest_combos(t)
-    names = F.array_join(F.transform("cards", lambda c: c["card_name"]), ", ")
+    of_combo = (F.lit(" in combo "), F.col("combo_id"))
+    card_name = lambda c: needed(c["card_name"], F.lit("null card name"), *of_combo)
+    names = F.array_join(F.transform("cards", card_name), ", ")
     feats = F.array_join(
-        F.transform("features", lambda f: F.concat(F.lit("  - "), expand_abbreviations(f["feature_name"]))),
+        F.transform("features", lambda f: F.concat(F.lit("  - "), expand_abbreviations(
+            needed(f["feature_name"], F.lit("null feature name"), *of_combo)))),
         "\n")
     steps = F.coalesce(ordinal_lines("steps", start=1, indent="  "), F.lit(""))
-    phrase = lambda z: F.try_element_at(zmap, z)
+    phrase = lambda z: needed(F.try_element_at(zmap, z), F.lit("unknown zone code "), z, *of_combo)
 
     # P-18: one distinct zone tuple -> one line using its first zone only;
     # otherwise one line per card with its zones joined by " or ".
     zone_tuples = F.array_distinct(F.transform("cards", lambda c: c["zone_locations"]))
     single = F.array(F.concat(F.lit(COMBO_ALL_ZONE), phrase(F.get(F.get(zone_tuples, 0), 0))))
     per_card = F.transform("cards", lambda c: F.concat(
-        F.lit("  - "), c["card_name"], F.lit(" must be "),
-        F.array_join(F.transform(c["zone_locations"], phrase), " or ")))
+        F.lit("  - "), card_name(c), F.lit(" must be "),
+        F.array_join(F.transform(needed(c["zone_locations"], F.lit("null zones"), *of_combo), phrase), " or ")))
     zone_lines = (F.when(F.size(zone_tuples) == 1, single)
                   .when(F.size(F.col("cards")) == 0, F.array().cast("array<string>"))
                   .otherwise(per_card))

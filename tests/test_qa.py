@@ -175,6 +175,24 @@ def test_combo_answer_text(spark, combo_json, tmp_dir):
     assert "[" not in plain["c1"].answer.replace("{1}{U}", "")
 
 
+@pytest.mark.parametrize("uses, produces, message", [
+    ([("Alpha", ["X"]), ("Beta", ["X"])], [], "unknown zone code X in combo c1"),            # one shared zone
+    ([("Alpha", ["B"]), ("Beta", ["G", "X"])], [], "unknown zone code X in combo c1"),       # one line a card
+    ([("Alpha", ["B"]), ("Beta", [None, "G"])], [], "unknown zone code null in combo c1"),
+    ([("Alpha", []), ("Beta", [])], [], "unknown zone code null in combo c1"),
+    ([("Alpha", None), ("Beta", ["B"])], [], "null zones in combo c1"),
+    ([("Alpha", ["B"]), (None, ["B"])], [], "null card name in combo c1"),
+    ([("Alpha", ["B"])], [None, "Infinite ETB"], "null feature name in combo c1"),
+])
+def test_unknown_zones_and_null_names_raise(spark, tmp_dir, uses, produces, message):
+    with open(f"{tmp_dir}/combos.json", "w") as f:
+        json.dump({"variants": [_variant("c0", [("Alpha", ["B"])], []), _variant("c1", uses, produces)]}, f, indent=2)
+    t = load_combos(spark, f"{tmp_dir}/combos.json", f"{tmp_dir}/variants")
+    with pytest.raises(Exception, match=message):
+        qa.combo_pairs(t).collect()
+    assert "on the battlefield" in qa.combo_pairs(t).where("combo_id = 'c0'").first().answer
+
+
 def test_streaming_equals_batch(spark, cards, tmp_dir):
     from lexiforge.streaming.qa_stream import stream_pairs
     raw = cards_df(spark, CARDS)
