@@ -13,6 +13,7 @@ untouched (a clashing column is replaced only by a metric of the same name).
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,24 @@ STOP_WORDS = {
     "fr": "au avec dans de des du elle en est et il la le les par pas pour que qui sur un une".split(),
     "es": "al con de del el en es la las lo los no para por que se su un una y".split(),
 }
+#: Function words of further languages, whose texts the rule on stop words spares.
+FURTHER_WORDS = {
+    "cs": "aby ale jako jeho jsem jsou které který než nebo pro při také však že".split(),
+    "da/no/sv": "att av blev det efter eller från för har hon ikke inte jeg kan med men mot och också og "
+                "om på skal som till var være".split(),
+    "fi": "ei ja joka kun mutta myös niin oli ovat sekä tai että".split(),
+    "hu": "az csak egy ez hogy is már meg mint nem vagy volt és".split(),
+    "id/ms": "adalah akan dalam dan dari dengan ini itu ke oleh pada tidak untuk yang".split(),
+    "it": "alla anche che come con dei del della di gli ha il nel nella non per più sono".split(),
+    "nl": "aan dat de door een het hij maar met naar niet ook op te van voor wordt zijn".split(),
+    "pl": "ale czy dla do jak jest lub na nie od oraz po przez się są tym że".split(),
+    "pt": "ao as com como da das do dos em foi mais mas na não os ou pela pelo são uma".split(),
+    "ro": "ale care ce cu din este fi la mai nu pe pentru prin sau sunt și în".split(),
+    "tr": "bir bu da daha de gibi için ile ne olan olarak sonra ve çok".split(),
+    "vi": "các của cho có không là một người những trong và được".split(),
+}
+#: Scripts by the first word of their characters' names.
+SCRIPTS = {"CJK": "Han"}
 
 
 @dataclass(frozen=True)
@@ -106,14 +125,29 @@ def _metrics(stop_words: list[str]) -> dict[str, Column]:
     }
 
 
+def _spared(stop_words: list[str], further: list[str], low: float) -> Column:
+    """Texts that the rule on stop words says nothing about: most letters are of scripts
+    in which no stop word is written, or ``low`` of the words are ``further`` words."""
+    names = sorted({unicodedata.name(c).split()[0] for w in stop_words for c in w if c.isalpha()})
+    scripts = "".join(rf"\p{{Is{SCRIPTS.get(n, n.title())}}}" for n in names)
+    letters = F.length(F.regexp_replace("_t", r"\P{L}+", ""))
+    other = F.length(F.regexp_replace("_t", rf"[\P{{L}}{scripts}]+", ""))
+    bare = F.transform("_w", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
+    known = F.array(*[F.lit(w) for w in further]).cast("array<string>")
+    return (2 * other > letters) | (F.size(F.filter(bare, lambda w: F.array_contains(known, w)))
+                                    >= low * F.col("n_words"))
+
+
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
           min_words: int = 50, max_repeat_percent: int = 50,
           stop_words: dict[str, list[str]] | None = None) -> DataFrame:
     """Add the counts, ``base_failed``, ``kept`` and ``failed_rules`` (names of
-    the table's rules that a row breaks) to every row."""
+    the table's rules that a row breaks) to every row. ``stop_words`` takes the
+    place of ``STOP_WORDS`` and ``FURTHER_WORDS``."""
     words = sorted({w for ws in (stop_words or STOP_WORDS).values() for w in ws})
     own = docs.columns
     d = _counts(docs, text)
+    further = [] if stop_words else sorted({w for ws in FURTHER_WORDS.values() for w in ws} - set(words))
     metrics = _metrics(words)
     base = ((F.col("n_words") < min_words)
             | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
@@ -122,7 +156,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         value = metrics[r.metric]
         out = F.lit(False)
         if r.low is not None:
-            out = out | (value < r.low)
+            below = value < r.low
+            if r.metric == "stop_ratio":
+                below = below & ~_spared(words, further, r.low)
+            out = out | below
         if r.high is not None:
             out = out | (value > r.high)
         broken.append(F.when(out, F.lit(r.metric)))

@@ -200,6 +200,23 @@ def test_quality_rules_table(spark):
     assert kept["shout"] == ["shout_ratio"] and "pipe_ratio" in kept["pipes"] and kept["stops"] == ["stop_ratio"]
 
 
+def test_stop_words_of_other_languages(spark):
+    texts = {
+        "ru": "Дом у реки стоит давно и окна его смотрят на воду где летом плавают лодки ",
+        "el": "Το σπίτι στέκεται κοντά στο ποτάμι και τα παράθυρα κοιτάζουν το νερό ",
+        "pl": "Dom stoi nad rzeką od wielu lat i jest duży ale nie ma okien po drugiej stronie ",
+        "nl": "Het huis staat al jaren aan het water maar niemand woont er met zijn kinderen ",
+        "junk": "xq zzkw brrt plonk vrrm qqt wzx krrp ", "digits": "12 34 56 78 90 ",
+    }
+    rows = [(k, " ".join(w + str(i) if j % 3 == 0 else w for i in range(8) for j, w in enumerate(t.split())))
+            for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    failed = {r["doc_id"]: "stop_ratio" in r["failed_rules"] for r in quality_rules.judge(df).collect()}
+    assert failed == {"ru": False, "el": False, "pl": False, "nl": False, "junk": True, "digits": True}
+    russian = quality_rules.judge(df, stop_words={"ru": ["ни", "бы"]}).where("doc_id = 'ru'").first()
+    assert "stop_ratio" in russian["failed_rules"]      # its script has stop words now
+
+
 URLS = ["http://A.Example.COM/en/x?y", "https://www.example.com/en/", "ftp://x.net/fr/1#f", "net/fr/", None, "",
         "http://example.com", "http://example.com?q=/en/", "http://notexample.com/en/a", "http://net/es/", "a://b://net/es/",
         "http://ÄX.net/es/é", "http://xnet/es/"]
