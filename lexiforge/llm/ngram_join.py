@@ -456,10 +456,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, orders: tuple[int, .
 
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75,
                     seed: int = 0) -> DataFrame:
-    """(``key``, th, n_shingles, component_id, n_links) per document.
+    """(``key``, th, n_shingles, component_id, n_tested_links) per document.
 
-    ``th``: xxhash64 of the text, which tells rows of one id apart. ``n_links``:
-    links that were verified at the document's node; links inside a component
+    ``th``: xxhash64 of the text, which tells rows of one id apart.
+    ``n_tested_links``: links that were verified at the document's node; links inside a component
     that needed no test are not counted.
     """
     spark = docs.sparkSession
@@ -494,14 +494,14 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         ids = ids.join(labelled.join(best, "component").select("node", "component_id"), "node", "left") \
             .select("node", F.coalesce("component_id", "first_id").alias("first_id"))
         degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(
-            F.count("*").alias("n_links"))
+            F.count("*").alias("n_tested_links"))
         ids = ids.join(degree, "node", "left")
     else:
-        ids = ids.withColumn("n_links", F.lit(None).cast("long"))
+        ids = ids.withColumn("n_tested_links", F.lit(None).cast("long"))
     return (rows.select("id", "th", "node", "n").join(ids, "node", "left")
             .select(F.col("id").alias(key), "th", F.col("n").alias("n_shingles"),
                     F.coalesce("first_id", "id").alias("component_id"),
-                    F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+                    F.coalesce("n_tested_links", F.lit(0).cast("long")).alias("n_tested_links")))
 
 
 def _rounds(docs, key, text, member, classes, percent, seed, least):

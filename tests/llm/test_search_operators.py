@@ -307,3 +307,12 @@ def test_cut_characters_keeps_rows_apart():
     w, f, _ = decontamination.words_of(pa.array(texts))
     assert np.diff(f).tolist() == [0, 3, 1, 0, 4, 3, 1]
     assert w[1] == w[3] == w[5]
+
+
+def test_join_names_what_it_counts(spark):
+    texts = [" ".join(f"w{i}" for i in range(60))] + [" ".join(f"w{i}" for i in range(60)) + f" end{k}" for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    joined = ngram_join.join_components(df)
+    assert joined.columns == ["doc_id", "th", "n_shingles", "component_id", "n_tested_links"]
+    rows = joined.collect()
+    assert {r["component_id"] for r in rows} == {0} and all(1 <= r["n_tested_links"] <= 3 for r in rows)
