@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiforge.operators.broadcast import bounded_broadcast
+from lexiforge.session import materialize
+
 #: Words of every word-based operator here: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -116,3 +119,23 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         back[1:] = inverse
         np.multiply.accumulate(back, out=back)
         return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64), 3)
+
+
+def place(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number ``pos`` within the group, in ``order``, and the
+    group's count ``n``; written once. Sorted by ranges over all tasks."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys = [F.col(group), *[F.col(c) for c in order]]
+    ranged = materialize(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(
+        "seq", F.monotonically_increasing_id()), name)
+    part = F.shiftright("seq", 33)
+    counts = ranged.groupBy(F.col(group).alias("g"), part.alias("part")).agg(
+        F.count("*").alias("rows"), F.min("seq").alias("first"))
+    by_group = Window.partitionBy("g")
+    offsets = counts.select(
+        "g", "part", "first",
+        (F.sum("rows").over(by_group.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(by_group).alias("n"))
+    small, _ = bounded_broadcast(materialize(offsets, name + "-offsets"))
+    return ranged.join(small, F.col(group).eqNullSafe(F.col("g")) & (part == F.col("part"))).select(
+        *rows.columns, (F.col("before") + F.col("seq") - F.col("first")).alias("pos"), "n")

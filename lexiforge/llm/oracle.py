@@ -96,6 +96,72 @@ JOIN (SELECT r.x, min(e.doc_id) AS component_id FROM reach r JOIN d e ON e.k = r
 """
 
 
+# crc32 of a decimal id, bit by bit: each byte is followed by seven zeros
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(i, ''), "
+        "lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), "
+        "lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)")
+
+
+def merkle_sql(levels: int = 6) -> str:
+    """The manifest with up to 16^levels rows a source and as many sources."""
+    def level(k: int, groups: str, name: str) -> str:
+        below = f"{name}{k - 1}"
+        return (f"{name}r{k} AS (SELECT {groups}, i // 16 AS i, list(h ORDER BY i) AS hs, any_value(n) AS n FROM {below} "
+                f"GROUP BY {groups}, i // 16),\n"
+                f"{name}{k} AS (SELECT {groups}, i, CASE WHEN n > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h, "
+                f"(n + 15) // 16 AS n FROM {name}r{k})")
+
+    def step(k: int, name: str, before: str, on: str, place: str) -> str:
+        own = f"{place} // {16 ** (k - 1)} % 16"
+        return (f"{before}{name}{k} AS (SELECT f.* EXCLUDE (folded, proof), "
+                f"CASE WHEN r.n > 1 THEN sha256(array_to_string(hs[:{own}], '') || folded || array_to_string(hs[{own} + 2:], '')) "
+                f"ELSE folded END AS folded, CASE WHEN r.n > 1 THEN proof || array_to_string(hs[:{own}], '') || "
+                f"array_to_string(hs[{own} + 2:], '') ELSE proof END AS proof "
+                f"FROM {before}{name}{k - 1} f JOIN {name}r{k} r ON {on} AND r.i = f.{place} // {16 ** k})")
+
+    def value(x: str) -> str:
+        return f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(value(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    every = range(1, levels + 1)
+    same = "f.source IS NOT DISTINCT FROM r.source"
+    return ",\n".join([
+        f"WITH d AS (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf(lower)} AS bad, doc_id::VARCHAR AS i FROM documents)",
+        f"c AS (SELECT *, CASE WHEN i IS NULL OR {_CRC} % 5 = 0 THEN bad ELSE leaf END AS folded FROM d)",
+        "p AS (SELECT doc_id, source, leaf, folded, '' AS proof, row_number() OVER (PARTITION BY source "
+        "ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM c)",
+        "a0 AS (SELECT source, pos AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM p)",
+        *[level(k, "source", "a") for k in every],
+        f"b0 AS (SELECT 0 AS one, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, count(*) OVER () AS n, source "
+        f"FROM a{levels})",
+        *[level(k, "one", "b") for k in every],
+        f"fa0 AS (SELECT * FROM p)", *[step(k, "a", "f", same, "pos") for k in every],
+        f"fb0 AS (SELECT f.*, b0.i AS g, b0.h AS subroot FROM fa{levels} f JOIN b0 ON f.source IS NOT DISTINCT FROM b0.source)",
+        *[step(k, "b", "f", "true", "g") for k in every]]) + (
+        f"\nSELECT doc_id, leaf, subroot, top.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, "
+        f"folded = top.h AS verified FROM fb{levels}, (SELECT h FROM b{levels}) top")
+
+
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+  (row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id))::INT AS rank, s.id AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_quality_rules": OP3.replace("@STOPS@", STOPS), "op5_url_filters": OP5,
-            "op6_chat_formatting": OP6, "op7_ngram_join": OP7, "op8_warc": OP8}
+            "op6_chat_formatting": OP6, "op7_ngram_join": OP7, "op8_warc": OP8,
+            "op11_merkle_manifest": merkle_sql(), "op13_hard_negatives": OP13}

@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import (bpe, chat_format, decontamination, langid, ngram_join, quality_cnn,
-                           quality_rules, toxicity, url_filters, warc)
+from lexiforge.llm import (bpe, chat_format, decontamination, hard_negatives, langid, merkle, ngram_join, pii,
+                           quality_cnn, quality_rules, toxicity, url_filters, warc)
 from lexiforge.llm.common import fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -83,8 +83,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaves = merkle.document_leaves(
+        table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "doc_id", "source", "text",
+        fold("doc_id", 5) == 0)
+    manifest = merkle.build(leaves, "doc_id", "leaf", "source")
+    return merkle.verify(manifest, "doc_id", "leaf", "source", "claimed").select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = pii.train(pii.labelled_examples(spark))
+    return pii.digest_spans(pii.find_pii(table(spark, sf_dir, "documents"), field))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe, op2_quality_classifier, op3_quality_rules, op4_decontamination,
         op5_url_filters, op6_chat_formatting,
-        op7_ngram_join, op8_warc, op9_language_id, op10_toxicity)}
+        op7_ngram_join, op8_warc, op9_language_id, op10_toxicity, op11_merkle_manifest, op12_pii, op13_hard_negatives)}
