@@ -598,6 +598,9 @@ def digest_spans(found: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(
             ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in BASE]
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE]
     rest = [c for c in found.columns if c != "spans"]
     return found.select(*rest, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
