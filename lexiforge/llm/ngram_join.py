@@ -5,29 +5,30 @@ sets with Jaccard similarity t or more share a token among the first
 ``n - ceil(t n) + 1`` of each, under *any* global order of tokens. Work runs in
 these steps, none of which drops a pair that may link:
 
-1. One pass gives each document its set's digest, size and a parity bitmap,
-   and counts tokens in a sketch of fixed size. Documents with equal sets are
-   one node from here on.
+1. One pass gives each document its set's digest, size, a parity bitmap and
+   small signatures of its prefixes under two further orders, and counts tokens in a
+   sketch of fixed size. Documents with equal sets are one node from here on.
 2. First order: tokens that the sketch calls frequent come last (by powers of
    two), the rest by a hash. A second pass emits the prefix tokens of each
-   node. Groups of one token are cut into blocks of ``BLOCK`` nodes, and pairs of
-   blocks are the cells in which pairs are looked at. Cells with the same
-   members are kept once.
-3. In a cell, sizes and bitmaps bound the similarity from above. Of the pairs
+   node, one row each. Nodes of one token are a cell; a token held by thousands is
+   dealt into blocks of about ``BLOCK`` nodes, by another hash for each token.
+   Cells with the same members are kept once.
+3. In a cell a pair must pass the bounds of sizes and bitmaps and share, by their
+   signatures, a prefix token under the second and the third order as well. Of the pairs
    that pass, the first round makes a spanning forest candidates, nearest pairs
    first. The second round takes every pair that passes and is not yet in one
    component, so each pair that passes is either tested or connected otherwise.
-4. Candidates must also share a prefix token under the second and the third
-   order (hashes with other seeds); those that do are compared whole.
-5. Connected components over the links give the classes.
+4. Candidates are compared whole; connected components over the links follow.
+5. Of a token dealt into blocks, only members that are still in unlike components
+   meet across blocks (those outside its largest component with all others), in the
+   same two rounds. A group of m near copies is connected by its blocks, which differ
+   from token to token, and so costs about m rows a token, not m * m.
 
-Frequent tokens, copies and large groups of near copies thus cost about as
-many rows as they have members. Everything shuffled is narrow except the sets
-of nodes that have a candidate.
+Everything shuffled is narrow except the sets of nodes that have a candidate.
 
-Node ids and tokens are 64-bit hashes. Two different sets with one id are
-found (their 128-bit digests differ) and raise an error that asks for another
-``seed``; equal token hashes of different shingles are as likely as 2^-64 each.
+Node ids are 64 bits of a 128-bit digest. Sets that share them are found (their digests
+differ) and take the other 64 bits; only if those clash too is an error raised. Equal
+token hashes of different shingles are as likely as 2^-64 each.
 
 Defined results: null texts and texts without words have an empty set and
 link with nothing (the component is the own id); fewer than five words are
@@ -54,7 +55,13 @@ from lexiforge.session import materialize
 WORDS = 5
 SKETCH = 1 << 21
 BLOCK = 1024
+#: Classes of tokens beyond this one (4,096 documents) are dealt into blocks.
+WIDE = 12
+#: Rows of one group's cells that go to one task, about.
+HEAVY = 4096
 SLICE = 1 << 20
+#: Orders beside the first.
+ORDERS = (31, 32)
 
 
 def shingle_sets(column: pa.Array, seed: int = 0, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -99,12 +106,33 @@ def parity_bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def prefix_signature(s: np.ndarray, percent: int) -> bytes:
+    """For each further order a bitmap of the prefix tokens (one bit a token): sets
+    that share a prefix token share a bit. Bits grow with the prefix, 64 to 1,024."""
+    p = prefix_size(len(s), percent)
+    bits = min(1024, max(64, 1 << (2 * p * p - 1).bit_length()))
+    out = []
+    for order in ORDERS:
+        r = mix64(s, order)
+        top = np.partition(r, p - 1)[:p]
+        on = np.zeros(bits, np.uint8)
+        on[(mix64(top, 9) & np.uint64(bits - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(on, bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def node_id(digest: bytes, clashes: frozenset, bits: int = 64) -> int:
+    """The first 64 bits of a set's digest, or the others if sets share those."""
+    node = int.from_bytes(digest[:8], "little", signed=True) >> (64 - bits)
+    return int.from_bytes(digest[8:], "little", signed=True) if node in clashes else node
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def profile(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
-    """Rows (id, th, node, digest, n, bitmap), and rows (part, counts) of the sketch."""
+def profile(docs: DataFrame, key: str, text: str, seed: int, percent: int = 75, bits: int = 64) -> DataFrame:
+    """Rows (id, th, node, other, digest, n, bitmap, sig), and rows (part, counts) of the sketch."""
     kind = docs.schema[key].dataType.simpleString()
     d = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("id"),
                     F.xxhash64(f"`{text}`").alias("th"))
@@ -120,43 +148,44 @@ def profile(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
                                          minlength=SKETCH)
                 held.clear()
 
-        names = ["id", "th", "node", "digest", "n", "bitmap", "part", "counts"]
+        names = ["id", "th", "node", "other", "digest", "n", "bitmap", "sig", "part", "counts"]
         id_type = pa.int64()
         for batch in slices(batches, max_bytes=SLICE):
             id_type = batch.column(1).type
-            node, digest, n, bitmap, tokens = [], [], [], [], []
+            node, other, digest, n, bitmap, sig, tokens = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column(0), seed):
                 n.append(len(s))
                 if len(s):
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     digest.append(d)
-                    node.append(int.from_bytes(d[:8], "little", signed=True))
+                    node.append(node_id(d, frozenset(), bits))
+                    other.append(int.from_bytes(d[8:], "little", signed=True))
                     bitmap.append(parity_bitmap(s))
+                    sig.append(prefix_signature(s, percent))
                     tokens.append(s)
                 else:
-                    digest.append(None)
-                    node.append(None)
-                    bitmap.append(None)
+                    for column in (node, other, digest, bitmap, sig):
+                        column.append(None)
             held += tokens
             if sum(map(len, held)) > SKETCH // 2:
                 count()
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(2), pa.array(node, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(n, pa.int64()), pa.array(bitmap, pa.binary()), pa.nulls(m, pa.int32()),
-                 pa.nulls(m, pa.binary())], names)
+                [batch.column(1), batch.column(2), pa.array(node, pa.int64()), pa.array(other, pa.int64()),
+                 pa.array(digest, pa.binary()), pa.array(n, pa.int64()), pa.array(bitmap, pa.binary()),
+                 pa.array(sig, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         count()
         step = SKETCH // 32
         for i in range(32):
             part = counts[i * step:(i + 1) * step]
             if part.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_type), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(),
-                                                                      pa.int64(), pa.binary())],
+                    [pa.nulls(1, id_type), *[pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(),
+                                                                      pa.int64(), pa.binary(), pa.binary())],
                      pa.array([i], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)])], names)
 
-    return d.mapInArrow(run, f"id {kind}, th long, node long, digest binary, n long, bitmap binary, "
-                             "part int, counts binary")
+    return d.mapInArrow(run, f"id {kind}, th long, node long, other long, digest binary, n long, bitmap binary, "
+                             "sig binary, part int, counts binary")
 
 
 def token_classes(parts: DataFrame) -> tuple[np.ndarray, float]:
@@ -192,15 +221,17 @@ def token_classes(parts: DataFrame) -> tuple[np.ndarray, float]:
     return np.where(counts <= 3 * mean + 64, 0, np.log2(np.maximum(extra, 1)).astype(np.int64) + 1).astype(np.uint8), mean
 
 
-def prefix_tokens(docs: DataFrame, text: str, classes, seed: int, percent: int) -> DataFrame:
-    """(token, node): the prefix of each node under the first order. A task
-    emits a node once, however many copies it reads. A token that is frequent
-    beyond a few blocks is dealt out over pairs of blocks at once."""
+def prefix_tokens(docs: DataFrame, text: str, classes, seed: int, percent: int, clashes: frozenset = frozenset(),
+                  bits: int = 64) -> DataFrame:
+    """(token, node, wide): the prefix of each node under the first order, one row a
+    token. A task emits a node once, however many copies it reads. A token that the
+    sketch gives 4,096 documents or more is dealt into blocks: ``token`` then
+    names the block that the node falls in, and ``wide`` the token itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         table, seen = classes.value, set()
         for batch in slices(batches, max_bytes=SLICE):
-            toks, nodes = [], []
+            toks, nodes, wides, is_wide = [], [], [], []
             for s in shingle_sets(batch.column(0), seed):
                 if not len(s):
                     continue
@@ -208,62 +239,72 @@ def prefix_tokens(docs: DataFrame, text: str, classes, seed: int, percent: int)
                 if d in seen:
                     continue
                 seen.add(d)
-                node = int.from_bytes(d[:8], "little", signed=True)
+                node = node_id(d, clashes, bits)
                 cls = table[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                 rank = (cls.astype(np.uint64) << np.uint64(57)) | (mix64(s, 1) >> np.uint64(7))
                 p = prefix_size(len(s), percent)
                 top = np.argpartition(rank, p - 1)[:p]
                 t, c = s[top], cls[top]
-                wide = c > 12        # 4096 documents and more
+                wide = c > WIDE
+                wides.append(t)
+                is_wide.append(wide)
                 if wide.any():
-                    out = [t[~wide]]
-                    for x, level in zip(t[wide], c[wide]):
-                        blocks = (2 << (int(level) - 1)) // BLOCK
-                        own = int(mix64(np.array([node], np.int64).view(np.uint64), 2)[0]) % blocks
-                        j = np.arange(blocks, dtype=np.uint64)
-                        lo, hi = np.minimum(j, np.uint64(own)), np.maximum(j, np.uint64(own))
-                        out.append(mix64(x ^ mix64(lo * np.uint64(blocks) + hi, 4), 6))
-                    t = np.concatenate(out)
+                    t = t.copy()
+                    w = t[wide]
+                    blocks = np.maximum((np.uint64(1) << c[wide].astype(np.uint64)) // np.uint64(BLOCK), np.uint64(1))
+                    own = mix64(w ^ np.array([node], np.int64).view(np.uint64), 2) % blocks
+                    t[wide] = mix64(w ^ mix64(own, 4), 6)
                 toks.append(t)
                 nodes.append(np.full(len(t), node, np.int64))
             if toks:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(toks)), pa.array(np.concatenate(nodes))],
-                                                 ["token", "node"])
+                on = np.concatenate(is_wide)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate(toks)), pa.array(np.concatenate(nodes)),
+                     pa.array(np.concatenate(wides).view(np.int64), pa.int64(), mask=~on)], ["token", "node", "wide"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, node long")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "token long, node long, wide long")
 
 
 def token_cells(rows: DataFrame, partitions: int) -> DataFrame:
-    """(a, b, members): the cells of tokens that two nodes or more share."""
+    """(a, b, wide, members): the cells of tokens that two nodes or more share."""
+    names = ["a", "b", "wide", "members"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        token = np.concatenate([t for t, _ in got])
-        node = np.concatenate([n for _, n in got])
+        token = np.concatenate([b.column(0).to_numpy() for b in got])
+        node = np.concatenate([b.column(1).to_numpy() for b in got])
+        wide = np.concatenate([pc.fill_null(b.column(2), 0).to_numpy() for b in got])
+        on = np.concatenate([b.column(2).is_valid().to_numpy(zero_copy_only=False) for b in got])
         del got
         order = np.lexsort((node, token))
-        token, node = token[order], node[order]
+        token, node, wide, on = token[order], node[order], wide[order], on[order]
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-        token, node = token[new], node[new]
+        token, node, wide, on = token[new], node[new], wide[new], on[new]
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.concatenate([first, [len(token)]]))
+        wide, on = wide[first], on[first]
         h = node.view(np.uint64)
         with np.errstate(over="ignore"):
             a = np.add.reduceat(mix64(h, 21), first)
             b = np.add.reduceat(mix64(h, 22), first)
-        small = np.flatnonzero((size >= 2) & (size <= BLOCK))
-        # cells with the same members are looked at once
-        _, keep = np.unique(a[small], return_index=True)
-        small = small[keep]
+        # a lone member of a wide token's block is kept: it meets others later
+        small = np.flatnonzero(((size >= 2) | on) & (size <= BLOCK))
+        if len(small):       # cells with the same members are looked at once
+            small = small[np.lexsort((wide[small], b[small], a[small]))]
+            same = np.zeros(len(small), bool)
+            same[1:] = ((a[small[1:]] == a[small[:-1]]) & (b[small[1:]] == b[small[:-1]])
+                        & (wide[small[1:]] == wide[small[:-1]]) & (on[small[1:]] == on[small[:-1]]))
+            small = small[~same]
         for i in range(0, len(small), 4096):
             part = small[i:i + 4096]
             at = np.repeat(first[part], size[part]) + np.arange(size[part].sum()) - np.repeat(
                 np.cumsum(size[part]) - size[part], size[part])
             offsets = np.concatenate([[0], np.cumsum(size[part])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [_signed(a[part]), _signed(b[part]),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[at]))], ["a", "b", "members"])
+                [_signed(a[part]), _signed(b[part]), pa.array(wide[part], pa.int64(), mask=~on[part]),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[at]))], names)
         for g in np.flatnonzero(size > BLOCK):
             own = node[first[g]:first[g] + size[g]]
             half = BLOCK // 2
@@ -275,10 +316,33 @@ def token_cells(rows: DataFrame, partitions: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         ha, hb = mix64(x, 21).sum(keepdims=True), mix64(x, 22).sum(keepdims=True)
                     yield pa.RecordBatch.from_arrays(
-                        [_signed(ha), _signed(hb), pa.array([m.tolist()], pa.list_(pa.int64()))],
-                        ["a", "b", "members"])
-
-    return rows.repartition(partitions, "token").mapInArrow(run, "a long, b long, members array<long>")
+                        [_signed(ha), _signed(hb), pa.array([int(wide[g])] if on[g] else [None], pa.int64()),
+                         pa.array([m.tolist()], pa.list_(pa.int64()))], names)
+
+    return rows.repartition(partitions, "token").mapInArrow(run, "a long, b long, wide long, members array<long>")
+
+
+def cross_cells(member: DataFrame, comps: DataFrame | None, half: int = BLOCK // 2) -> DataFrame:
+    """(a, b, least, wide, node): cells in which members of one wide token meet that are
+    in unlike components: those outside the token's largest component, in chunks,
+    with blocks of all its members. Tokens of one component make no cells."""
+    rows = member.where("wide IS NOT NULL").select("wide", "node").distinct()
+    rows = rows.withColumn("comp", F.col("node")) if comps is None else (
+        rows.join(comps, "node", "left").select("wide", "node", F.coalesce("component", "node").alias("comp")))
+    rows = materialize(rows, "join-wide")
+    tokens = (rows.groupBy("wide", "comp").agg(F.count("*").alias("n")).groupBy("wide").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"))
+        .where("m > most").select("wide", "main", F.ceil(F.col("m") / half).cast("long").alias("blocks"),
+                                  F.ceil((F.col("m") - F.col("most")) / half).cast("long").alias("chunks")))
+    small, _ = bounded_broadcast(tokens)
+    rows = rows.join(small, "wide")
+    chunk, block = F.pmod(F.xxhash64("node"), "chunks"), F.pmod(F.xxhash64("node", F.lit(1)), "blocks")
+    everyone = rows.select("wide", "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), block.alias("j"))
+    outside = rows.where("comp != main").select("wide", "node", chunk.alias("i"),
+                                                F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    both = everyone.unionByName(outside).distinct()
+    a = F.xxhash64("wide", "i", "j")
+    return both.select(a.alias("a"), F.xxhash64("j", "i", "wide").alias("b"), a.alias("least"), "wide", "node")
 
 
 def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
@@ -287,12 +351,24 @@ def _folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return bitmap
 
 
-def near_in_cell(n: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance) of the pairs of a cell that sizes and bitmaps let pass;
-    ``n`` rises. Distance: the differing bits, at most the tokens that differ."""
+def _or_folded(sig: np.ndarray, words: int) -> np.ndarray:
+    while sig.shape[-1] > words:
+        sig = sig[..., :sig.shape[-1] // 2] | sig[..., sig.shape[-1] // 2:]
+    return sig
+
+
+def near_in_cell(n: np.ndarray, bitmaps: list[np.ndarray], sigs: list[np.ndarray], percent: int
+                 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the pairs of a cell that sizes, bitmaps and the signatures of
+    the further orders let pass; ``n`` rises. Distance: the differing bits, at most
+    the tokens that differ."""
     words = np.array([len(b) for b in bitmaps])
     rows = {w: np.stack([_folded(b, w) for b in bitmaps if len(b) >= w]) for w in np.unique(words)}
     begin = {w: int(np.searchsorted(words, w)) for w in rows}
+    # signatures (orders, words); larger sets never have fewer words
+    sig_words = np.array([x.shape[1] for x in sigs])
+    sig_rows = {w: np.stack([_or_folded(x, w) for x in sigs if x.shape[1] >= w]) for w in np.unique(sig_words)}
+    sig_begin = {w: int(np.searchsorted(sig_words, w)) for w in sig_rows}
     out_i, out_j, out_d = [], [], []
     for i in range(len(n) - 1):
         stop = int(np.searchsorted(n, 100 * int(n[i]) // percent, side="right"))
@@ -304,6 +380,10 @@ def near_in_cell(n: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> tupl
         d = np.bitwise_count(m[i + 1 - at:stop - at] ^ m[i - at]).sum(axis=1, dtype=np.int64)
         # |x - y| + |y - x| <= (1 - t) / (1 + t) * (|x| + |y|)
         hit = np.flatnonzero((100 + percent) * d <= (100 - percent) * (n[i] + n[i + 1:stop]))
+        if len(hit):
+            w = int(sig_words[i])
+            x, at = sig_rows[w], sig_begin[w]
+            hit = hit[(x[hit + i + 1 - at] & x[i - at]).any(axis=2).all(axis=1)]
         if len(hit):
             out_i.append(np.full(len(hit), i))
             out_j.append(hit + i + 1)
@@ -362,7 +442,7 @@ def candidates(members: DataFrame, partitions: int, forest: bool, percent: int)
         comp = table.column("comp").to_numpy()
         order = np.lexsort((node, n, b, a))
         a, b, node, n, comp = a[order], b[order], node[order], n[order], comp[order]
-        bitmap = table.column("bitmap").combine_chunks()
+        bitmap, sig = table.column("bitmap").combine_chunks(), table.column("sig").combine_chunks()
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]]))
         place = np.unique(node, return_inverse=True)[1]
         root = list(range(int(place.max()) + 1))
@@ -371,7 +451,8 @@ def candidates(members: DataFrame, partitions: int, forest: bool, percent: int)
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
             maps = [np.frombuffer(bitmap[int(k)].as_py(), "<u8") for k in order[s:e]]
-            i, j, d = near_in_cell(n[s:e], maps, percent)
+            sigs = [np.frombuffer(sig[int(k)].as_py(), "<u8").reshape(len(ORDERS), -1) for k in order[s:e]]
+            i, j, d = near_in_cell(n[s:e], maps, sigs, percent)
             unlike = comp[s:e][i] != comp[s:e][j]
             i, j, d = i[unlike], j[unlike], d[unlike]
             if not len(i):
@@ -390,12 +471,17 @@ def candidates(members: DataFrame, partitions: int, forest: bool, percent: int)
             y = pa.array([None, *pairs[:, 1].tolist()] if more else pairs[:, 1].tolist(), pa.int64())
             yield pa.RecordBatch.from_arrays([x, y], ["x", "y"])
 
-    # Cells with one least member are mostly of one group of copies: a few of them
-    # together emit a pair once.
-    return members.repartition(partitions, F.col("least"), F.pmod("a", F.lit(6))).drop("least").mapInArrow(run, "x long, y long").distinct()
+    # Cells with one least member are mostly of one group of copies: together they
+    # emit a pair once. Where such cells have many rows, they are dealt out again.
+    heavy, _ = bounded_broadcast(members.groupBy("least").agg(F.count("*").alias("r")).where(f"r > {2 * HEAVY}").select(
+        F.col("least").alias("l"), F.ceil(F.col("r") / HEAVY).cast("long").alias("salts")))
+    dealt = members.join(heavy, F.col("least") == F.col("l"), "left")
+    return (dealt.repartition(partitions, F.col("least"), F.pmod("a", F.coalesce("salts", F.lit(1))))
+            .select("a", "b", "node", "n", "bitmap", "sig", "comp").mapInArrow(run, "x long, y long").distinct())
 
 
-def set_rows(docs: DataFrame, key: str, text: str, wanted: DataFrame, seed: int) -> DataFrame:
+def set_rows(docs: DataFrame, key: str, text: str, wanted: DataFrame, seed: int, clashes: frozenset = frozenset(),
+             bits: int = 64) -> DataFrame:
     """(node, tokens): the set of each wanted node, once."""
     small, _ = bounded_broadcast(wanted.select("id", "th").distinct())
     d = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("id"),
@@ -411,7 +497,7 @@ def set_rows(docs: DataFrame, key: str, text: str, wanted: DataFrame, seed: int)
             for s in shingle_sets(batch.column(0), seed):
                 if len(s):
                     raw = s.tobytes()
-                    node = int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest()[:8], "little", signed=True)
+                    node = node_id(hashlib.blake2b(raw, digest_size=16).digest(), clashes, bits)
                     if node not in seen:
                         seen.add(node)
                         nodes.append(node)
@@ -422,18 +508,8 @@ def set_rows(docs: DataFrame, key: str, text: str, wanted: DataFrame, seed: int)
     return d.mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
-def shares_prefix(x: np.ndarray, y: np.ndarray, order: int, percent: int) -> bool:
-    """Whether the prefixes of two sets under one more order have a common token."""
-    def top(s):
-        r = mix64(s, order)
-        p = prefix_size(len(s), percent)
-        return np.partition(r, p - 1)[:p]
-    return len(np.intersect1d(top(x), top(y), assume_unique=True)) > 0
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int, orders: tuple[int, ...] = (31, 32)) -> DataFrame:
-    """The pairs that share a prefix token under every further order, and whose
-    whole sets are similar enough."""
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("sx"))
     right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("sy"))
     both = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy")
@@ -444,49 +520,62 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, orders: tuple[int, .
             for i in range(batch.num_rows):
                 a = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
                 b = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                ok = all(shares_prefix(a, b, o, percent) for o in orders)
-                if ok:
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    ok = 100 * common >= percent * (len(a) + len(b) - common)
-                keep.append(ok)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "src long, dst long")
 
 
+def _classes(full: DataFrame) -> DataFrame:
+    return materialize(full.groupBy("node").agg(
+        F.min("id").alias("first_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("one"),
+        F.min("digest").alias("d1"), F.max("digest").alias("d2"), F.min("n").alias("n"),
+        F.min("bitmap").alias("bitmap"), F.min("sig").alias("sig")), "join-classes")
+
+
 def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75,
-                    seed: int = 0) -> DataFrame:
+                    seed: int = 0, id_bits: int = 64) -> DataFrame:
     """(``key``, th, n_shingles, component_id, n_tested_links) per document.
 
     ``th``: xxhash64 of the text, which tells rows of one id apart.
     ``n_tested_links``: links that were verified at the document's node; links inside a component
-    that needed no test are not counted.
+    that needed no test are not counted. ``id_bits``: bits of the digest that a node's
+    id takes at first (fewer make clashes likely, for tests).
     """
     spark = docs.sparkSession
-    made = materialize(profile(docs, key, text, seed), "join-profile")
-    rows = made.where("n IS NOT NULL").select("id", "th", "node", "digest", "n", "bitmap")
-    full = rows.where("n > 0")
-    classes = materialize(full.groupBy("node").agg(
-        F.min("id").alias("first_id"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "th")).alias("one"),
-        F.min("digest").alias("d1"), F.max("digest").alias("d2"), F.min("n").alias("n"),
-        F.min("bitmap").alias("bitmap")), "join-classes")
+    made = materialize(profile(docs, key, text, seed, percent, id_bits), "join-profile")
+    rows = made.where("n IS NOT NULL").select("id", "th", "node", "other", "digest", "n", "bitmap", "sig")
+    classes = _classes(rows.where("n > 0"))
+    clashes = frozenset(r["node"] for r in classes.where("d1 != d2").select("node").limit(100_000).collect())
+    if clashes:       # about n * n / 2^65 of n distinct sets
+        small = F.broadcast(spark.createDataFrame([(x,) for x in clashes], "c long"))
+        rows = rows.join(small, F.col("node") == F.col("c"), "left").withColumn(
+            "node", F.when(F.col("c").isNotNull(), F.col("other")).otherwise(F.col("node")))
+        classes = _classes(rows.where("n > 0"))
     facts = classes.agg(F.count("*").alias("nodes"),
                         F.sum((F.col("n") / 4 + 1).cast("long")).alias("prefix"),
                         F.max(F.col("d1") != F.col("d2")).alias("clash")).first()
     if facts["clash"]:
-        raise ValueError("two different sets have one 64-bit id: choose another seed")
+        raise ValueError("different sets share both halves of an id: choose another seed")
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     links = comps = None
     if facts["nodes"]:
         table, _ = token_classes(made.where("part IS NOT NULL").select("part", "counts"))
         shared = spark.sparkContext.broadcast(table)      # SKETCH bytes, at any size of the input
-        tokens = prefix_tokens(docs, text, shared, seed, percent)
-        # cells with the same members are kept once
-        cells = token_cells(tokens, max(least, facts["prefix"] // 1_000_000 + 1)).dropDuplicates(["a", "b"])
-        member = materialize(
-            cells.select("a", "b", F.array_min("members").alias("least"), F.explode("members").alias("node"))
-            .join(classes.select("node", "n", "bitmap"), "node"), "join-members")
-        links, comps = _rounds(docs, key, text, member, classes, percent, seed, least)
+        tokens = prefix_tokens(docs, text, shared, seed, percent, clashes, id_bits)
+        # cells with the same members are kept once; a node has one row for each prefix token
+        cells = token_cells(tokens, max(least, facts["prefix"] // 500_000 + 1)).dropDuplicates(["a", "b", "wide"])
+
+        def described(cell_rows):
+            return cell_rows.join(classes.select("node", "n", "bitmap", "sig"), "node")
+        member = materialize(described(
+            cells.select("a", "b", F.array_min("members").alias("least"), "wide", F.explode("members").alias("node"))), "join-members")
+        sets = (docs, key, text, seed, clashes, id_bits)
+        links, comps = _rounds(sets, member, classes, percent, least, None, None)
+        if not member.where("wide IS NOT NULL").isEmpty():
+            across = materialize(described(cross_cells(member, comps)), "join-across")
+            links, comps = _rounds(sets, across, classes, percent, least, links, comps)
     ids = classes.select("node", "first_id")
     if links is not None:
         labelled = comps.join(ids, "node")
@@ -504,24 +593,21 @@ def join_components(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
                     F.coalesce("n_tested_links", F.lit(0).cast("long")).alias("n_tested_links")))
 
 
-def _rounds(docs, key, text, member, classes, percent, seed, least):
-    """(links, components): a forest of candidates, then all that are still apart;
-    None without links."""
+def _rounds(source, member, classes, percent, least, links, comps):
+    """(links, components) after a forest of candidates, then all that are still apart."""
+    docs, key, text, seed, clashes, bits = source
     count = member.count()
-    if not count:
-        return None, None
-    links, comps, sets = None, None, None
-    for forest in (True, False):
-        parts = max(least, count // 100_000 + 1)
+    sets = None
+    for forest in (True, False) if count else ():
+        parts = max(least, count // 50_000 + 1)
         now = member.withColumn("comp", F.col("node")) if comps is None else (
             member.join(comps, "node", "left").select(*member.columns, F.coalesce("component", "node").alias("comp")))
-        found = materialize(candidates(now.select("a", "b", "node", "n", "bitmap", "comp", "least"), parts, forest, percent),
-                            "join-pairs")
+        found = materialize(candidates(now.drop("wide"), parts, forest, percent), "join-pairs")
         pairs = found.where("x IS NOT NULL")
         if sets is None:
             alive = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
             wanted = classes.join(alive, "node", "left_semi").select("one.id", "one.th")
-            sets = materialize(set_rows(docs, key, text, wanted, seed), "join-sets")
+            sets = materialize(set_rows(docs, key, text, wanted, seed, clashes, bits), "join-sets")
             member = member.join(alive, "node", "left_semi")
         new = materialize(verify(pairs, sets, percent), "join-links")
         if not new.isEmpty():
@@ -551,17 +637,17 @@ def merge_components(comps: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that copy an earlier one: of each
-    component the row with the least id stays (documents without words all do)."""
+    component the row with the least id stays (documents without words all do). All
+    columns come back as they are, whatever their names."""
     found = join_components(docs, key, text, **options)
     stay = found.where((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id")))
-    names = docs.columns
-    marked = docs.withColumn("_th", F.xxhash64(f"`{text}`"))
-    chosen = materialize(stay.groupBy(F.col(key).alias("_id"), F.col("th").alias("_th2")).agg(
-        F.count("*").alias("_n"), F.min("n_shingles").alias("_s")), "join-kept")
-    kept = marked.join(chosen, (F.col("_th") == F.col("_th2")) & F.col(f"`{key}`").eqNullSafe(F.col("_id")))
-    again = chosen.where("_n > 1 AND _s > 0")
-    if not again.isEmpty():      # the same row several times
-        once = kept.where("_n = 1 OR _s = 0").select(*[F.col(f"`{c}`") for c in names])
-        many = kept.where("_n > 1 AND _s > 0").dropDuplicates(["_id", "_th"]).select(*[F.col(f"`{c}`") for c in names])
-        return once.unionByName(many)
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    chosen = materialize(stay.groupBy(F.col(key).alias("id"), "th").agg(
+        F.count("*").alias("n"), F.min("n_shingles").alias("s")), "join-kept")
+    # the row travels in a struct, so no column of the caller's can clash
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").alias("row_id"),
+                       F.xxhash64(f"`{text}`").alias("row_th"))
+    kept = held.join(chosen, (F.col("row_th") == F.col("th")) & F.col("row_id").eqNullSafe(F.col("id")))
+    if not chosen.where("n > 1 AND s > 0").isEmpty():      # the same row several times
+        once, many = kept.where("n = 1 OR s = 0"), kept.where("n > 1 AND s > 0").dropDuplicates(["row_id", "row_th"])
+        kept = once.unionByName(many)
+    return kept.select("row.*")

@@ -104,14 +104,101 @@ def test_bitmap_bound_never_drops_a_pair():
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2 ** 63, rng.integers(0, 40)).astype(np.uint64)])))
         sets.sort(key=len)
         maps = [np.frombuffer(ngram_join.parity_bitmap(s), "<u8") for s in sets]
-        i, j, _ = ngram_join.near_in_cell(np.array([len(s) for s in sets]), maps, 75)
+        sigs = [np.frombuffer(ngram_join.prefix_signature(s, 75), "<u8").reshape(2, -1) for s in sets]
+        i, j, _ = ngram_join.near_in_cell(np.array([len(s) for s in sets]), maps, sigs, 75)
         found = set(zip(i.tolist(), j.tolist()))
         for a in range(12):
             for b in range(a + 1, 12):
                 c = len(np.intersect1d(sets[a], sets[b]))
                 if 100 * c >= 75 * (len(sets[a]) + len(sets[b]) - c):
                     assert (a, b) in found
-                    assert all(ngram_join.shares_prefix(sets[a], sets[b], o, 75) for o in (1, 31, 32))
+
+
+def test_signatures_filter_pairs_that_share_a_first_prefix_only():
+    """Of pairs with one common token, few share a prefix token under both further orders."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.concatenate([[np.uint64(7)], rng.integers(0, 2 ** 63, 40).astype(np.uint64)])) for _ in range(60)]
+    flat = [np.zeros(1, np.uint64)] * len(sets)       # a bitmap that lets all pairs pass
+    sigs = [np.frombuffer(ngram_join.prefix_signature(s, 75), "<u8").reshape(2, -1) for s in sets]
+    i, _, _ = ngram_join.near_in_cell(np.full(60, 41), flat, sigs, 75)
+    assert len(i) < 0.25 * 60 * 59 / 2
+
+
+def brute_near(docs, percent=75):
+    """As brute_join, over many near copies: sets of ints, one linked component at a time."""
+    sets = {d: sets_of(t) for d, t in docs}
+    left, comp = sorted(d for d in sets if sets[d]), {d: d for d in sets}
+    while left:
+        first, left = left[0], left[1:]
+        reach = [first]
+        for x in reach:
+            near = [y for y in left if 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])]
+            for y in near:
+                comp[y] = first
+            reach += near
+            gone = set(near)
+            left = [y for y in left if y not in gone]
+    return {d: (len(sets[d]), comp[d]) for d in sets}
+
+
+def hot_group(n=1500):
+    """A large group of near copies, far copies that share many of its shingles but link
+    with few or none, and a chain of texts that connects step by step."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    texts = copies(rng, base, n, 1)
+    for k in range(80):
+        w = list(base)
+        for p in rng.sample(range(90), rng.randint(3, 9)):
+            w[p] = f"far{k}x{p}"
+        texts.append(" ".join(w))
+    for k in range(30):
+        texts.append(" ".join(base[:70 - k] + [f"c{i}" for i in range(k + 20)]))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    return [(d, texts[k]) for d, k in enumerate(order)]
+
+
+def test_members_apart_meet_across_blocks(spark, monkeypatch):
+    """Frequent tokens dealt into blocks of 8: results equal brute force."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "WIDE", 3)
+    monkeypatch.setattr(ngram_join, "HEAVY", 64)
+    docs = hot_group()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(df).collect()}
+    assert got == brute_near(docs)
+
+
+def test_rows_of_a_large_group_grow_with_it(spark):
+    """20,000 near copies of a text of 60 words: one prefix row a token and node."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(copies(rng, base, 20_000, 3))], "doc_id long, text string").repartition(8)
+    made = ngram_join.profile(df, "doc_id", "text", 0)
+    table, _ = ngram_join.token_classes(made.where("part IS NOT NULL").select("part", "counts"))
+    assert (table > ngram_join.WIDE).any()
+    tokens = ngram_join.prefix_tokens(df, "text", spark.sparkContext.broadcast(table), 0, 75)
+    assert tokens.count() < 1_000_000
+    cells = ngram_join.token_cells(tokens, 16).select(F.size("members").alias("n")).agg(F.sum("n"), F.max("n")).first()
+    assert cells[0] < 1_000_000 and cells[1] <= ngram_join.BLOCK
+
+
+def test_clashing_ids_keep_results_right(spark):
+    """Ids of 6 bits at first: nearly all clash and take the other half of the digest."""
+    docs = fixture(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(df, id_bits=6).collect()}
+    assert got == brute_join(docs)
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    rows = [(i, "a b c d e f g", *[f"{c}{i}" for c in "abcdefg"]) for i in (3, 3, 5)] + [(7, "x y", *"abcdefg"), (8, None, *"abcdefg")]
+    names = ["_n", "_th", "_s", "_id", "_th2", "row", "th"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
 
 
 @settings(max_examples=150, deadline=None)
