@@ -8,7 +8,7 @@ which a window repeats.
 Defined results: a null or empty text has no words and zero counts and fails
 the base rule (fewer than 50 words); ratios with a zero denominator are 0;
 repeated rows are judged each on their own; other columns pass through
-untouched (a clashing column is replaced only by a metric of the same name).
+untouched, whatever their names (a column of the name of a result is replaced).
 """
 
 from __future__ import annotations
@@ -71,7 +71,8 @@ RULES = (
 
 
 def _counts(docs: DataFrame, text: str) -> DataFrame:
-    """Columns _w (words), and the contract's counts."""
+    """Columns _w (words), _bare (words in lower case without marks), _letters, and the
+    contract's counts. ``docs`` has no columns but the text and a struct of the row."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     words = F.filter(F.split(t, SPACE, -1), lambda w: w != F.lit(""))
@@ -96,7 +97,9 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
     covered = F.aggregate(
         F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
-    return (d.withColumn("n_words", n.cast("long"))
+    return (d.withColumn("_bare", F.transform("_w", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))))
+            .withColumn("_letters", F.length(F.regexp_replace("_t", r"\P{L}+", "")))
+            .withColumn("n_words", n.cast("long"))
             .withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
             .withColumn("n_symbols", (F.length("_t") - F.length(
                 F.translate("_t", "#*$%&|<>", ""))).cast("long"))
@@ -104,22 +107,24 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
             .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")))
 
 
+def _among(words: str, known: list[str]) -> Column:
+    """How many of an array's words are known (a hash set's look-up per word)."""
+    return F.size(F.filter(words, lambda w: w.isin(known))) if known else F.lit(0)
+
+
 def _metrics(stop_words: list[str]) -> dict[str, Column]:
     """Each metric of the table over the counts of ``_counts``."""
     def per(x: Column, y: Column) -> Column:
         return F.when(y > 0, x / y).otherwise(F.lit(0.0))
     n = F.col("n_words")
-    letters = F.length(F.regexp_replace("_t", r"\P{L}+", ""))
     upper = F.length(F.regexp_replace("_t", r"\P{Lu}+", ""))
-    bare = F.transform("_w", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
-    known = F.array(*[F.lit(w) for w in stop_words])
     return {
         "mean_word_chars": per(F.col("word_chars"), n),
         "symbol_ratio": per(F.col("n_symbols"), n),
         "mark_ratio": per(F.length("_t") - F.length(F.translate("_t", "!?", "")), n),
         "pipe_ratio": per(F.size(F.filter("_w", lambda w: w == F.lit("|"))), n),
-        "shout_ratio": per(upper, letters),
-        "stop_ratio": per(F.size(F.filter(bare, lambda w: F.array_contains(known, w))), n),
+        "shout_ratio": per(upper, F.col("_letters")),
+        "stop_ratio": per(_among("_bare", stop_words), n),
         "dup_line_ratio": per(F.col("n_dup_lines"), F.size("_l")),
         "repeat_ratio": per(F.col("n_repeat_words"), n),
     }
@@ -130,12 +135,8 @@ def _spared(stop_words: list[str], further: list[str], low: float) -> Column:
     in which no stop word is written, or ``low`` of the words are ``further`` words."""
     names = sorted({unicodedata.name(c).split()[0] for w in stop_words for c in w if c.isalpha()})
     scripts = "".join(rf"\p{{Is{SCRIPTS.get(n, n.title())}}}" for n in names)
-    letters = F.length(F.regexp_replace("_t", r"\P{L}+", ""))
     other = F.length(F.regexp_replace("_t", rf"[\P{{L}}{scripts}]+", ""))
-    bare = F.transform("_w", lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?")))
-    known = F.array(*[F.lit(w) for w in further]).cast("array<string>")
-    return (2 * other > letters) | (F.size(F.filter(bare, lambda w: F.array_contains(known, w)))
-                                    >= low * F.col("n_words"))
+    return (2 * other > F.col("_letters")) | (_among("_bare", further) >= low * F.col("n_words"))
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
@@ -146,7 +147,7 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     place of ``STOP_WORDS`` and ``FURTHER_WORDS``."""
     words = sorted({w for ws in (stop_words or STOP_WORDS).values() for w in ws})
     own = docs.columns
-    d = _counts(docs, text)
+    d = _counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col(f"`{text}`").alias("_text")), "_text")
     further = [] if stop_words else sorted({w for ws in FURTHER_WORDS.values() for w in ws} - set(words))
     metrics = _metrics(words)
     base = ((F.col("n_words") < min_words)
@@ -171,8 +172,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
     # One value per row through a generator: filters on the results then stay above
     # it, where they cost nothing, and are not unfolded into the expressions below.
     result = F.explode_outer(F.array(F.struct(*added))).alias("_v")
-    others = [F.col(f"`{c}`") for c in own if c not in added]
-    return d.select(*others, result).select(*others, "_v.*")
+    others = [F.col("_row").getField(c).alias(c) for c in own if c not in added]
+    return d.select("_row", result).select(*others, "_v.*")
 
 
 def keep_good(docs: DataFrame, text: str = "text", **options) -> DataFrame:

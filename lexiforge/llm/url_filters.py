@@ -119,8 +119,9 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
     columns replace columns of the same name.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "decided_by")]
-    d = pages.select(*[F.col(f"`{c}`") for c in keep],
-                     host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    # the row travels in a struct, so no column of the caller's can clash
+    d = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(f"`{url}`").alias("u"))
+    d = d.select("row", "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     d = d.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     edges = []
     if html is not None and html in pages.columns:
@@ -144,10 +145,13 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str =
         aliases = (said.select("node", "component").join(by_comp, "component")
                    .select("node", F.when(F.col("any_allow"), "allow")
                            .when(F.col("any_block"), "block").alias("_alias")))
-        d = d.withColumn("_n", node_of(F.col(url))).join(
-            aliases, F.col("_n") == F.col("node"), "left").drop("_n", "node")
+        # rows whose url is no node (null, or without ://) are spread, not sent to one task
+        n = node_of(F.col("u"))
+        spread = F.concat(F.lit("\u0000"), F.xxhash64(
+            *[F.col("row").getField(f.name) for f in pages.schema if "map<" not in f.dataType.simpleString()]).cast("string"))
+        d = d.withColumn("_n", F.coalesce(n, spread)).join(aliases, F.col("_n") == F.col("node"), "left")
     rule, said = F.col("_r")["verdict"], F.col("_alias")
-    return d.select(*[F.col(f"`{c}`") for c in keep], "host", "path", F.col("_r")["rule"].alias("rule"),
+    return d.select(*[F.col("row").getField(c).alias(c) for c in keep], "host", "path", F.col("_r")["rule"].alias("rule"),
                     F.coalesce(rule, said, F.lit("allow")).alias("verdict"),
                     F.when(rule.isNotNull(), "rule").when(said.isNotNull(), "alias")
                     .otherwise("default").alias("decided_by"))

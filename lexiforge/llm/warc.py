@@ -4,7 +4,7 @@ Each capture is written as three records: the request, the response (or a
 revisit of an equal payload) and a metadata record. Request and metadata name
 the response in WARC-Concurrent-To. Reading parses records by their
 Content-Length, so payloads may hold anything, the record marks included.
-``assemble`` joins the three kinds through those identifiers into one nested
+``assemble`` groups the three kinds through those identifiers into one nested
 row per capture.
 
 Archives are written through Spark's own file commit, on whatever store the
@@ -25,7 +25,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.operators.broadcast import bounded_broadcast
@@ -49,32 +49,42 @@ def _record(kind: str | Column, headers: list[tuple[str, Column]], block: Column
 
 
 def mark_revisits(pages: DataFrame, key: str, payload: str, min_revisit_bytes: int) -> DataFrame:
-    """Add _digest, _bytes and _first (the key of the response with the same
-    payload, null where the row is itself a response)."""
+    """Add _digest, _bytes, _first (the key of the response with the same payload, null
+    where the row is itself a response), _refers (the end of that response's record
+    ids) and _uid (the end of the row's own)."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     d = pages.withColumn("_digest", F.sha1(body)).withColumn("_bytes", F.octet_length(body).cast("long"))
     # Largest id per digest: a partial aggregate; only digests that repeat are joined back.
-    largest = (d.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest")
-               .agg(F.max(key).alias("_max"), F.count("*").alias("_n")).where("_n > 1")
-               .select(F.col("_digest").alias("_d"), "_max"))
+    largest = (d.where(F.col("_bytes") >= min_revisit_bytes).groupBy("_digest", key).agg(F.count("*").alias("_n"))
+               .groupBy("_digest").agg(F.max(key).alias("_max"), F.max_by("_n", key).alias("_copies"), F.sum("_n").alias("_n"))
+               .where("_n > 1").select(F.col("_digest").alias("_d"), "_max", "_copies", F.expr("uuid()").alias("_refers")))
     # Few payloads repeat as a rule: the table goes to all tasks if a count shows
     # that it is small, else both sides are shuffled.
-    largest, _ = bounded_broadcast(materialize(largest, "warc-repeats"), 500_000)
-    return (d.join(largest, (F.col("_digest") == F.col("_d"))
-                   & (F.col("_bytes") >= min_revisit_bytes), "left")
-            .withColumn("_first", F.when(F.col("_max").isNotNull()
-                                         & ~F.col(key).eqNullSafe(F.col("_max")), F.col("_max")))
-            .drop("_d", "_max"))
+    written = materialize(largest, "warc-repeats")
+    largest, _ = bounded_broadcast(written, 500_000)
+    d = d.join(largest, (F.col("_digest") == F.col("_d")) & (F.col("_bytes") >= min_revisit_bytes), "left").withColumn(
+        "_holds", F.col("_max").isNotNull() & F.col(key).eqNullSafe(F.col("_max")))
+    # the response that others refer to has the id fixed above; all other ids are drawn
+    drawn = F.expr("uuid()")
+    if written.where("_copies > 1").isEmpty():
+        d = d.withColumn("_uid", F.when(F.col("_holds"), F.col("_refers")).otherwise(drawn))
+    else:      # of rows that repeat under one key, one is referred to
+        many = F.col("_holds") & (F.col("_copies") > 1)
+        nth = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+        copies = d.where(many).withColumn("_uid", F.when(nth == 1, F.col("_refers")).otherwise(drawn))
+        d = d.where(~many).withColumn("_uid", F.when(F.col("_holds"), F.col("_refers")).otherwise(drawn)).unionByName(copies)
+    return (d.withColumn("_first", F.when(F.col("_max").isNotNull() & ~F.col("_holds"), F.col("_max")))
+            .drop("_d", "_max", "_copies", "_holds"))
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url",
                payload: str = "html", min_revisit_bytes: int = 1000,
-               large_bytes: int = 1 << 18, records_per_file: int = 6000) -> None:
-    """Write three records per row below ``path``."""
+               large_bytes: int = 1 << 16, records_per_file: int = 1500) -> None:
+    """Write three records per row below ``path``. A file holds payloads of at most
+    ``large_bytes * records_per_file / 3`` bytes (32 MB), or of ten larger payloads."""
     d = pages.select(F.col(f"`{key}`").alias("k"), F.col(f"`{url}`").alias("u"),
                      F.col(f"`{payload}`").alias("p"))
     d = mark_revisits(d, "k", "p", min_revisit_bytes)
-    d = d.withColumn("_uid", F.expr("uuid()"))     # fixed here, above the explode that uses it thrice
     name = F.coalesce(F.col("k").cast("string"), F.lit("null"))
     def rid(kind: str) -> Column:
         return F.concat(F.lit(f"<urn:capture:{kind}:"), name, F.lit(":"), F.col("_uid"), F.lit(">"))
@@ -92,8 +102,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
                  F.coalesce(host, F.lit("")), F.lit("\r\n\r\n")))
     response = _record(F.when(revisit, "revisit").otherwise("response"), [
         ("WARC-Record-ID", main), *common, ("WARC-Payload-Digest", digest),
-        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:capture:main:"),
-                                                     F.col("_first").cast("string"), F.lit(">")))),
+        ("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:capture:main:"), F.col("_first").cast("string"), F.lit(":"),
+                                                     F.col("_refers"), F.lit(">")))),
         ("WARC-Profile", F.when(revisit, F.lit(
             "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         ("Content-Type", F.lit("application/http; msgtype=response"))],
@@ -105,7 +115,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     rows = d.select("_bytes", F.explode(F.array(request, response, metadata)).alias("value"))
     large = F.col("_bytes") > large_bytes
     for part, cond, per_file in (("small", ~large, records_per_file),
-                                 ("large", large, max(3, records_per_file // 500))):
+                                 ("large", large, max(3, records_per_file // 50))):
         (rows.where(cond).select("value").write.mode("overwrite").option("lineSep", "\r\n\r\n")
          .option("maxRecordsPerFile", per_file).text(f"{path}/{part}"))
 
@@ -174,14 +184,13 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: (capture_id, record_type, main, request, metadata)."""
-    cols = [c for c in records.columns]
-    whole = records.select(F.struct(*cols).alias("r"))
-    main = whole.where("r.record_type IN ('response', 'revisit')").select(
-        F.col("r.record_id").alias("capture_id"), F.col("r").alias("main"))
-    def side(kind: str) -> DataFrame:
-        return whole.where(F.col("r.record_type") == kind).select(
-            F.col("r.concurrent_to").alias("capture_id"), F.col("r").alias(kind))
-    return (main.join(side("request"), "capture_id", "left").join(side("metadata"), "capture_id", "left")
+    whole = F.struct(*[F.col(c) for c in records.columns])
+    def part(name: str, *kinds: str) -> Column:
+        return F.first(F.when(F.col("record_type").isin(*kinds), whole), ignorenulls=True).alias(name)
+    own = F.col("record_type").isin("response", "revisit")
+    return (records.groupBy(F.when(own, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("capture_id"))
+            .agg(part("main", "response", "revisit"), part("request", "request"), part("metadata", "metadata"))
+            .where("main IS NOT NULL")
             .select("capture_id", F.col("main.record_type").alias("record_type"), "main", "request", "metadata"))
 
 

@@ -77,7 +77,8 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 2000 + "</p>"
     tricky = "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 40 + "\r\n\r\n"
     rows = [(1, "http://a/x", big), (2, None, big), (3, "http://b/", big), (4, "http://c/", None), (5, "http://d", "s"),
-            (6, "http://e", "s"), (7, "http://f\n", tricky), (7, "http://f\n", tricky), (None, "http://g", big)]
+            (6, "http://e", "s"), (7, "http://f\n", tricky), (7, "http://f\n", tricky), (None, "http://g", big),
+            (6, "http://h", tricky)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit("x"))
     out = warc.captures(df, str(tmp_path / "w"), with_payload=True, records_per_file=2, large_bytes=3000)
     got = out.collect()
@@ -87,12 +88,20 @@ def test_warc_round_trip(spark, tmp_path):
         src = [x for x in rows if str(x[0]) == key or (x[0] is None and key == "null")][0]
         body = (src[2] or "").encode()
         assert r["request"]["concurrent_to"] == r["capture_id"] == r["main"]["record_id"]
+        if key == "6":      # one page id, two pages
+            src = (6, "http://h", tricky) if len(body) != int(r["metadata"]["fields"]["payloadLength"]) else src
+            body = src[2].encode()
+        if src == (6, "http://h", tricky):      # refers to one of the two rows of page 7
+            first = [x for x in got if x["main"]["record_id"] == r["main"]["refers_to"]]
+            assert r["record_type"] == "revisit" and len(first) == 1 and first[0]["metadata"]["fields"]["key"] == "7"
+            continue
         assert r["main"]["payload_digest"] == hashlib.sha1(body).hexdigest()
         assert int(r["metadata"]["fields"]["payloadLength"]) == len(body)
         revisit = src[2] == big and src[0] != 3
         assert r["record_type"] == ("revisit" if revisit else "response")
         if revisit:
-            assert r["main"]["refers_to"] == "<urn:capture:main:3>" and r["main"]["payload"] is None
+            first = [x for x in got if x["main"]["record_id"] == r["main"]["refers_to"]]      # a record of the archive
+            assert len(first) == 1 and first[0]["metadata"]["fields"]["key"] == "3" and r["main"]["payload"] is None
         else:
             assert bytes(r["main"]["payload"]) == body
     assert warc.captures(df.limit(0), str(tmp_path / "none")).count() == 0
@@ -173,8 +182,9 @@ def test_quality_rules(spark):
                                            for _ in range(rng.randint(1, 120))) for _ in range(200)]
     texts += ["same " * 300, " ".join(f"w{i}" for i in range(30000)), texts[-1], texts[-1]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_words", F.lit("clash")) \
-        .withColumn("_w", F.lit(1))
+        .withColumn("_w", F.lit(1)).withColumn("_t", F.lit("t")).withColumn("_row", F.lit(2)).withColumn("_text", F.lit("u"))
     got = {r["doc_id"]: r for r in quality_rules.judge(df).collect()}
+    assert {(r["_w"], r["_t"], r["_row"], r["_text"]) for r in got.values()} == {(1, "t", 2, "u")}
     for i, t in enumerate(texts):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"],
@@ -233,8 +243,11 @@ def split_url(u):
 def test_url_rules(spark):
     df = spark.createDataFrame([(i, u, None) for i, u in enumerate(URLS)] * 2, "page_id long, url string, html string") \
         .withColumn("host", F.lit("clash"))
+    for c in ("node", "_r", "_n", "_alias", "row", "u"):
+        df = df.withColumn(c, F.lit(c))
+    df = df.withColumn("html", F.when(F.col("page_id") == 6, F.lit("<link rel=canonical href=http://example.com/other>")))
     got = url_filters.filter_urls(df).collect()
-    assert len(got) == 2 * len(URLS)
+    assert len(got) == 2 * len(URLS) and all(r[c] == c for r in got for c in ("node", "_r", "_n", "_alias", "row", "u"))
     for r in got:
         host, path = split_url(URLS[r["page_id"]])
         fit = [x for x in url_filters.RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
