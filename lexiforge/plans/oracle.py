@@ -377,17 +377,34 @@ hy AS (SELECT query_id, CAST(rank AS BIGINT) AS rank, id, score,
        WHERE rank <= {Q.TOP_K})"""
 
 
-def _formatted_cte() -> str:
+def _formatted_cte(ranked: str = "") -> str:
     content_lines = lines("d.text")
     extra = ("['Mana Cost: ' || d.source, 'Coverted Mana Cost (cmc): ' || CAST(d.n_chars AS VARCHAR), "
              "'Color Identity: ' || d.lang, 'Rarity: ', chr(10)]")
-    return f"""{_hybrid_cte()},
+    return f"""{ranked or _hybrid_cte()},
 fmt AS (SELECT hy.query_id, hy.rank,
    'Relevancy Score: ' || CAST(CAST(round(hy.score, 6) AS DECIMAL(38, 2)) AS VARCHAR) || chr(10) ||
    array_to_string(list_concat({content_lines}, {extra}), chr(10)) AS formatted
   FROM hy JOIN documents d ON d.doc_id = hy.id)"""
 
 
+def _prompt_batch() -> str:
+    """Filtered lexical search, formatted, as context of a prompt without history."""
+    ranked = f"""{BM25_BASE},
+{_bm25_scores(QUERIES_ALL)},
+f AS (SELECT * FROM sc WHERE id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND n_chars <= 20000)),
+hy AS ({_topk('f')})"""
+    extra = lit("." + RAG_PREAMBLE + RAG_JOIN)
+    return f"""WITH {_formatted_cte(ranked)},
+ctx AS (SELECT query_id, string_agg(formatted, chr(10) ORDER BY rank) AS context FROM fmt GROUP BY query_id),
+q AS ({QUERIES_ALL})
+SELECT q.query_id, 0::BIGINT AS msg_index, 'system' AS role, {lit(SYSTEM_PROMPT)} ||
+       CASE WHEN coalesce(length(ctx.context), 0) > 0 THEN {extra} || ctx.context ELSE '' END AS content
+FROM q LEFT JOIN ctx ON ctx.query_id = q.query_id
+UNION ALL
+SELECT query_id, 1::BIGINT, 'user', text FROM q"""
+
+
 def _prompt() -> str:
     system = lit(SYSTEM_PROMPT)
     extra = lit("." + RAG_PREAMBLE + RAG_JOIN)
@@ -526,6 +543,8 @@ SELECT token, df, round(ln((s.n + 1.0) / (df + 0.5)), 6) AS idf FROM tdf CROSS J
 ok AS (SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'de') AND n_chars <= 20000),
 f AS (SELECT * FROM sc WHERE id IN (SELECT id FROM ok))
 {_topk('f')}""",
+        "index_search": f"WITH {BM25_BASE},\n{_bm25_scores(QUERIES_ALL)}\n{_topk('sc')}",
+        "prompt_batch": _prompt_batch(),
         "hybrid_search": f"WITH {_hybrid_cte()}\nSELECT * FROM hy",
         "format_results": f"WITH {_formatted_cte()}\nSELECT query_id, rank, formatted FROM fmt",
         "prompt_messages": _prompt(),

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import codes, predicates as P, text as X
-from lexiforge.operators import corpus, lookup, qa, retrieval
+from lexiforge.operators import corpus, lookup, postings, qa, retrieval
 from lexiforge.operators.canonical import aggregate_rulings
 from lexiforge.operators.fuzzy import fuzzy_best_match
 from lexiforge.operators.nest import nest_combos
 from lexiforge.plans import analogs as A
+from lexiforge.session import ensure_checkpoint_dir
+from lexiforge.versions import new_folder
 
 MAX_SEQ_LEN = 1024        # sequence length of the smaller training recipes
 PACK_DOCS = 100_000       # documents per packing shard, so shards grow with the table
@@ -279,6 +281,31 @@ def q_prompt_messages(spark: SparkSession, d: str) -> DataFrame:
         F.col("m.role").alias("role"), F.col("m.content").alias("content"))
 
 
+def _stored_index(spark: SparkSession, d: str, steps: int = 2) -> postings.TextIndex:
+    """The documents indexed, in steps, below the shared folder, and loaded back."""
+    path = new_folder(ensure_checkpoint_dir(spark), "index")
+    docs = A.doc_table(spark, d)
+    for i in range(steps):
+        postings.add_documents(spark, path, docs.where(F.pmod(F.xxhash64("id"), F.lit(steps)) == i))
+    return postings.load_text_index(spark, path)
+
+
+def q_index_search(spark: SparkSession, d: str) -> DataFrame:
+    """Build, save, grow, load and search: equal to ``bm25_topk``."""
+    r = postings.search_index(_stored_index(spark, d), A.query_table(spark, d), TOP_K)
+    return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
+
+
+def q_prompt_batch(spark: SparkSession, d: str) -> DataFrame:
+    """From query texts to prompts over a stored index, with filters."""
+    queries = A.query_table(spark, d).select("query_id", "text")
+    found = postings.search_results(_stored_index(spark, d, 1), queries, TOP_K, SEARCH_FILTERS, ["lang", "source", "n_chars"])
+    msgs = corpus.prompt_messages(queries, retrieval.context_per_query(found))
+    return msgs.select("query_id", F.posexplode("messages").alias("msg_index", "m")).select(
+        "query_id", F.col("msg_index").cast("bigint").alias("msg_index"),
+        F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+
+
 def q_fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
     """Misspelt part names (vowels rotated) looked up among all printings."""
     names = A.printings(spark, d).select("uuid", "name")
@@ -322,5 +349,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_search": q_hybrid_search,
     "format_results": q_format_results,
     "prompt_messages": q_prompt_messages,
+    "index_search": q_index_search,
+    "prompt_batch": q_prompt_batch,
     "fuzzy_match": q_fuzzy_match,
 }
