@@ -388,6 +388,28 @@ fmt AS (SELECT hy.query_id, hy.rank,
   FROM hy JOIN documents d ON d.doc_id = hy.id)"""
 
 
+def _fuzzy() -> str:
+    """Best partial ratio: over all windows of the longer string, 200 * LCS / (lengths),
+    the LCS by its bit-parallel recurrence (a step a character of the window)."""
+    return f"""WITH {PRINTINGS},
+nm AS (SELECT name, min(uuid) AS uuid FROM printings WHERE name IS NOT NULL GROUP BY name),
+qs AS (SELECT DISTINCT CAST(('0x' || substr(md5(p_name), 1, 12)) AS BIGINT) AS query_id,
+              translate(p_name, 'aeiou', 'eioua') AS text FROM part),
+pr AS (SELECT query_id, uuid, name, length(text) <= length(name) AS q_short, string_split(text, '') AS qc,
+              string_split(name, '') AS nc FROM qs, nm WHERE length(text) > 0),
+st AS (SELECT query_id, uuid, name, CASE WHEN q_short THEN qc ELSE nc END AS s, CASE WHEN q_short THEN nc ELSE qc END AS t FROM pr),
+mk AS (SELECT query_id, uuid, name, len(s) AS m, len(t) AS n, (1::HUGEINT << len(s)) - 1 AS every,
+        list_transform(t, lambda c: list_sum(list_transform(range(len(s)), lambda i:
+          CASE WHEN s[i + 1] = c THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END))::HUGEINT) AS masks FROM st),
+wn AS (SELECT query_id, uuid, name, m, every, masks[greatest(i, 0) + 1:least(i + m, n)] AS w
+       FROM (SELECT *, unnest(range(1 - m, n)) AS i FROM mk)),
+sc AS (SELECT query_id, uuid, name, max(200.0::DOUBLE * (m - bit_count(list_reduce(list_prepend(every, w), lambda v, x:
+          ((v + (v & x)) | (v - (v & x))) & every))) / (m + len(w))) AS score
+       FROM wn GROUP BY query_id, uuid, name)
+SELECT query_id, uuid AS match_key, name AS match_name, round(score, 6) AS score FROM sc
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uuid) = 1"""
+
+
 def _prompt_batch() -> str:
     """Filtered lexical search, formatted, as context of a prompt without history."""
     ranked = f"""{BM25_BASE},
@@ -545,6 +567,7 @@ f AS (SELECT * FROM sc WHERE id IN (SELECT id FROM ok))
 {_topk('f')}""",
         "index_search": f"WITH {BM25_BASE},\n{_bm25_scores(QUERIES_ALL)}\n{_topk('sc')}",
         "prompt_batch": _prompt_batch(),
+        "fuzzy_match": _fuzzy(),
         "hybrid_search": f"WITH {_hybrid_cte()}\nSELECT * FROM hy",
         "format_results": f"WITH {_formatted_cte()}\nSELECT query_id, rank, formatted FROM fmt",
         "prompt_messages": _prompt(),
