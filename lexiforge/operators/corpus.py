@@ -9,16 +9,20 @@ the truncation length.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiforge.functions.text import md5_bucket, train_tokens
 from lexiforge.schemas import (
     CHAT_BEGIN, CHAT_END, CHAT_HEADER, DEFAULT_TEST_FRACTION, RAG_JOIN, RAG_PREAMBLE,
     SYSTEM_PROMPT,
 )
+from lexiforge.versions import new_folder, publish, read_manifest
 
 
 @dataclass(frozen=True)
@@ -230,28 +234,64 @@ def prompt_messages(queries: DataFrame, context: DataFrame | None = None,
 
 # --- QA store (S-5..S-7) ------------------------------------------------------
 
-def write_corpus(qa: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S-5/X-2: one dataset per group = one partition directory per group."""
-    qa.write.mode(mode).partitionBy("group").parquet(path)
+def write_corpus(qa: DataFrame, path: str, mode: str = "overwrite") -> dict[str, dict[str, int]]:
+    """S-5/X-2: a new version of the store: one partition folder per group, and a
+    manifest with each group's folders, rows and characters (A-8, counted from what was
+    written). ``overwrite`` replaces all groups, ``append`` adds to them; earlier versions
+    stay readable, and a write that fails changes nothing. Returns the counts by group."""
+    if mode not in ("overwrite", "append"):
+        raise ValueError(f"mode must be overwrite or append, not {mode!r}")
+    spark = qa.sparkSession
+    now = read_manifest(spark, path)
+    folder = new_folder(path, "data")
+    qa.write.partitionBy("group").parquet(folder)
+    groups = {} if mode == "overwrite" or now is None else dict(now[1]["groups"])
+    added = _group_counts(spark.read.schema(qa.schema).parquet(folder))
+    if None in added:
+        raise ValueError("rows without a group cannot be stored")
+    for name, counts in added.items():
+        old = groups.get(name, {"folders": [], "rows": 0, "chars": 0})
+        groups[name] = {"folders": [*old["folders"], folder], "rows": old["rows"] + counts["rows"],
+                        "chars": old["chars"] + counts["chars"]}
+    publish(spark, path, {"groups": groups, "schema": qa.schema.json()}, now[0] if now else 0)
+    return {name: {k: g[k] for k in ("rows", "chars")} for name, g in groups.items()}
+
+
+def _group_counts(stored: DataFrame) -> dict[str | None, dict[str, int]]:
+    chars = F.lit(0)
+    if "conversations" in stored.columns:
+        chars = F.coalesce(F.aggregate("conversations", F.lit(0).cast("bigint"), lambda a, m: a + F.coalesce(
+            F.length(m["content"]), F.lit(0))), F.lit(0))
+    rows = stored.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.sum(chars).alias("chars")).collect()
+    return {r["group"]: {"rows": int(r["rows"]), "chars": int(r["chars"])} for r in rows}
+
+
+def corpus_manifest(spark: SparkSession, path: str, version: int | None = None) -> dict[str, dict]:
+    """S-6/A-8: group -> folders, rows and characters, from the manifest alone; a
+    missing store has no groups."""
+    found = read_manifest(spark, path, version)
+    return found[1]["groups"] if found else {}
 
 
 def corpus_groups(spark: SparkSession, path: str) -> list[str]:
-    """S-6: group names (from partition metadata); a missing path -> []."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - Spark raises AnalysisException subclasses
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return []
-        raise
-    return sorted(r[0] for r in df.select("group").distinct().collect())
-
-
-def load_corpus(spark: SparkSession, path: str, *groups: str) -> DataFrame:
-    """S-7/U-2: one or more groups, concatenated; unknown names raise."""
+    """S-6: group names, from the manifest; a missing store -> []."""
+    return sorted(corpus_manifest(spark, path))
+
+
+def load_corpus(spark: SparkSession, path: str, *groups: str, version: int | None = None) -> DataFrame:
+    """S-7/U-2: one or more groups of a version (the last if None), concatenated;
+    unknown names raise. Only the groups' own folders are read."""
     if not groups:
-        raise ValueError("No dataset name specified.")
-    known = set(corpus_groups(spark, path))
+        raise ValueError("name at least one group to load")
+    found = read_manifest(spark, path, version)
+    known = found[1]["groups"] if found else {}
     missing = [g for g in groups if g not in known]
     if missing:
-        raise ValueError(f"unknown dataset(s) {missing}; known: {sorted(known)}")
-    return spark.read.parquet(path).where(F.col("group").isin(list(groups)))
+        raise ValueError(f"no such group: {missing}; stored: {sorted(known)}")
+    schema = T.StructType.fromJson(json.loads(found[1]["schema"]))
+    wanted: dict[str, list[str]] = {}
+    for g in dict.fromkeys(groups):
+        for folder in known[g]["folders"]:
+            wanted.setdefault(folder, []).append(g)
+    parts = [spark.read.schema(schema).parquet(folder).where(F.col("group").isin(names)) for folder, names in wanted.items()]
+    return reduce(DataFrame.unionByName, parts)

@@ -538,6 +538,10 @@ GROUP BY event_type ORDER BY n DESC, event_type""",
 SELECT "group", train_order, builder, CAST(count(*) AS BIGINT) AS n_pairs,
   CAST(sum(length(question) + length(answer)) AS BIGINT) AS n_chars
 FROM allpairs GROUP BY "group", train_order, builder""",
+        "corpus_store": f"""{corpus_union_sql()},
+two AS (SELECT *, count(*) OVER (PARTITION BY "group") AS n_rows FROM allpairs WHERE "group" IN ('rules', 'combos'))
+SELECT "group", builder, n_rows, 0::BIGINT AS turn, 'user' AS role, question AS content FROM two
+UNION ALL SELECT "group", builder, n_rows, 1::BIGINT, 'assistant', answer FROM two""",
         "corpus_counts": f"""{corpus_union_sql()}
 SELECT "group", CAST(count(*) AS BIGINT) AS n_pairs,
   CAST(sum(length(question) + length(answer)) AS BIGINT) AS n_chars

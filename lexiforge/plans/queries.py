@@ -178,6 +178,24 @@ def q_corpus_counts(spark: SparkSession, d: str) -> DataFrame:
                  F.sum(F.length("question") + F.length("answer")).cast("bigint").alias("n_chars")))
 
 
+STORE_GROUPS = ["rules", "combos"]
+
+
+def q_corpus_store(spark: SparkSession, d: str) -> DataFrame:
+    """Build the corpus into a store, list it from its manifest, load two groups."""
+    rules = A.rule_tables(spark, d)
+    tables = {"cards": A.cards(spark, d), "combos": A.combo_tables(spark, d), **rules}
+    path = new_folder(ensure_checkpoint_dir(spark), "corpus")
+    qa.build_corpus(qa.default_registry(rule_tables=list(rules)), tables, path)
+    listed = corpus.corpus_manifest(spark, path)
+    counts = F.create_map(*[F.lit(x) for g in sorted(listed) for x in (g, listed[g]["rows"])])
+    loaded = corpus.load_corpus(spark, path, *STORE_GROUPS)
+    return loaded.select("group", "builder", counts[F.col("group")].cast("bigint").alias("n_rows"),
+                         F.posexplode("conversations").alias("turn", "m")).select(
+        "group", "builder", "n_rows", F.col("turn").cast("bigint").alias("turn"), F.col("m.role").alias("role"),
+        F.col("m.content").alias("content"))
+
+
 def q_chat_render(spark: SparkSession, d: str) -> DataFrame:
     r = corpus.render_turns(A.table(spark, d, "conversations"))
     return r.select("conv_id", F.col("n_messages").cast("bigint").alias("n_messages"), "text")
@@ -335,6 +353,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "qa_null_branch": q_qa_null_branch,
     "qa_union_groups": q_qa_union_groups,
     "corpus_counts": q_corpus_counts,
+    "corpus_store": q_corpus_store,
     "chat_render": q_chat_render,
     "token_truncate": q_token_truncate,
     "response_mask": q_response_mask,

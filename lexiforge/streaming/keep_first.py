@@ -1,18 +1,19 @@
 """Keep-first-row maintenance on a stream (W-1 over arriving printings).
 
-The canonical table (one row per (name, side), lowest key wins) is stored
-partitioned by a hash bucket of (name, side). Each micro-batch:
+The canonical table (one row per (name, side), lowest key wins) is stored by hash
+buckets of (name, side), under a manifest that names the folder of each bucket
+(``versions``). Each micro-batch:
 
 1. tags its rows with their bucket and finds the touched buckets (at most the
    bucket count, so collecting their ids is bounded);
-2. reads only those bucket partitions of the current table (partition
-   pruning), unions the new rows and keeps the top-1 per (name, side) -- a
-   partial ``WindowGroupLimit`` as in the batch operator;
-3. writes the result under the shared checkpoint folder, then replaces just
-   those partitions (dynamic partition overwrite).
-
-Replaying an epoch gives the same table (top-1 of a union is idempotent), so
-the checkpointed stream is exactly-once in effect.
+2. reads only those buckets of the current version, unions the new rows and keeps
+   the top-1 per (name, side) -- a partial ``WindowGroupLimit`` as in the batch operator;
+3. writes the touched buckets to a new folder, then publishes the next version.
+
+Nothing that a version names is ever changed or deleted: a stop before the publish
+leaves the last version whole, and the replayed batch (top-1 of a union is
+idempotent) gives what it would have given. The checkpointed stream is therefore
+exactly-once in effect, wherever it stops. Readers use :func:`read_canonical`.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lexiforge.functions.text import md5_bucket
-from lexiforge.session import materialize
+from lexiforge.versions import new_folder, publish, read_manifest
 
 
 def _bucket(name: str, side: str, buckets: int):
@@ -38,21 +39,39 @@ def merge_batch(batch: DataFrame, target: str, buckets: int = 64, key: str = "uu
     touched = [r[0] for r in rows.select("bucket").distinct().collect()]
     if not touched:
         return
-    if _exists(spark, target):
-        current = spark.read.parquet(target).where(F.col("bucket").isin(touched))
+    now = read_manifest(spark, target)
+    stored = dict(now[1]["buckets"]) if now else {}
+    current = _read(spark, stored, touched)
+    if current is not None:
         rows = current.unionByName(rows, allowMissingColumns=True)
     w = Window.partitionBy(name, side).orderBy(F.col(key).asc())
     top = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    staged = materialize(top, "keep-first")   # never read and overwrite one path in one job
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(target))
+    folder = new_folder(target, "buckets")
+    top.write.partitionBy("bucket").parquet(folder)
+    stored.update({str(b): folder for b in touched})
+    publish(spark, target, {"buckets": stored}, now[0] if now else 0)
+
+
+def _read(spark: SparkSession, stored: dict[str, str], buckets: list[int] | None = None) -> DataFrame | None:
+    """The rows of the named buckets (all if None), each from its folder; None if none is stored."""
+    by_folder: dict[str, list[int]] = {}
+    for b, folder in stored.items():
+        if buckets is None or int(b) in buckets:
+            by_folder.setdefault(folder, []).append(int(b))
+    out = None
+    for folder, own in sorted(by_folder.items()):
+        part = spark.read.parquet(folder).where(F.col("bucket").isin(own))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists, as the file system that Spark would use for it
-    says; a file system that cannot answer raises."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def read_canonical(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+    """The canonical rows of a version (the last if None); FileNotFoundError without one."""
+    found = read_manifest(spark, target, version)
+    rows = _read(spark, found[1]["buckets"]) if found else None
+    if rows is None:
+        raise FileNotFoundError(f"no canonical table at {target}")
+    return rows.drop("bucket")
 
 
 def maintain_canonical(spark: SparkSession, source_dir: str, schema: T.StructType, target: str,

@@ -51,7 +51,7 @@ def test_streaming_keep_first_matches_batch(spark, tmp_dir):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from lexiforge.streaming.keep_first import maintain_canonical
+    from lexiforge.streaming.keep_first import maintain_canonical, read_canonical
     from tests.fixtures import printings_df
     first = printings_df(spark, [dict(uuid="u5", name="A"), dict(uuid="u3", name="B", side="a"),
                                  dict(uuid="u9", name="C")])
@@ -64,7 +64,7 @@ def test_streaming_keep_first_matches_batch(spark, tmp_dir):
     second.write.parquet(f"{src}/b2")
     maintain_canonical(spark, f"{src}/*", first.schema, target, f"{tmp_dir}/ck", buckets=4) \
         .awaitTermination(120)
-    got = sorted((r.name, r.side, r.uuid) for r in spark.read.parquet(target).collect())
+    got = sorted((r.name, r.side, r.uuid) for r in read_canonical(spark, target).collect())
     allrows = first.unionByName(second)
     w = Window.partitionBy("name", "side").orderBy("uuid")
     want = sorted((r.name, r.side, r.uuid) for r in
@@ -85,9 +85,63 @@ def test_broken_combo_document_is_reported(spark, tmp_dir):
         combos.read_variants_json(spark, tmp_dir).collect()
 
 
-def test_keep_first_asks_the_file_system(spark, tmp_dir):
-    from lexiforge.streaming.keep_first import _exists
-    assert _exists(spark, tmp_dir) and _exists(spark, f"file://{tmp_dir}")
-    assert not _exists(spark, f"{tmp_dir}/none")
+def test_versions_ask_the_file_system(spark, tmp_dir):
+    from lexiforge.versions import versions
+    assert versions(spark, tmp_dir) == versions(spark, f"file://{tmp_dir}/none") == []
     with pytest.raises(Exception, match="nosuchscheme"):
-        _exists(spark, "nosuchscheme://host/x")
+        versions(spark, "nosuchscheme://host/x")
+
+
+@pytest.mark.parametrize("stop", ["write", "publish"])
+def test_keep_first_survives_a_stop(spark, tmp_dir, monkeypatch, stop):
+    """A batch that stops before or after its files are written loses no stored row,
+    and its replay gives the whole result."""
+    from lexiforge.streaming import keep_first
+    from tests.fixtures import printings_df
+    target = f"{tmp_dir}/canon"
+    first = printings_df(spark, [dict(uuid=f"u{i}", name=f"N{i}") for i in range(20)])
+    second = printings_df(spark, [dict(uuid=f"a{i}", name=f"N{i}") for i in range(0, 20, 2)] + [dict(uuid="z", name="new")])
+    keep_first.merge_batch(first, target, buckets=4)
+
+    def rows():
+        return sorted((r.name, r.uuid) for r in keep_first.read_canonical(spark, target).collect())
+    before = rows()
+    with monkeypatch.context() as m:
+        def stopped(*args, **kwargs):
+            raise RuntimeError("stopped")
+        m.setattr(keep_first, "publish" if stop == "publish" else "new_folder", stopped)
+        with pytest.raises(RuntimeError, match="stopped"):
+            keep_first.merge_batch(second, target, buckets=4)
+    assert rows() == before
+    want = sorted([(f"N{i}", f"a{i}" if i % 2 == 0 else f"u{i}") for i in range(20)] + [("new", "z")])
+    for _ in range(2):       # a batch may be replayed after its publish, too
+        keep_first.merge_batch(second, target, buckets=4)
+        assert rows() == want
+    assert sorted((r.name, r.uuid) for r in keep_first.read_canonical(spark, target, 1).collect()) == before
+    with pytest.raises(FileNotFoundError):
+        keep_first.read_canonical(spark, f"{tmp_dir}/none")
+
+
+def test_store_of_snapshots(spark, tmp_dir):
+    from lexiforge.operators import corpus
+    kind = "group string, builder string, conversations array<struct<role:string,content:string>>"
+    def qa(group, n):
+        return spark.createDataFrame([(group, "b", [("user", f"q{i}"), ("assistant", None if i else "yes")]) for i in range(n)], kind)
+    path = f"{tmp_dir}/qa"
+    assert corpus.corpus_groups(spark, path) == []
+    counts = corpus.write_corpus(qa("a/b=c", 3).unionByName(qa("cards", 2)), path)
+    assert counts == {"a/b=c": {"rows": 3, "chars": 9}, "cards": {"rows": 2, "chars": 7}}
+    corpus.write_corpus(qa("cards", 4), path, mode="append")
+    assert corpus.corpus_manifest(spark, path)["cards"]["rows"] == 6
+    assert corpus.load_corpus(spark, path, "cards").count() == 6 and corpus.load_corpus(spark, path, "cards", "a/b=c", "cards").count() == 9
+    corpus.write_corpus(qa("rules", 1), path)
+    assert corpus.corpus_groups(spark, path) == ["rules"]
+    assert corpus.load_corpus(spark, path, "cards", version=1).count() == 2       # earlier versions stay
+    with pytest.raises(ValueError, match="no such group"):
+        corpus.load_corpus(spark, path, "cards")
+    with pytest.raises(ValueError, match="without a group"):
+        corpus.write_corpus(qa(None, 1), path)
+    assert corpus.corpus_groups(spark, path) == ["rules"]
+    with pytest.raises(ValueError, match="mode"):
+        corpus.write_corpus(qa("rules", 1), path, mode="ignore")
+    assert corpus.load_corpus(spark, path, "rules").columns == ["builder", "conversations", "group"]
