@@ -146,6 +146,28 @@ def response_mask_labels(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     return t.select(conv, turn, "tokens", mask.alias("labels"))
 
 
+def labelled_tokens(turns: DataFrame, max_len: int, conv: str = "conv_id", turn: str = "turn",
+                    template: ChatTemplate = LLAMA3, **kw) -> DataFrame:
+    """M-6 per conversation: (conv, tokens, labels), the first ``max_len`` tokens of the
+    rendered conversation and a label for each: 1 for assistant content and its end
+    marker, ``IGNORE_INDEX`` for the rest. Tokens and labels are cut by the same offsets, so
+    they stay aligned; what is collected per conversation is at most ``max_len`` long."""
+    begin = train_tokens(F.lit(template.begin))
+    t = turn_tokens(turns, conv, turn, template=template, **kw)
+    w = Window.partitionBy(conv).orderBy(turn, "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_off", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)) + F.size(begin))
+    labels = F.transform("tokens", lambda x, i: F.when(
+        (F.col("n_trainable") > 0) & (i >= F.col("n_tokens") - F.col("n_trainable")), F.lit(1)).otherwise(F.lit(IGNORE_INDEX)))
+    room = F.greatest(F.lit(max_len) - F.col("_off"), F.lit(0))
+    piece = F.when(room > 0, F.struct(F.col(turn).alias("turn"), F.slice("tokens", 1, room).alias("t"),
+                                      F.slice(labels, 1, room).alias("l")))
+    per_conv = t.select(conv, piece.alias("_p")).groupBy(conv).agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+    ignored = F.transform(begin, lambda x: F.lit(IGNORE_INDEX))
+    return per_conv.select(
+        conv, F.concat(F.slice(begin, 1, max_len), F.flatten(F.transform("_ps", lambda x: x["t"]))).alias("tokens"),
+        F.concat(F.slice(ignored, 1, max_len), F.flatten(F.transform("_ps", lambda x: x["l"]))).alias("labels"))
+
+
 def hash_split(df: DataFrame, key: str, test_fraction: float = DEFAULT_TEST_FRACTION,
                buckets: int = 100, out: str = "split") -> DataFrame:
     """M-3: deterministic train/test split by a hash of ``key``.

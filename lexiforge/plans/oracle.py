@@ -311,6 +311,27 @@ SELECT conv_id, CAST(sum(n_tok) + 1 AS BIGINT) AS n_tokens,
 FROM t GROUP BY conv_id"""
 
 
+def _response_labels() -> str:
+    n = Q.LABEL_LEN
+    return f"""WITH t AS (
+  SELECT conv_id, turn, role, regexp_extract_all({MESSAGE}, '{TT}') AS toks,
+         len(regexp_extract_all({HEADER}, '{TT}')) AS n_head FROM conversations),
+l AS (SELECT *, list_transform(range(len(toks)), lambda i: CASE WHEN role = 'assistant' AND i >= n_head THEN 1 ELSE -100 END) AS lab FROM t),
+c AS (SELECT conv_id, list_concat(['{CHAT_BEGIN}'], flatten(list(toks ORDER BY turn, toks))) AS toks,
+             list_concat([-100], flatten(list(lab ORDER BY turn, toks))) AS lab FROM l GROUP BY conv_id)
+SELECT conv_id, CAST(len(toks[1:{n}]) AS BIGINT) AS n_kept, array_to_string(toks[1:{n}], ' ') AS tokens,
+       array_to_string(lab[1:{n}], ' ') AS labels FROM c"""
+
+
+def _marker_tokens() -> str:
+    marks = "[" + ", ".join(lit(m) for m in MARKERS) + "]"
+    return f"""WITH m AS (SELECT conv_id, turn, {marks} AS marks,
+  substr(text, 1, 20) || {marks}[turn % {len(MARKERS)} + 1] || substr(text, 21) AS x FROM conversations WHERE text IS NOT NULL),
+t AS (SELECT conv_id, turn, marks, regexp_extract_all(x, '{TT}') AS toks FROM m)
+SELECT conv_id, turn, CAST(len(toks) AS BIGINT) AS n_tokens,
+       CAST(len(list_filter(toks, lambda c: list_contains(marks, c))) AS BIGINT) AS n_markers, array_to_string(toks, ' ') AS tokens FROM t"""
+
+
 def md5_bucket(x: str, n: int | str) -> str:
     return f"((('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8))::BIGINT) % {n})"
 
@@ -569,6 +590,8 @@ SELECT token, df, round(ln((s.n + 1.0) / (df + 0.5)), 6) AS idf FROM tdf CROSS J
 ok AS (SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'de') AND n_chars <= 20000),
 f AS (SELECT * FROM sc WHERE id IN (SELECT id FROM ok))
 {_topk('f')}""",
+        "response_labels": _response_labels(),
+        "marker_tokens": _marker_tokens(),
         "index_search": f"WITH {BM25_BASE},\n{_bm25_scores(QUERIES_ALL)}\n{_topk('sc')}",
         "prompt_batch": _prompt_batch(),
         "fuzzy_match": _fuzzy(),

@@ -16,6 +16,7 @@ from lexiforge.operators.canonical import aggregate_rulings
 from lexiforge.operators.fuzzy import fuzzy_best_match
 from lexiforge.operators.nest import nest_combos
 from lexiforge.plans import analogs as A
+from lexiforge.schemas import MARKERS
 from lexiforge.session import ensure_checkpoint_dir
 from lexiforge.versions import new_folder
 
@@ -209,6 +210,27 @@ def q_response_mask(spark: SparkSession, d: str) -> DataFrame:
     return corpus.response_mask_counts(A.table(spark, d, "conversations"))
 
 
+LABEL_LEN = 128      # short, so that conversations are cut
+
+
+def q_response_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Token-aligned labels of each conversation, through the cut."""
+    r = corpus.labelled_tokens(A.table(spark, d, "conversations"), LABEL_LEN)
+    return r.select("conv_id", F.size("tokens").cast("bigint").alias("n_kept"), F.array_join("tokens", " ").alias("tokens"),
+                    F.array_join(F.transform("labels", lambda x: x.cast("string")), " ").alias("labels"))
+
+
+def q_marker_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with a marker set inside their words: markers stay whole tokens."""
+    c = A.table(spark, d, "conversations").where("text IS NOT NULL")
+    marker = F.element_at(F.array(*[F.lit(m) for m in MARKERS]), (F.pmod("turn", F.lit(len(MARKERS))) + 1).cast("int"))
+    marked = F.concat(F.substring("text", 1, 20), marker, F.substring(F.col("text"), F.lit(21), F.length("text")))
+    toks = c.select("conv_id", "turn", X.train_tokens(marked).alias("t"))
+    return toks.select("conv_id", "turn", F.size("t").cast("bigint").alias("n_tokens"),
+                       F.size(F.filter("t", lambda x: x.isin(MARKERS))).cast("bigint").alias("n_markers"),
+                       F.array_join("t", " ").alias("tokens"))
+
+
 def q_hash_split(spark: SparkSession, d: str) -> DataFrame:
     c = A.table(spark, d, "conversations")
     return corpus.hash_split(c, "conv_id").select("conv_id", "turn", "split")
@@ -357,6 +379,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_render": q_chat_render,
     "token_truncate": q_token_truncate,
     "response_mask": q_response_mask,
+    "response_labels": q_response_labels,
+    "marker_tokens": q_marker_tokens,
     "hash_split": q_hash_split,
     "pack_sequences": q_pack_sequences,
     "pack_contents": q_pack_contents,
