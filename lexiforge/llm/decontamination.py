@@ -3,34 +3,45 @@
 Texts and items are words (A-Z lower-cased, ASCII marks dropped). In scripts
 without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) every character is a
 word, and East Asian marks are dropped. An item of n words may differ by
-k = ``max_rate`` * n word edits, one of fewer than ``min_words`` words by none. Each item is cut into k + 1
-pieces, evenly spread and of nearly equal length: k edits touch at most k of
-them, so every passage within the limit holds one piece unchanged, wherever the
-edits are and whatever the other items hold. The pieces are looked up at every
-word of the texts, so no match is lost (recall is 1, not an estimate).
-
-A piece found gives a window of the text that must hold the match. Windows with
-fewer than n - k words of the item cannot hold it and are dropped; in the others
-the least word edit distance between the whole item and any stretch is taken.
-
-The item tables are small and sent to all tasks, in blocks of at most
-``MAX_ITEMS`` distinct items (one pass over the texts each), so their size is
-bounded. Nothing is shuffled, and no pair of text and item is formed unless
-they share a piece.
+k = ``max_rate`` * n word edits, one of fewer than ``min_words`` words by none.
+
+A window as long as the item (down to its length class) is embedded by the CGK
+random walk: at step t it writes the word it stands on, and moves on by a word if
+a random bit of (t, word) says so. Walks over windows some edits apart part at an
+edit and meet again soon, so edit distance becomes Hamming distance of the strings.
+
+Locality-sensitive hashing samples ``SAMPLES`` places of these strings, again and
+again with new walks. In each repetition every item's walk starts at a position drawn
+evenly from one half of the item, whatever its words and the other items are;
+every second repetition walks backwards from the other half. A window is dropped at the
+first sampled place at which no item agrees with all places so far. The number of
+repetitions is measured, not assumed: for each length class they are added until the
+very search finds ``recall`` of ``PAIRS`` random items that hold the limit's edits.
+Exact copies agree everywhere and are found always.
+
+Windows that agree in all sampled places and hold at least n - k words of the item
+are verified: the least word edit distance between the whole item and any
+stretch of the text around the window must be within the limit.
+
+The item tables are sent to all tasks, in blocks of at most ``MAX_ITEMS`` distinct
+items and about ``MAX_ITEM_BYTES`` of item texts (at least one item; one pass over the
+texts each). Nothing is shuffled but the items, and no pair of text and item is formed unless
+their samples agree.
 
 Defined results: null or empty texts and items (or items of marks alone) match
-nothing; items with fewer than ``min_words`` words match whole words exactly; equal
-items are one, under the least id; a text that holds an item several times is
-reported once, at its least distance and then first word; repeated rows are each judged;
-an empty table gives an empty result; ``remove_contaminated`` returns rows with
-all their columns, whatever their names.
+nothing; items with fewer than ``min_words`` words match whole words exactly, those with
+fewer than ``least_words`` are left out; items of equal words are one, under the least id;
+a text that holds an item several times is reported once, at the least distance found and
+then first word; repeated rows are each judged; an empty table gives an empty
+result; ``remove_contaminated`` returns rows with all their columns, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +49,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from lexiforge.llm.common import mix64, slices, span_hashes, text_bytes, word_spans
+from lexiforge.session import materialize
 
-MAX_RATE, MIN_WORDS, SAMPLES, RECALL = 0.2, 5, 4, 0.99
-MAX_ITEMS = 20_000
+MAX_RATE, MIN_WORDS, SAMPLES, RECALL = 0.2, 5, 4, 0.995
+MAX_ITEMS, MAX_ITEM_BYTES = 20_000, 16 << 20
+PAIRS = 500              # random items by which repetitions are measured
+REPETITIONS = 100         # beyond these, fewer places are sampled
+TRIES = 8                 # starts that are drawn for an item and repetition
 SLICE = 1 << 20
 FLAGS = 1 << 22
-LONGEST = 8               # words of a piece that are looked up
 CHUNK = 1 << 20           # words of the windows that are counted at once
 
-
-def repetitions_for(recall: float = RECALL, samples: int = SAMPLES, agreement: float = 0.65) -> int:
-    """Repetitions of a sampled search (``build_tables`` needs none: its pieces find
-    every match) so that a pair whose walks agree in ``agreement`` of their
-    places meets in all ``samples`` places at least once with ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement ** samples))
-
 #: Characters that are words of their own, and marks that part words.
 ALONE = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x19E0, 0x19FF), (0x3005, 0x3007), (0x3021, 0x302F),
          (0x3031, 0x30FA), (0x30FC, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
@@ -109,12 +118,17 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Pieces:
-    """All pieces of one length: their keys (sorted), items and places in the items."""
-    size: int
+class Repetition:
+    """The sampled walks of all items of a length class: their keys (sorted), items
+    and start positions, and per sampled place which keys up to it some item has."""
+    seed: int
+    backward: bool
+    places: tuple[int, ...]
     keys: np.ndarray
     items: np.ndarray
-    places: np.ndarray
+    starts: np.ndarray         # from the item's last word if backward
+    flags: list[np.ndarray]
+    firsts: np.ndarray         # the words that the walks start from
 
 
 def allowed(n: int, max_rate: float = MAX_RATE, min_words: int = MIN_WORDS) -> int:
@@ -122,48 +136,176 @@ def allowed(n: int, max_rate: float = MAX_RATE, min_words: int = MIN_WORDS) -> i
     return int(max_rate * n) if n >= min_words else 0
 
 
-def _keys(words: np.ndarray, size: int) -> np.ndarray:
-    """Keys of the ``size`` words from each word on (as many as fit)."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+def window_of(n: int) -> int:
+    """Items of a length class share the window of its shortest length."""
+    return n if n < 8 else 1 << (n.bit_length() - 1)
+
+
+def draw_places(window: int, seed: int, samples: int = SAMPLES) -> tuple[int, ...]:
+    """Sampled places of the walk over a window, the first word always among them;
+    all scales are drawn alike, as agreement falls with the edits on the way."""
+    rng = np.random.default_rng([seed, window])
+    places = {0}
+    while len(places) < min(samples, window):
+        places.add(int(window ** rng.random()))
+    return tuple(sorted(places))
+
+
+def _move(words: np.ndarray, pos: np.ndarray, seed: int, start: int, stop: int) -> np.ndarray:
+    """Positions after the steps from ``start`` to ``stop``; a walk rests on a 0."""
+    bits = mix64(np.arange(start, stop, dtype=np.uint64), 1000 + seed) | np.uint64(1)
     with np.errstate(over="ignore"):
-        h = np.zeros(n, np.uint64)
-        for i in range(size):
-            h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[i:i + n], 5)
-        return h
+        for b in bits:
+            pos = pos + ((words[pos] * b) >> np.uint64(63)).astype(np.int64)
+    return pos
 
 
-def build_tables(items: list[np.ndarray], lengths: list[np.ndarray] | None = None, repetitions: int | None = None,
-                 max_rate: float = MAX_RATE, min_words: int = MIN_WORDS) -> list[Pieces]:
-    """The pieces of all items by length. ``lengths`` and ``repetitions`` have no
-    effect: pieces are neither chosen by their words nor sampled."""
+def _extend(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64(key * np.uint64(0x9E3779B97F4A7C15) + symbol, 5)
+
+
+def _low(keys: np.ndarray, size: int) -> np.ndarray:
+    return (keys & np.uint64(size - 1)).astype(np.int64)
+
+
+def _flags_of(keys: np.ndarray) -> np.ndarray:
+    flags = np.zeros(1 << max(14, (8 * len(keys)).bit_length()), bool)
+    flags[_low(keys, len(flags))] = True
+    return flags
+
+
+def sample_items(items: list[np.ndarray], own: np.ndarray, window: int, seed: int,
+                 samples: int = SAMPLES) -> Repetition:
+    """Repetition ``seed`` over the items numbered ``own``, all of one length class."""
+    backward, places = seed % 2 == 1, draw_places(window, seed, samples)
+    n = np.array([len(items[i]) for i in own])
+    rest = np.zeros(1, np.uint64)
+    flat = np.concatenate([part for i in own for part in (items[i][::-1] if backward else items[i], rest)])
+    begin = np.cumsum(n + 1) - (n + 1)
+    rng = np.random.default_rng([seed, window, 1])
+    wanted = min(len(places), 4, window)
+    best, starts = np.full(len(own), -1), np.zeros(len(own), np.int64)
+    for _ in range(TRIES):     # walks that rest, or leave the item, say little: draw again
+        todo = np.flatnonzero(best < wanted)
+        if not len(todo):
+            break
+        start = (rng.random(len(todo)) * ((n[todo] + 1) // 2)).astype(np.int64)
+        pos, at, seen = begin[todo] + start, 0, np.ones(len(todo), np.int64)
+        for t in places[1:]:
+            new = _move(flat, pos, seed, at, t)
+            seen += new > pos
+            pos, at = new, t
+        seen[flat[pos] == 0] = 0
+        better = seen > best[todo]
+        best[todo[better]], starts[todo[better]] = seen[better], start[better]
+    pos, at = begin + starts, 0
+    key = flat[pos]
+    firsts, flags = np.unique(key), [_flags_of(key)]
+    for t in places[1:]:
+        pos, at = _move(flat, pos, seed, at, t), t
+        key = _extend(key, flat[pos])
+        flags.append(_flags_of(key))
+    order = np.argsort(key, kind="stable")
+    return Repetition(seed, backward, places, key[order], own[order], starts[order], flags, firsts)
+
+
+@lru_cache(maxsize=256)
+def measured_repetitions(window: int, edits: bool, max_rate: float, min_words: int, recall: float) -> tuple[int, int]:
+    """(repetitions, sampled places) with which ``candidates`` finds ``recall`` of random
+    items of the class in texts that hold them with the limit's edits (substituted,
+    dropped and added words). Fewer places are sampled where edits are so many that
+    ``REPETITIONS`` do not do."""
+    if not edits:
+        return 1, SAMPLES
+    rng = np.random.default_rng([window, 2])
+
+    def fresh(size: int) -> np.ndarray:
+        return rng.integers(1, 2 ** 63, size).astype(np.uint64)
+
+    items, texts = [], []
+    for _ in range(PAIRS):
+        x = fresh(window if window < 8 else int(rng.integers(window, 2 * window)))
+        y = [[w] for w in x]
+        for p in rng.choice(len(x), allowed(len(x), max_rate, min_words), replace=False):
+            y[p] = ([], list(fresh(1)), [x[p], *fresh(1)])[rng.integers(3)]
+        items.append(x)
+        texts.append(np.concatenate([fresh(3), np.array([w for z in y for w in z], np.uint64), fresh(3)]))
+    words, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    lengths = np.array([len(x) for x in items])
+    for samples in range(SAMPLES, 0, -1):
+        found: set[int] = set()
+        for r in range(REPETITIONS if samples > 1 else 100 * REPETITIONS):
+            table = sample_items(items, np.arange(PAIRS), window, r, samples)
+            found.update(row for row, item, _ in windows_of(words, first, [table], lengths).tolist() if row == item)
+            if r % 2 and len(found) >= recall * PAIRS:
+                return r + 1, samples
+    raise ValueError(f"no number of repetitions reaches recall {recall} at max_rate {max_rate}")
+
+
+def build_tables(items: list[np.ndarray], repetitions: int | None = None, max_rate: float = MAX_RATE,
+                 min_words: int = MIN_WORDS, recall: float = RECALL) -> list[Repetition]:
+    """The sampled walks of all items; ``repetitions`` of each class in place of the
+    measured number if given."""
     if not 0 <= max_rate < 1:
         raise ValueError(f"max_rate {max_rate} is not in [0, 1)")
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for i, x in enumerate(items):
-        pieces = allowed(len(x), max_rate, min_words) + 1
-        cuts = [len(x) * j // pieces for j in range(pieces + 1)]
-        for size in {b - a for a, b in zip(cuts, cuts[1:])}:
-            keys = _keys(x, min(size, LONGEST))
-            found.setdefault(min(size, LONGEST), []).extend(
-                (int(keys[a]), i, a) for a, b in zip(cuts, cuts[1:]) if b - a == size)
     out = []
-    for size, rows in sorted(found.items()):
-        rows.sort()
-        out.append(Pieces(size, np.array([k for k, _, _ in rows], np.uint64),
-                          np.array([i for _, i, _ in rows]), np.array([a for _, _, a in rows])))
+    windows = np.array([window_of(len(x)) for x in items], np.int64)
+    edits = np.array([allowed(len(x), max_rate, min_words) > 0 for x in items], bool)
+    for w, e in sorted(set(zip(windows.tolist(), edits.tolist()))):
+        own = np.flatnonzero((windows == w) & (edits == e))
+        measured, samples = measured_repetitions(w, e, max_rate, min_words, recall)
+        out += [sample_items(items, own, w, r, samples) for r in range(repetitions or measured)]
     return out
 
 
-def first_flags(tables: list[Pieces]) -> list[np.ndarray]:
-    """Of each table, which keys (by their low bits) some piece has."""
-    out = []
-    for t in tables:
-        flags = np.zeros(FLAGS, bool)
-        flags[(t.keys & np.uint64(FLAGS - 1)).astype(np.int64)] = True
-        out.append(flags)
-    return out
+def first_flags(tables: list[Repetition]) -> np.ndarray:
+    """Which words (by their low bits) some walk of an item starts from."""
+    flags = np.zeros(FLAGS, bool)
+    for rep in tables:
+        flags[_low(rep.firsts, FLAGS)] = True
+    return flags
+
+
+def windows_of(words: np.ndarray, first: np.ndarray, tables: list[Repetition], lengths: np.ndarray,
+               flags: np.ndarray | None = None, keep=None) -> np.ndarray:
+    """Distinct (row, item, first word of the window within the row) whose samples
+    agree with an item's; ``keep`` passes over runs of them first."""
+    n, sizes = len(first) - 1, np.diff(first)
+    padded = np.zeros(len(words) + n + 1, np.uint64)       # a rest around each text
+    padded[1 + np.arange(len(words)) + np.repeat(np.arange(n), sizes)] = words
+    row_of = np.repeat(np.arange(n), sizes + 1)            # of the place after each rest
+    begin = 1 + first[:-1] + np.arange(n)
+    some = padded != 0
+    if flags is not None:
+        some &= flags[_low(padded, FLAGS)]
+    some = np.flatnonzero(some)
+    last, back, said = len(padded) - 1, padded[::-1], padded[some]
+    out = [np.zeros((0, 3), np.int64)]
+    for rep in tables:
+        on = rep.flags[0][_low(said, len(rep.flags[0]))]
+        s, start, key = back if rep.backward else padded, some[on], said[on]
+        if rep.backward:
+            start = last - start
+        pos, at = start, 0
+        for t, agrees in zip(rep.places[1:], rep.flags[1:]):
+            pos, at = _move(s, pos, rep.seed, at, t), t
+            key = _extend(key, s[pos])
+            on = agrees[_low(key, len(agrees))]
+            start, pos, key = start[on], pos[on], key[on]
+        lo, hi = (np.searchsorted(rep.keys, key, side) for side in ("left", "right"))
+        start, lo, count = start[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        for run in _runs(count, CHUNK // 16):
+            which, k = _spread(count[run])
+            k += lo[run][which]
+            item, where = rep.items[k], start[run][which]
+            if rep.backward:       # starts count from the item's last word
+                where = last - where
+            row = row_of[where - 1]
+            before = lengths[item] - 1 - rep.starts[k] if rep.backward else rep.starts[k]
+            found = np.unique(np.column_stack([row, item, where - begin[row] - before]), axis=0)
+            out.append(found if keep is None else found[keep(found)])
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,26 +343,13 @@ class Held:
         return self.flags[self._at(words, owner)]
 
 
-def candidates(words: np.ndarray, first: np.ndarray, tables: list[Pieces], flags: list[np.ndarray],
+def candidates(words: np.ndarray, first: np.ndarray, tables: list[Repetition], flags: np.ndarray,
                lengths: np.ndarray, most: np.ndarray, held: Held) -> list[tuple[int, int, int]]:
-    """Sorted (row, item, first word of the window within the row) of the windows
-    that share a piece with an item and hold enough of its words."""
-    row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out = [np.zeros((0, 3), np.int64)]
-    for t, some in zip(tables, flags):
-        keys = _keys(words, t.size)
-        at = np.flatnonzero(some[(keys & np.uint64(FLAGS - 1)).astype(np.int64)])
-        at = at[row_of[at] == row_of[at + t.size - 1]]
-        lo, hi = (np.searchsorted(t.keys, keys[at], side) for side in ("left", "right"))
-        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        for run in _runs(n, CHUNK // 16):
-            which, k = _spread(n[run])
-            k += lo[run][which]
-            item, row = t.items[k], row_of[at[run][which]]
-            where = at[run][which] - first[row] - t.places[k]
-            found = np.unique(np.column_stack([row, item, where]), axis=0)
-            out.append(found[enough(found, words, first, lengths, most, held)])
-    return [tuple(r) for r in np.unique(np.concatenate(out), axis=0).tolist()]
+    """Sorted (row, item, first word of the window within the row) of the windows whose
+    samples agree with an item's and that hold enough of its words."""
+    found = windows_of(words, first, tables, lengths, flags,
+                       lambda some: enough(some, words, first, lengths, most, held))
+    return [tuple(r) for r in found.tolist()]
 
 
 def enough(found: np.ndarray, words: np.ndarray, first: np.ndarray, lengths: np.ndarray, most: np.ndarray,
@@ -262,7 +391,7 @@ def infix_place(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return divmod(int(row.min()), unit)
 
 
-def matches(column: pa.Array, items: list[np.ndarray], tables: list[Pieces], flags: list[np.ndarray],
+def matches(column: pa.Array, items: list[np.ndarray], tables: list[Repetition], flags: np.ndarray,
             max_rate: float, held: Held | None = None,
             min_words: int = MIN_WORDS) -> dict[tuple[int, int], tuple[int, int]]:
     """(row, item) -> (distance, first word) of the verified matches. ``tables`` are
@@ -290,61 +419,76 @@ def matches(column: pa.Array, items: list[np.ndarray], tables: list[Pieces], fla
     return best
 
 
-def item_blocks(benchmark: DataFrame, key: str, text: str, min_words: int,
-                max_items: int = MAX_ITEMS) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
-    """Blocks of (ids, words, word lengths) of the distinct items of ``min_words`` words
-    or more, at most about ``max_items`` each."""
-    distinct = (benchmark.where(F.col(text).isNotNull()).groupBy(F.col(f"`{text}`").alias("text"))
-                .agg(F.min(key).alias("id")))
-    blocks = max(1, -(-distinct.count() // max_items))
+def distinct_items(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, digest, bytes): one row per sequence of words, under the least id."""
+    kind = benchmark.schema[key].dataType.simpleString()
+    rows = benchmark.where(F.col(f"`{text}`").isNotNull()).select(
+        F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, max_bytes=SLICE):
+            words, first, _ = words_of(batch.column(1))
+            sums = [hashlib.blake2b(words[a:b].tobytes(), digest_size=16).digest() if b > a else None
+                    for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.binary())], ["id", "text", "digest"])
+
+    return (rows.mapInArrow(digest, f"id {kind}, text string, digest binary").where("digest IS NOT NULL")
+            .groupBy("digest").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+            .withColumn("bytes", F.octet_length("text")))
+
+
+def item_blocks(benchmark: DataFrame, key: str, text: str, least_words: int = 1, max_items: int = MAX_ITEMS,
+                max_bytes: int = MAX_ITEM_BYTES) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Blocks of (ids, words) of the distinct items of ``least_words`` words or more, at
+    most about ``max_items`` items and ``max_bytes`` each."""
+    distinct = materialize(distinct_items(benchmark, key, text), "decontamination-items")
+    total = distinct.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-total["n"] // max_items), -(-total["bytes"] // max_bytes))
     for b in range(blocks):
-        part = distinct.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        rows = sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        words, first, size = words_of(pa.array([t for _, t in rows], pa.string()))
-        ids, items, lengths, seen = [], [], [], set()
-        for i, (k, _) in enumerate(rows):
-            x = words[first[i]:first[i + 1]]
-            if len(x) >= min_words and x.tobytes() not in seen:
-                seen.add(x.tobytes())
-                ids.append(k)
-                items.append(x)
-                lengths.append(size[first[i]:first[i + 1]])
-        if items:
-            yield ids, items, lengths
+        part = distinct.where(F.pmod(F.xxhash64("digest"), F.lit(blocks)) == b).select("id", "text")
+        rows = sorted(((r["id"], r["text"]) for r in part.collect()),
+                      key=lambda r: (r[0] is not None, r[0], r[1]) if r[0] is not None else (False, 0, r[1]))
+        words, first, _ = words_of(pa.array([t for _, t in rows], pa.string()))
+        kept = [i for i in range(len(rows)) if first[i + 1] - first[i] >= max(1, least_words)]
+        if kept:
+            yield [rows[i][0] for i in kept], [words[first[i]:first[i + 1]] for i in kept]
 
 
-def _shared(docs: DataFrame, items, max_rate: float, min_words: int):
-    tables = [astuple(t) for t in build_tables(items, max_rate=max_rate, min_words=min_words)]
-    return docs.sparkSession.sparkContext.broadcast((items, tables))     # at most MAX_ITEMS items
+def _shared(docs: DataFrame, items, max_rate: float, min_words: int, repetitions: int | None):
+    """Sent to all tasks: a block's items and their tables, as plain values."""
+    tables = [tuple(vars(t).values()) for t in build_tables(items, repetitions, max_rate, min_words)]
+    return docs.sparkSession.sparkContext.broadcast((items, tables))
 
 
-def _tables(raw) -> list[Pieces]:
-    return [Pieces(*t) for t in raw]
+def _opened(shared) -> tuple[list[np.ndarray], list[Repetition], np.ndarray, Held]:
+    items, raw = shared.value
+    tables = [Repetition(*t) for t in raw]
+    return items, tables, first_flags(tables), Held(items)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                        item_key: str = "item_id", item_text: str = "text", max_rate: float = MAX_RATE,
-                       min_words: int = MIN_WORDS, repetitions: int | None = None) -> DataFrame:
+                       min_words: int = MIN_WORDS, repetitions: int | None = None,
+                       least_words: int = 1) -> DataFrame:
     """(key, item_id, n_words, distance, first_word): one row per text and item that
-    it holds. ``repetitions`` has no effect (see ``build_tables``)."""
+    it holds. ``repetitions`` takes the place of the measured number."""
     kind = docs.schema[key].dataType.simpleString()
-    item_kind = benchmark.schema[item_key].dataType.simpleString()
-    schema = f"{key} {kind}, {item_key} {item_kind}, n_words long, distance long, first_word long"
+    item_type = benchmark.schema[item_key].dataType
+    schema = f"{key} {kind}, {item_key} {item_type.simpleString()}, n_words long, distance long, first_word long"
+    id_type = to_arrow_type(item_type)
     d = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     result = docs.sparkSession.createDataFrame([], schema)
-    for ids, items, _ in item_blocks(benchmark, item_key, item_text, 1):
-        shared = _shared(docs, items, max_rate, min_words)
+    for ids, items in item_blocks(benchmark, item_key, item_text, least_words):
+        shared = _shared(docs, items, max_rate, min_words, repetitions)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
-            own, raw = shared.value
-            tables = _tables(raw)
-            flags, held = first_flags(tables), Held(own)
+            own, tables, flags, held = _opened(shared)
             for batch in slices(batches, max_bytes=SLICE):
                 found = sorted(matches(batch.column(1), own, tables, flags, max_rate, held, min_words).items())
                 if found:
                     rows = pa.array([r for (r, _), _ in found])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), pa.array([ids[i] for (_, i), _ in found]),
+                        [batch.column(0).take(rows), pa.array([ids[i] for (_, i), _ in found], id_type),
                          pa.array([len(own[i]) for (_, i), _ in found], pa.int64()),
                          pa.array([d for _, (d, _) in found], pa.int64()),
                          pa.array([a for _, (_, a) in found], pa.int64())],
@@ -356,17 +500,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id",
                         item_text: str = "text", max_rate: float = MAX_RATE, min_words: int = MIN_WORDS,
-                        repetitions: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item. ``repetitions`` has no effect."""
+                        repetitions: int | None = None, least_words: int = 1) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item."""
     names = docs.columns
     out = docs
-    for _, items, _ in item_blocks(benchmark, item_key, item_text, 1):
-        shared = _shared(docs, items, max_rate, min_words)
+    for _, items in item_blocks(benchmark, item_key, item_text, least_words):
+        shared = _shared(docs, items, max_rate, min_words, repetitions)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, raw = shared.value
-            tables = _tables(raw)
-            flags, held = first_flags(tables), Held(own)
+            own, tables, flags, held = _opened(shared)
             for batch in slices(batches, text, SLICE):
                 column = batch.column(batch.schema.get_field_index(text))
                 leaks = {r for r, _ in matches(column, own, tables, flags, max_rate, held, min_words)}
