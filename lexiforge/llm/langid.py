@@ -1,15 +1,17 @@
 """Language identification by bit-sliced Bloom filters of byte n-grams.
 
-Learning counts the four-byte grams of each language (lower-cased text). A
-gram belongs to the languages whose rate for it is at least half of the
-highest rate. Slot by slot, one table holds a bit per language, so a look-up
-of a gram's hashes and one AND give all languages that (seem to) contain it.
-Per-language counts over a text are corrected for each filter's false
-positives; the largest decides, its share of all is the score.
-
-A gram is kept only if its rate is at least ``MIN_RATE``, so a language has at
-most 1 / MIN_RATE grams whatever the corpus: that bounds what the driver sees.
-Counts are taken over all learning rows.
+Learning counts the four-byte grams of each language (lower-cased text) over all
+learning rows. Every counted gram goes into the filter of every language that has it.
+Slot by slot, one table holds a bit per language, so a look-up of a gram's
+hashes and one AND give all languages that (seem to) contain it. A second table of the same
+form holds the grams that mark a language: those with a rate of at least ``MIN_RATE``
+that is at least half of the gram's highest rate. Per-language counts over a text are
+corrected for each filter's false positives; the count of marking grams plus ``RARE`` of the
+count of all known grams decides, its share of all is the score.
+
+The tables are built in Spark and packed by ranges of slots. They have slots for the
+language with most grams, whatever the number of languages, and at most ``MAX_BYTES``:
+beyond that filters get fuller and false positives, which are corrected, more; no gram is left out.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if
 nothing was learned; a text none of whose grams is known gets the language
@@ -29,9 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.llm.common import mix64, slices, text_bytes
+from lexiforge.session import materialize
 
 MIN_RATE = 2e-5
 GRAM = 4
+RARE = 0.1                 # weight of all known grams against those that mark a language
+MAX_BYTES = 128 << 20      # of both tables
+RANGE = 1 << 16            # slots that are packed together
 
 
 def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,39 +107,77 @@ def gram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 @dataclass
 class LanguageFilters:
-    """Bit l of slot s: some gram of language l hashes to s."""
+    """Bit l of slot s: some gram of language l hashes to s. Table 0 holds all grams,
+    table 1 those that mark a language."""
     languages: list[str]
-    slots: np.ndarray          # (words of 64 languages, slots), uint64 or the least type that fits
-    false_rate: np.ndarray     # per language
+    slots: np.ndarray          # (tables, words of 64 languages, slots), uint64 or the least type that fits
+    false_rate: np.ndarray     # (tables, languages)
     most_rows: int
     hashes: int
 
-    def masks(self, grams: np.ndarray, word: int) -> np.ndarray:
+    def masks(self, grams: np.ndarray, word: int) -> list[np.ndarray]:
+        """Of each table, the languages that hold each gram."""
         h = mix64(grams.astype(np.uint64), 11)
-        size = np.uint64(self.slots.shape[1] - 1)
-        out = self.slots[word][(h & size).astype(np.int64)]
-        for k in range(1, self.hashes):
-            out = out & self.slots[word][((h >> np.uint64(24 * k)) & size).astype(np.int64)]
+        at = [slots_at(h, k, self.hashes, self.slots.shape[2]) for k in range(self.hashes)]
+        out = []
+        for table in self.slots[:, word]:
+            mask = table[at[0]]
+            for places in at[1:]:
+                mask = mask & table[places]
+            out.append(mask)
         return out
 
 
-def build_filters(grams: dict[str, np.ndarray], rows: dict[str, int], hashes: int = 2,
-                  slots_per_gram: int = 12) -> LanguageFilters:
+def slots_at(h: np.ndarray, k: int, hashes: int, size: int) -> np.ndarray:
+    """The slot of the ``k``-th hash, one of ``size`` (a power of two)."""
+    return ((h >> np.uint64(64 // hashes * k)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def filter_slots(members: DataFrame, names: list[str], size: int, hashes: int) -> DataFrame:
+    """(level, word, slot, bits) of every slot with a bit, from (level, lang, gram)."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = pa.array(names, pa.string())
+        for batch in batches:
+            level = batch.column(0).to_numpy()
+            lang = pc.index_in(batch.column(1), order).to_numpy(zero_copy_only=False).astype(np.int64)
+            h = mix64(batch.column(2).to_numpy().astype(np.uint64), 11)
+            bits = (np.uint64(1) << (lang % 64).astype(np.uint64)).astype(np.int64)
+            for k in range(hashes):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(level), pa.array(lang // 64), pa.array(slots_at(h, k, hashes, size)), pa.array(bits)],
+                    ["level", "word", "slot", "bits"])
+
+    return (members.select("level", "lang", "gram").mapInArrow(place, "level int, word long, slot long, bits long")
+            .groupBy("level", "word", "slot").agg(F.bit_or("bits").alias("bits")))
+
+
+def build_filters(members: DataFrame, rows: dict[str, int], hashes: int = 2, slots_per_gram: int = 12,
+                  max_bytes: int = MAX_BYTES) -> LanguageFilters:
+    """Filters from (level, lang, gram), each row once, and the rows of each language."""
     names = sorted(rows)
-    distinct = max(1, len(np.unique(np.concatenate([np.zeros(0, np.int64), *grams.values()]))))
-    size = 1 << max(10, int(np.ceil(np.log2(distinct * slots_per_gram))))
-    if size > 1 << 24:
-        raise ValueError("too many grams for 24-bit slots: raise MIN_RATE")
+    words = max(1, -(-len(names) // 64))
     kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 10 ** 9)) if len(names) <= n)
-    slots = np.zeros((max(1, -(-len(names) // 64)), size), kind)
-    false_rate = np.zeros(len(names))
-    for i, name in enumerate(names):
-        h = mix64(np.asarray(grams.get(name, np.zeros(0)), dtype=np.uint64), 11)
-        for k in range(hashes):
-            at = ((h >> np.uint64(24 * k)) & np.uint64(size - 1)).astype(np.int64)
-            np.bitwise_or.at(slots[i // 64], at, kind(1 << (i % 64)))
-        share = ((slots[i // 64] >> kind(i % 64)) & kind(1)).mean()
-        false_rate[i] = share ** hashes
+    width = np.dtype(kind).itemsize
+    largest = members.groupBy("level", "lang").count().agg(F.max("count")).first()[0] or 1
+    size = max(1 << 10, 1 << int(np.ceil(np.log2(largest * slots_per_gram))))
+    while size > 1 << 10 and (size * words * width * 2 > max_bytes or size > 1 << (64 // hashes)):
+        size >>= 1
+
+    def pack(group: pa.Table) -> pa.Table:
+        block = np.zeros(min(RANGE, size), kind)
+        block[group.column("slot").to_numpy() % RANGE] = group.column("bits").to_numpy().view(np.uint64).astype(kind)
+        return pa.table({"level": group.column("level")[:1], "word": group.column("word")[:1],
+                         "part": group.column("part")[:1], "block": pa.array([block.tobytes()], pa.binary())})
+
+    packed = (filter_slots(members, names, size, hashes).withColumn("part", F.floor(F.col("slot") / RANGE))
+              .groupBy("level", "word", "part")
+              .applyInArrow(pack, "level int, word long, part long, block binary"))
+    slots = np.zeros((2, words, size), kind)
+    for r in packed.toArrow().to_pylist():             # at most max_bytes
+        block = np.frombuffer(r["block"], kind)
+        slots[r["level"], r["word"], r["part"] * RANGE:r["part"] * RANGE + len(block)] = block
+    false_rate = np.array([[((slots[t, i // 64] >> kind(i % 64)) & kind(1)).mean() ** hashes
+                            for i in range(len(names))] for t in range(2)])
     most = max(range(len(names)), key=lambda i: (rows[names[i]], -i)) if names else -1
     return LanguageFilters(names, slots, false_rate, most, hashes)
 
@@ -141,28 +185,19 @@ def build_filters(grams: dict[str, np.ndarray], rows: dict[str, int], hashes: in
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", min_rate: float = MIN_RATE) -> LanguageFilters:
     """Filters from all rows with a language."""
     known = docs.where(F.col(f"`{lang}`").isNotNull())
-    counts = gram_counts(known, text, lang)
-    from lexiforge.session import materialize
-    counts = materialize(counts, "langid-grams")
+    counts = materialize(gram_counts(known, text, lang), "langid-grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rows = {r["lang"]: r["n"] for r in known.groupBy(F.col(f"`{lang}`").alias("lang"))
             .agg(F.count("*").alias("n")).collect()}
-    if not totals:
-        return build_filters({}, rows)
-    total = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])
-    rated = counts.withColumn("rate", F.col("n") / total[F.col("lang")])
-    best = rated.groupBy("gram").agg(F.max("rate").alias("best"),
-                                     F.collect_list(F.struct("lang", "rate")).alias("all"))
-    kept = (best.where(F.col("best") >= min_rate).select("gram", "best", F.explode("all").alias("x"))
-            .where((F.col("x.rate") >= 0.5 * F.col("best")) & (F.col("x.rate") >= min_rate))
-            .select("gram", F.col("x.lang").alias("lang")))
-    pdf = kept.toArrow()       # at most 1 / min_rate grams a language
-    grams: dict[str, np.ndarray] = {}
-    names = np.asarray(pdf.column("lang").to_pylist(), dtype=object)
-    values = pdf.column("gram").to_numpy()
-    for name in rows:
-        grams[name] = values[names == name] if len(values) else values
-    return build_filters(grams, rows)
+    none = F.lit(None).cast("double")
+    total = F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]) if totals else None
+    rated = counts.withColumn("rate", F.col("n") / total[F.col("lang")] if totals else none)
+    by_gram = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("lang", "rate")).alias("all"))
+    held = by_gram.select("gram", "best", F.explode("all").alias("x"))      # at most one a language
+    marks = (F.col("x.rate") >= 0.5 * F.col("best")) & (F.col("x.rate") >= min_rate)
+    members = held.select(F.explode(F.when(marks, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("level"),
+                          F.col("x.lang").alias("lang"), "gram")
+    return build_filters(materialize(members, "langid-members"), rows)
 
 
 def identify_texts(column: pa.Array, f: LanguageFilters) -> tuple[list[str], list[float]]:
@@ -179,15 +214,17 @@ def identify_texts(column: pa.Array, f: LanguageFilters) -> tuple[list[str], lis
         valid[at[at >= 0]] = False
     sizes = np.maximum(np.diff(offsets) - (GRAM - 1), 0)
     ends = np.minimum(offsets, len(grams))
-    hits = np.zeros((n, len(f.languages)))
-    for word in range(f.slots.shape[0]):
-        masks = f.masks(grams, word)
-        masks[~valid[:len(grams)]] = 0
-        for i in range(word * 64, min(len(f.languages), word * 64 + 64)):
-            sums = np.zeros(len(grams) + 1, np.int64)
-            np.cumsum((masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1), out=sums[1:])
-            hits[:, i] = sums[ends[1:]] - sums[ends[:-1]]
-    true = np.maximum(0.0, (hits - sizes[:, None] * f.false_rate) / np.maximum(1e-9, 1 - f.false_rate))
+    hits = np.zeros((2, n, len(f.languages)))
+    for word in range(f.slots.shape[1]):
+        for t, masks in enumerate(f.masks(grams, word)):
+            masks[~valid[:len(grams)]] = 0
+            for i in range(word * 64, min(len(f.languages), word * 64 + 64)):
+                sums = np.zeros(len(grams) + 1, np.int64)
+                np.cumsum((masks >> masks.dtype.type(i % 64)) & masks.dtype.type(1), out=sums[1:])
+                hits[t, :, i] = sums[ends[1:]] - sums[ends[:-1]]
+    wrong = f.false_rate[:, None, :]
+    true = np.maximum(0.0, (hits - sizes[None, :, None] * wrong) / np.maximum(1e-9, 1 - wrong))
+    true = true[1] + RARE * true[0]
     best = np.argmax(true, axis=1)
     all_ = true.sum(axis=1)
     score = np.where(all_ > 0, true[np.arange(n), best] / np.maximum(all_, 1e-12), 0.0)
@@ -203,7 +240,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, key: str | list[str | Co
     keys = [key] if isinstance(key, str) else key
     given = docs.select(F.struct(*keys).alias("key"), F.col(f"`{text}`").alias("text"))
     parts = (filters.languages, filters.slots, filters.false_rate, filters.most_rows, filters.hashes)
-    shared = spark.sparkContext.broadcast(parts)     # plain values; at most 2^24 slots
+    shared = spark.sparkContext.broadcast(parts)     # plain values; at most MAX_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = LanguageFilters(*shared.value)

@@ -15,8 +15,8 @@ of each text, and a fixed number of steps.
 
 Defined results: null or empty texts are one chunk of zeros and get a score
 like any other; without both labels the score is the share of label 1 (0.5
-without labels); repeated rows are each scored; only the named columns are
-read.
+without labels); of contradictory labels of one document the larger counts;
+repeated rows are each scored; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -211,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     from): at most ``max_rows`` of each label, each cut to MAX_CHUNKS chunks on
     the executors, so the driver gets a bounded sample."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.col(label).cast("int").alias("y")).dropDuplicates(["key"])
+        F.col(f"`{key}`").alias("key"), F.col(label).cast("int").alias("y")).groupBy("key").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.col("key"))
     picked = F.broadcast(known.where("y = 1").orderBy(order, "key").limit(max_rows)
                          .unionByName(known.where("y = 0").orderBy(order, "key").limit(max_rows)))

@@ -15,7 +15,8 @@ every toxic text ``COVER`` times, as far as terms of two texts or more can.
 
 Defined results: null or empty texts have no hits and get the lowest score;
 without toxic labels the lexicon is empty and every score is that of no hit;
-repeated rows are each scored; only the named columns are read.
+of contradictory labels of one document the larger counts; repeated rows are each
+scored; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -152,7 +153,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
                     max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """(key, text, y): at most ``max_toxic`` and ``max_clean`` labelled rows, by a hash of the id."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.col(label).cast("int").alias("y")).dropDuplicates(["key"])
+        F.col(f"`{key}`").alias("key"), F.col(label).cast("int").alias("y")).groupBy("key").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.col("key"))
     picked = (known.where("y = 1").orderBy(order, "key").limit(max_toxic)
               .unionByName(known.where("y = 0").orderBy(order, "key").limit(max_clean)))

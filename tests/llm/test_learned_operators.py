@@ -92,18 +92,59 @@ def test_gram_counts(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("n_languages", [3, 70])
-def test_filters_hold_all_their_grams(n_languages):
+def members(spark, grams):
+    """(level, lang, gram): all grams at level 0, every third at level 1 too."""
+    parts = [(pa.array(np.full(len(g), t, np.int32)), pa.array([k] * len(g)), pa.array(g.astype(np.int64)))
+             for k, own in grams.items() for t, g in ((0, own), (1, own[::3]))]
+    return spark.createDataFrame(pa.concat_tables(
+        [pa.Table.from_arrays(list(p), ["level", "lang", "gram"]) for p in parts]))
+
+
+@pytest.mark.parametrize("n_languages,n_grams,most", [(3, 300, 1 << 27), (70, 300, 1 << 27), (5, 4000, 1 << 15)])
+def test_filters_hold_all_their_grams(spark, n_languages, n_grams, most):
+    """Also where the tables are too small for the grams: only false positives grow."""
     rng = np.random.default_rng(2)
-    grams = {f"l{i:02}": rng.integers(0, 2 ** 32, 300) for i in range(n_languages)}
-    f = langid.build_filters(grams, {k: 1 for k in grams})
+    grams = {f"l{i:02}": np.unique(rng.integers(0, 2 ** 32, n_grams)) for i in range(n_languages)}
+    f = langid.build_filters(members(spark, grams), {k: 1 for k in grams}, max_bytes=most)
+    assert f.slots.nbytes <= most
+    other = rng.integers(0, 2 ** 32, 20000)
     for i, name in enumerate(f.languages):
-        masks = f.masks(grams[name], i // 64)
-        kind = masks.dtype.type
-        assert (((masks >> kind(i % 64)) & kind(1)) == 1).all()
-        other = rng.integers(0, 2 ** 32, 20000)
-        seen = ((f.masks(other, i // 64) >> kind(i % 64)) & kind(1)).mean()
-        assert abs(seen - f.false_rate[i]) < 0.02
+        for t, own in ((0, grams[name]), (1, grams[name][::3])):
+            masks = f.masks(own, i // 64)[t]
+            kind = masks.dtype.type
+            assert (((masks >> kind(i % 64)) & kind(1)) == 1).all()
+            seen = ((f.masks(other, i // 64)[t] >> kind(i % 64)) & kind(1)).mean()
+            assert abs(seen - f.false_rate[t, i]) < 0.03
+
+
+def test_a_hundred_languages_of_50000_grams(spark):
+    grams = {f"l{i:03}": np.unique(np.random.default_rng(i).integers(0, 2 ** 32, 50_000)) for i in range(100)}
+    f = langid.build_filters(members(spark, grams), {k: 1 for k in grams})
+    assert f.slots.nbytes <= langid.MAX_BYTES and f.false_rate.max() < 0.05
+    for i in (0, 63, 64, 99):
+        masks = f.masks(grams[f.languages[i]], i // 64)[0]
+        assert ((masks >> np.uint64(i % 64)) & np.uint64(1)).all()
+
+
+def test_rare_grams_are_known(spark):
+    """A gram of one row among many is held, for every language that has it."""
+    rows = [("x", "aaaa bbbb " * 3000), ("y", "cccc dddd " * 3000), ("x", "qxqxq"), ("y", "zyzyz"), ("y", "bbbb")]
+    f = langid.learn(spark.createDataFrame(rows, "lang string, text string"), min_rate=0.01)
+    got, score = langid.identify_texts(pa.array(["qxqxq", "zyzyz", "aaaa bbbb", "wholly unknown"]), f)
+    assert got == ["x", "y", "x", "y"] and min(score[:3]) > 0.5 and score[3] == 0
+    both = f.masks(np.array([int.from_bytes(b"bbbb", "big")]), 0)
+    assert both[0][0] == 3 and both[1][0] == 1
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_contradictory_labels_take_the_larger(spark, reverse):
+    rows = [(i, y) for i in range(40) for y in ((0, 1) if i % 2 else (0, 0))]
+    labels = spark.createDataFrame(rows[::-1] if reverse else rows, "doc_id long, toxic int").repartition(7)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    got = {r["key"]: r["y"] for r in toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic").collect()}
+    assert got == {i: i % 2 for i in range(40)}
+    net = quality_cnn.learn(docs, labels.withColumnRenamed("toxic", "quality").where("doc_id % 2 = 1"))
+    assert net.prior == 1.0
 
 
 def test_folding():
