@@ -6,8 +6,8 @@ Slot by slot, one table holds a bit per language, so a look-up of a gram's
 hashes and one AND give all languages that (seem to) contain it. A second table of the same
 form holds the grams that mark a language: those with a rate of at least ``MIN_RATE``
 that is at least half of the gram's highest rate. Per-language counts over a text are
-corrected for each filter's false positives; the count of marking grams plus ``RARE`` of the
-count of all known grams decides, its share of all is the score.
+corrected for each filter's false positives; the sum of both tables' counts
+decides, its share of all is the score.
 
 The tables are built in Spark and packed by ranges of slots. They have slots for the
 language with most grams, whatever the number of languages, and at most ``MAX_BYTES``:
@@ -35,7 +35,6 @@ from lexiforge.session import materialize
 
 MIN_RATE = 2e-5
 GRAM = 4
-RARE = 0.1                 # weight of all known grams against those that mark a language
 MAX_BYTES = 128 << 20      # of both tables
 RANGE = 1 << 16            # slots that are packed together
 
@@ -224,7 +223,7 @@ def identify_texts(column: pa.Array, f: LanguageFilters) -> tuple[list[str], lis
                 hits[t, :, i] = sums[ends[1:]] - sums[ends[:-1]]
     wrong = f.false_rate[:, None, :]
     true = np.maximum(0.0, (hits - sizes[None, :, None] * wrong) / np.maximum(1e-9, 1 - wrong))
-    true = true[1] + RARE * true[0]
+    true = true.sum(axis=0)
     best = np.argmax(true, axis=1)
     all_ = true.sum(axis=1)
     score = np.where(all_ > 0, true[np.arange(n), best] / np.maximum(all_, 1e-12), 0.0)
