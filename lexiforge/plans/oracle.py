@@ -323,6 +323,18 @@ SELECT conv_id, CAST(len(toks[1:{n}]) AS BIGINT) AS n_kept, array_to_string(toks
        array_to_string(lab[1:{n}], ' ') AS labels FROM c"""
 
 
+def _padded_batches() -> str:
+    return rf"""WITH {RENDER},
+e AS (SELECT conv_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:{Q.MAX_SEQ_LEN}],
+        lambda w: CAST('0x' || substr(md5(w), 1, 4) AS BIGINT) + 1) AS ids FROM rendered),
+p AS (SELECT conv_id, ids, CAST(len(ids) AS BIGINT) AS n_tokens, row_number() OVER (ORDER BY len(ids), conv_id) - 1 AS pos FROM e),
+b AS (SELECT *, CAST(pos // {Q.BATCH_ROWS} AS BIGINT) AS batch, CAST(pos % {Q.BATCH_ROWS} AS BIGINT) AS slot,
+        max(n_tokens) OVER (PARTITION BY pos // {Q.BATCH_ROWS}) AS width FROM p)
+SELECT batch, slot, conv_id, n_tokens, width,
+       array_to_string(list_concat(ids, list_transform(range(width - n_tokens), lambda i: 0)), ',') AS input_ids,
+       repeat('1', n_tokens) || repeat('0', width - n_tokens) AS attention_mask FROM b"""
+
+
 def _marker_tokens() -> str:
     marks = "[" + ", ".join(lit(m) for m in MARKERS) + "]"
     return f"""WITH m AS (SELECT conv_id, turn, {marks} AS marks,
@@ -592,6 +604,7 @@ f AS (SELECT * FROM sc WHERE id IN (SELECT id FROM ok))
 {_topk('f')}""",
         "response_labels": _response_labels(),
         "marker_tokens": _marker_tokens(),
+        "padded_batches": _padded_batches(),
         "index_search": f"WITH {BM25_BASE},\n{_bm25_scores(QUERIES_ALL)}\n{_topk('sc')}",
         "prompt_batch": _prompt_batch(),
         "fuzzy_match": _fuzzy(),

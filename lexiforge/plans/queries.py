@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import codes, predicates as P, text as X
-from lexiforge.operators import corpus, lookup, postings, qa, retrieval
+from lexiforge.operators import batches, corpus, lookup, postings, qa, retrieval
 from lexiforge.operators.canonical import aggregate_rulings
 from lexiforge.operators.fuzzy import fuzzy_best_match
 from lexiforge.operators.nest import nest_combos
@@ -210,9 +210,20 @@ def q_response_mask(spark: SparkSession, d: str) -> DataFrame:
     return corpus.response_mask_counts(A.table(spark, d, "conversations"))
 
 
+BATCH_ROWS = 24      # examples of a training batch
 LABEL_LEN = 128      # short, so that conversations are cut
 
 
+def q_padded_batches(spark: SparkSession, d: str) -> DataFrame:
+    """M-2: rendered conversations through a tokenizer hook into padded batches, one row an example."""
+    rendered = corpus.render_turns(A.table(spark, d, "conversations"))
+    coded = batches.encode_texts(rendered, "conv_id", "text", batches.hashed_words, "hashed-words", MAX_SEQ_LEN)
+    return batches.padded_batches(coded, "conv_id", BATCH_ROWS).select("batch", "width", F.inline("rows")).select(
+        F.col("batch").cast("bigint"), F.col("slot").cast("bigint"), F.col("key").alias("conv_id"),
+        F.col("n_tokens").cast("bigint"), F.col("width").cast("bigint"),
+        F.array_join("input_ids", ",").alias("input_ids"), F.array_join("attention_mask", "").alias("attention_mask"))
+
+
 def q_response_labels(spark: SparkSession, d: str) -> DataFrame:
     """Token-aligned labels of each conversation, through the cut."""
     r = corpus.labelled_tokens(A.table(spark, d, "conversations"), LABEL_LEN)
@@ -379,6 +390,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_render": q_chat_render,
     "token_truncate": q_token_truncate,
     "response_mask": q_response_mask,
+    "padded_batches": q_padded_batches,
     "response_labels": q_response_labels,
     "marker_tokens": q_marker_tokens,
     "hash_split": q_hash_split,

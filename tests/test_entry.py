@@ -8,7 +8,7 @@ from tests.conftest import SF
 
 # Queries whose operator runs Python by design (Arrow batches, not per row).
 PYTHON_OK = {"dense_topk", "hybrid_search", "format_results", "prompt_messages", "fuzzy_match",
-             "index_search", "prompt_batch"}
+             "index_search", "prompt_batch", "padded_batches"}
 
 
 def test_entry_runs(spark):
