@@ -10,9 +10,13 @@ the truncation length.
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,7 @@ from lexiforge.schemas import (
     CHAT_BEGIN, CHAT_END, CHAT_HEADER, DEFAULT_TEST_FRACTION, RAG_JOIN, RAG_PREAMBLE,
     SYSTEM_PROMPT,
 )
+from lexiforge.session import materialize, ship_by_value
 from lexiforge.versions import new_folder, publish, read_manifest
 
 
@@ -181,43 +186,101 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = DEFAULT_TEST_FRAC
                          .otherwise(F.lit("train")))
 
 
-def pack_offsets(docs: DataFrame, length: str, key: str, block_len: int,
-                 shards: int) -> DataFrame:
-    """M-5, offsets: documents laid end to end per shard in key order, each
-    ``length`` long (tokens + one end token); blocks are cut every
-    ``block_len`` tokens -> (+ shard, offset, first_block, last_block).
-
-    ``shard`` is a hash bucket of the key, so the running sum is a window per
-    shard over narrow rows, never one global window. Choose ``shards`` so a
-    shard's (key, length) rows fit one task (about a million documents per
-    shard); the packing only depends on the shard count, not on partitioning.
+def exact_split(df: DataFrame, key: str, test_fraction: float = DEFAULT_TEST_FRACTION,
+                out: str = "split") -> DataFrame:
+    """M-3, exact: the test side takes whole groups of one ``key`` in the order of a hash,
+    as few as hold ``ceil(test_fraction * rows)`` rows; exact to the row where each key has
+    one row. Nothing is sorted: passes over a histogram of the hash's next 16 bits
+    (at most 65,536 counts each) narrow down the last hash of the test side. The result depends on
+    the keys alone. A null key is a group of its own; an empty table stays empty.
     """
-    w = (Window.partitionBy("shard").orderBy(key)
-         .rowsBetween(Window.unboundedPreceding, -1))
-    d = docs.withColumn("shard", md5_bucket(F.col(key), shards))
-    d = d.withColumn("offset", F.coalesce(F.sum(length).over(w), F.lit(0)).cast("bigint"))
-    return (d.withColumn("first_block", F.floor(F.col("offset") / block_len).cast("bigint"))
-             .withColumn("last_block",
-                         F.floor((F.col("offset") + F.col(length) - 1) / block_len).cast("bigint")))
-
-
-def pack_blocks(docs: DataFrame, tokens: str, key: str, block_len: int, shards: int,
+    h = F.md5(F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n")))
+    hashes = df.select(h.alias("h"))
+    prefix, before, target = "", 0, None
+    while len(prefix) < 32:
+        at = len(prefix)
+        part = hashes.where(F.substring("h", 1, at) == prefix) if at else hashes
+        counts = part.groupBy(F.substring("h", at + 1, 4).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+        if target is None:
+            # as a decimal, so that 0.1 of 30 rows is 3
+            target = math.ceil(Fraction(str(test_fraction)) * sum(r["n"] for r in counts))
+            if target <= 0:
+                return df.withColumn(out, F.lit("train"))
+        for r in counts:
+            if before + r["n"] >= target:
+                prefix += r["b"]
+                break
+            before += r["n"]
+        if before + r["n"] == target:       # the whole bucket belongs to the test side
+            break
+    return df.withColumn(out, F.when(F.substring(h, 1, len(prefix)) <= prefix, F.lit("test")).otherwise(F.lit("train")))
+
+
+def _running_fn(before: str, out: list[str]):
+    def run(batches):
+        from pyspark import TaskContext
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(before).cast(pa.int64())
+            ends = pc.add(pc.cumulative_sum(n), total)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([part] * b.num_rows, pa.int64()), pc.subtract(ends, n)], [*b.schema.names, *out])
+            total = ends[-1].as_py() if b.num_rows else total
+    return run
+
+
+def pack_offsets(docs: DataFrame, length: str, key: str, block_len: int, parts: int | None = None) -> DataFrame:
+    """M-5, offsets: all documents laid end to end in one order, that of the md5 of
+    ``key`` (then length and a hash of the other columns), each ``length`` long (tokens + one end token);
+    blocks are cut every ``block_len`` tokens -> (+ offset, first_block, last_block).
+
+    Two prefix sums: rows are sorted by ranges and each task sums within its range as it
+    writes it; the ranges' totals (one row each) are summed up and added. No window
+    spans a range, a repeated key is cut at any row, and the result does not depend on
+    ``parts``, partitioning or the number of rows. Null lengths count as 0. Columns
+    named ``_part``, ``_within`` or ``_row`` are refused.
+    """
+    if {"_part", "_within", "_row"} & set(docs.columns):
+        raise ValueError("columns _part, _within and _row are used here")
+    d = docs.withColumn(length, F.coalesce(F.col(length).cast("bigint"), F.lit(0).cast("bigint")))
+    rest = [F.col(c) for c in docs.columns if c not in (key, length)]
+    spark = docs.sparkSession
+    # short sort keys: the texts themselves are neither sampled nor compared
+    order = [F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.col(length), *([F.xxhash64(*rest)] if rest else [])]
+    d = d.withColumn("_row", F.monotonically_increasing_id())
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartitionByRange(parts, *order, "_row").sortWithinPartitions(*order, "_row").drop("_row")
+    schema = T.StructType([*d.schema.fields, T.StructField("_part", T.LongType()), T.StructField("_within", T.LongType())])
+    laid = materialize(d.mapInArrow(_running_fn(length, ["_part", "_within"]), schema), "pack")
+    totals = laid.groupBy("_part").agg(F.sum(length).alias("n")).orderBy("_part").collect()     # one row a range
+    starts, at = [], 0
+    for r in totals:
+        starts.append((r["_part"], at))
+        at += r["n"]
+    starts = spark.createDataFrame(starts, "_part long, _start long")
+    laid = laid.join(F.broadcast(starts), "_part")
+    o = (F.col("_start") + F.col("_within")).cast("bigint")
+    last = F.greatest(o + F.col(length) - 1, o)
+    return (laid.withColumn("offset", o).withColumn("first_block", F.floor(o / block_len).cast("bigint"))
+            .withColumn("last_block", F.floor(last / block_len).cast("bigint")).drop("_part", "_within", "_start"))
+
+
+def pack_blocks(docs: DataFrame, tokens: str, key: str, block_len: int, parts: int | None = None,
                 end_token: str = CHAT_END) -> DataFrame:
-    """M-5, contents: -> (shard, block, tokens) with at most ``block_len``
-    tokens per block. A document crossing a boundary is split; each shard's
-    last block may be partial (reported by its size, never dropped)."""
+    """M-5, contents: -> (block, tokens) with ``block_len`` tokens a block. A document
+    crossing a boundary is split; only the very last block may be partial (reported by
+    its size, never dropped)."""
     own = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
-    d = docs.select(key, F.concat(own, F.array(F.lit(end_token))).alias("_t"))
-    d = d.withColumn("_len", F.size("_t"))
-    d = pack_offsets(d, "_len", key, block_len, shards)
+    d = docs.select(F.col(key).alias("key"), F.concat(own, F.array(F.lit(end_token))).alias("t"))
+    d = pack_offsets(d.withColumn("len", F.size("t")), "len", "key", block_len, parts)
     # one row per (document, block) it touches, holding its slice of tokens
     d = d.withColumn("block", F.explode(F.sequence("first_block", "last_block")))
     begin = F.greatest(F.col("offset"), F.col("block") * block_len)
-    end = F.least(F.col("offset") + F.col("_len"), (F.col("block") + 1) * block_len)
-    piece = F.slice("_t", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
-    return (d.select("shard", "block", F.struct(begin.alias("_g"), piece.alias("_p")).alias("_x"))
-            .groupBy("shard", "block")
-            .agg(F.flatten(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_p"])).alias("tokens")))
+    end = F.least(F.col("offset") + F.col("len"), (F.col("block") + 1) * block_len)
+    piece = F.slice("t", (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
+    return (d.select("block", F.struct(begin.alias("g"), piece.alias("p")).alias("x"))
+            .groupBy("block")
+            .agg(F.flatten(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"])).alias("tokens")))
 
 
 def system_message(context: Column) -> Column:
@@ -317,3 +380,7 @@ def load_corpus(spark: SparkSession, path: str, *groups: str, version: int | Non
             wanted.setdefault(folder, []).append(g)
     parts = [spark.read.schema(schema).parquet(folder).where(F.col("group").isin(names)) for folder, names in wanted.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+# Worker-side functions above travel by value (see ``ship_by_value``).
+ship_by_value(__name__)

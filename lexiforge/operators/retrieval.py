@@ -106,6 +106,23 @@ def corpus_stats(docs: DataFrame, text_col: str = "content") -> tuple[int, float
     return int(row["n"]), float(row["avg"] or 0.0)
 
 
+def corpus_statistics(docs: DataFrame, text_col: str = "content") -> tuple[int, float, DataFrame]:
+    """A-7 in one pass over the texts: (N, average length of documents with a token,
+    (token, df)). Every document adds a row without a token that carries its length; the
+    counts, as large as the vocabulary, are written once."""
+    from lexiforge.session import materialize
+    d = docs.select(word_tokens(F.col(text_col)).alias("_t"))
+    own = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.coalesce(F.size("_t"), F.lit(0)).alias("dl")))
+    toks = F.transform(F.coalesce(F.array_distinct("_t"), F.array().cast("array<string>")),
+                       lambda t: F.struct(t.alias("token"), F.lit(0).alias("dl")))
+    rows = d.select(explode_computed(F.concat(own, toks)).alias("_x")).select("_x.token", "_x.dl")
+    counts = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total"),
+                                                   F.count_if(F.col("dl") > 0).alias("filled")), "corpus-statistics")
+    head = counts.where("token IS NULL").first()
+    n, avg = (head["df"], head["total"] / head["filled"] if head["filled"] else 0.0) if head else (0, 0.0)
+    return int(n), float(avg), counts.where("token IS NOT NULL").select("token", "df")
+
+
 def idf(df: Column, n_docs: int) -> Column:
     return F.log((F.lit(n_docs) + 1.0) / (df + 0.5))
 

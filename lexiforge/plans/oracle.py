@@ -348,11 +348,10 @@ def md5_bucket(x: str, n: int | str) -> str:
     return f"((('0x' || substr(md5(CAST({x} AS VARCHAR)), 1, 8))::BIGINT) % {n})"
 
 
-_PACKED = f"""s AS (SELECT CAST(greatest({Q.MIN_PACK_SHARDS}, ceil(count(*) / {Q.PACK_DOCS}.0)) AS BIGINT) AS n FROM documents),
-d AS (SELECT doc_id, list_concat(coalesce(regexp_extract_all(lower(text), '{WT}'), []), ['{CHAT_END}']) AS toks,
-        {md5_bucket('doc_id', '(SELECT n FROM s)')} AS shard FROM documents),
+_PACKED = f"""d AS (SELECT doc_id, list_concat(coalesce(regexp_extract_all(lower(text), '{WT}'), []), ['{CHAT_END}']) AS toks
+      FROM documents),
 o AS (SELECT *, CAST(len(toks) AS BIGINT) AS n_tokens, CAST(coalesce(sum(len(toks)) OVER (
-        PARTITION BY shard ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+        ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
       FROM d)"""
 
 
@@ -584,19 +583,25 @@ FROM allpairs GROUP BY "group\"""",
         "response_mask": _response_mask(),
         "hash_split": f"""SELECT conv_id, turn,
   CASE WHEN {md5_bucket('conv_id', 100)} < 20 THEN 'test' ELSE 'train' END AS split FROM conversations""",
+        "exact_split": """WITH g AS (SELECT conv_id, coalesce(md5('k' || CAST(conv_id AS VARCHAR)), md5('n')) AS h, count(*) AS n
+  FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, coalesce(sum(n) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT v.conv_id, v.turn, CASE WHEN c.before < (SELECT ceil(count(*) / 5.0) FROM conversations) THEN 'test' ELSE 'train' END AS split
+FROM conversations v JOIN c ON v.conv_id IS NOT DISTINCT FROM c.conv_id""",
         "pack_sequences": f"""WITH {_PACKED}
-SELECT doc_id, shard, n_tokens, "offset",
+SELECT doc_id, n_tokens, "offset",
   CAST(floor("offset" / {Q.MAX_SEQ_LEN}) AS BIGINT) AS first_block,
   CAST(floor(("offset" + n_tokens - 1) / {Q.MAX_SEQ_LEN}) AS BIGINT) AS last_block FROM o""",
         "pack_contents": f"""WITH {_PACKED},
-t AS (SELECT shard, "offset" + unnest(range(len(toks))) AS g, unnest(toks) AS tok FROM o)
-SELECT shard, CAST(floor(g / {Q.MAX_SEQ_LEN}) AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n_tokens,
-  string_agg(tok, ' ' ORDER BY g) AS tokens FROM t GROUP BY 1, 2""",
+t AS (SELECT "offset" + unnest(range(len(toks))) AS g, unnest(toks) AS tok FROM o)
+SELECT CAST(floor(g / {Q.MAX_SEQ_LEN}) AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n_tokens,
+  string_agg(tok, ' ' ORDER BY g) AS tokens FROM t GROUP BY 1""",
         "doc_content": _doc_content(),
         "bm25_stats": f"""WITH {BM25_BASE}
 SELECT token, df, round(ln((s.n + 1.0) / (df + 0.5)), 6) AS idf FROM tdf CROSS JOIN stats s""",
         "bm25_topk": f"WITH {BM25_BASE},\n{_bm25_scores(QUERIES_ALL)}\n{_topk('sc')}",
         "dense_topk": f"WITH {_dense()}\n{_topk('ds')}",
+        "cell_search": f"WITH {_dense()}\n{_topk('ds')}",
         "filtered_search": f"""WITH {BM25_BASE},
 {_bm25_scores(QUERIES_ALL)},
 ok AS (SELECT doc_id AS id FROM documents WHERE lang IN ('en', 'de') AND n_chars <= 20000),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.functions import codes, predicates as P, text as X
-from lexiforge.operators import batches, corpus, lookup, postings, qa, retrieval
+from lexiforge.operators import batches, cells, corpus, lookup, postings, qa, retrieval
 from lexiforge.operators.canonical import aggregate_rulings
 from lexiforge.operators.fuzzy import fuzzy_best_match
 from lexiforge.operators.nest import nest_combos
@@ -21,8 +21,6 @@ from lexiforge.session import ensure_checkpoint_dir
 from lexiforge.versions import new_folder
 
 MAX_SEQ_LEN = 1024        # sequence length of the smaller training recipes
-PACK_DOCS = 100_000       # documents per packing shard, so shards grow with the table
-MIN_PACK_SHARDS = 16
 TOP_K = 10
 SEARCH_FILTERS = {"lang": ["en", "de"], "n_chars": {"$lte": 20000}}
 
@@ -247,23 +245,24 @@ def q_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return corpus.hash_split(c, "conv_id").select("conv_id", "turn", "split")
 
 
-def _pack_shards(docs: DataFrame) -> int:
-    return max(MIN_PACK_SHARDS, -(-docs.count() // PACK_DOCS))
+def q_exact_split(spark: SparkSession, d: str) -> DataFrame:
+    c = A.table(spark, d, "conversations")
+    return corpus.exact_split(c, "conv_id").select("conv_id", "turn", "split")
 
 
 def q_pack_sequences(spark: SparkSession, d: str) -> DataFrame:
     docs = A.table(spark, d, "documents")
     lengths = docs.select(
         "doc_id", (F.coalesce(F.size(X.word_tokens("text")), F.lit(0)) + 1).cast("bigint").alias("n_tokens"))
-    return corpus.pack_offsets(lengths, "n_tokens", "doc_id", MAX_SEQ_LEN, _pack_shards(docs)).select(
-        "doc_id", "shard", "n_tokens", "offset", "first_block", "last_block")
+    return corpus.pack_offsets(lengths, "n_tokens", "doc_id", MAX_SEQ_LEN).select(
+        "doc_id", "n_tokens", "offset", "first_block", "last_block")
 
 
 def q_pack_contents(spark: SparkSession, d: str) -> DataFrame:
     docs = A.table(spark, d, "documents")
     toks = docs.select("doc_id", X.word_tokens("text").alias("tokens"))
-    blocks = corpus.pack_blocks(toks, "tokens", "doc_id", MAX_SEQ_LEN, _pack_shards(docs))
-    return blocks.select("shard", "block", F.size("tokens").cast("bigint").alias("n_tokens"),
+    blocks = corpus.pack_blocks(toks, "tokens", "doc_id", MAX_SEQ_LEN)
+    return blocks.select("block", F.size("tokens").cast("bigint").alias("n_tokens"),
                          F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -276,10 +275,9 @@ def q_doc_content(spark: SparkSession, d: str) -> DataFrame:
 
 def q_bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = A.doc_table(spark, d)
-    n_docs, _ = retrieval.corpus_stats(docs)
-    return retrieval.document_frequencies(docs).select(
-        "token", F.col("df").cast("bigint").alias("df"),
-        F.round(retrieval.idf(F.col("df"), n_docs), 6).alias("idf"))
+    n_docs, _, freq = retrieval.corpus_statistics(docs)
+    return freq.select("token", F.col("df").cast("bigint").alias("df"),
+                       F.round(retrieval.idf(F.col("df"), n_docs), 6).alias("idf"))
 
 
 def q_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +290,14 @@ def q_dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
 
 
+def q_cell_search(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors indexed in cells below the shared folder, loaded and searched: equal to ``dense_topk``."""
+    path = new_folder(ensure_checkpoint_dir(spark), "vectors")
+    cells.add_vectors(spark, path, A.vector_table(spark, d))
+    r = cells.search_vectors(cells.load_vector_index(spark, path), A.query_table(spark, d), TOP_K)
+    return r.select("query_id", F.col("rank").cast("bigint").alias("rank"), "id", "score")
+
+
 def q_filtered_search(spark: SparkSession, d: str) -> DataFrame:
     r = retrieval.bm25_scan_search(A.doc_table(spark, d), A.query_table(spark, d), TOP_K,
                                    SEARCH_FILTERS, fields=["lang", "source", "n_chars"])
@@ -394,12 +400,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "response_labels": q_response_labels,
     "marker_tokens": q_marker_tokens,
     "hash_split": q_hash_split,
+    "exact_split": q_exact_split,
     "pack_sequences": q_pack_sequences,
     "pack_contents": q_pack_contents,
     "doc_content": q_doc_content,
     "bm25_stats": q_bm25_stats,
     "bm25_topk": q_bm25_topk,
     "dense_topk": q_dense_topk,
+    "cell_search": q_cell_search,
     "filtered_search": q_filtered_search,
     "hybrid_search": q_hybrid_search,
     "format_results": q_format_results,

@@ -72,18 +72,15 @@ def test_pack_conserves_tokens(spark):
     rows = [(i, [f"t{i}_{j}" for j in range(n)]) for i, n in enumerate([0, 3, 10, 1, 25, 7, 7, 40])]
     docs = spark.createDataFrame(rows, "doc_id long, toks array<string>")
     L = 8
-    blocks = corpus.pack_blocks(docs, "toks", "doc_id", L, shards=3).collect()
+    blocks = corpus.pack_blocks(docs, "toks", "doc_id", L, parts=3).collect()
     assert all(len(b.tokens) <= L for b in blocks)
     flat = Counter(t for b in blocks for t in b.tokens)
     want = Counter(t for _, ts in rows for t in ts)
     want["<|eot_id|>"] = len(rows)
     assert flat == want
-    per_shard = {}
-    for b in blocks:
-        per_shard.setdefault(b.shard, []).append(b)
-    for bs in per_shard.values():                      # only the last block of a shard may be partial
-        bs.sort(key=lambda b: b.block)
-        assert all(len(b.tokens) == L for b in bs[:-1])
+    blocks.sort(key=lambda b: b.block)                 # only the last block may be partial
+    assert [b.block for b in blocks] == list(range(len(blocks)))
+    assert all(len(b.tokens) == L for b in blocks[:-1])
 
 
 def test_prompt_messages(spark):

@@ -7,7 +7,7 @@ from lexiforge.plans import queries as core
 from tests.conftest import SF
 
 # Queries whose operator runs Python by design (Arrow batches, not per row).
-PYTHON_OK = {"dense_topk", "hybrid_search", "format_results", "prompt_messages", "fuzzy_match",
+PYTHON_OK = {"dense_topk", "cell_search", "hybrid_search", "format_results", "prompt_messages", "fuzzy_match",
              "index_search", "prompt_batch", "padded_batches"}
 
 
