@@ -47,7 +47,9 @@ MAX_BROADCAST_QUERIES = 200_000
 #: A batch of at most this many characters travels to the tasks as a token table.
 MAX_BATCH_CHARS = 4_000_000
 #: Scores held at once by a task while it scores one Arrow batch.
-TILE_SCORES = 4_000_000
+TILE_SCORES = 500_000
+#: Tokens of documents that a task looks up at once.
+SLICE_TOKENS = 250_000
 
 
 @dataclass
@@ -220,13 +222,27 @@ def _merge_top(best, new, k: int):
     return _keep_top(*(new if best is None else map(np.concatenate, zip(best, new))), k)
 
 
+def token_slices(lengths: np.ndarray, max_tokens: int, max_rows: int) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the runs that cover all rows, each of at most ``max_rows`` rows and
+    ``max_tokens`` tokens; a longer document is a run of its own."""
+    ends, a = np.cumsum(lengths, dtype=np.int64), 0
+    while a < len(lengths):
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + max_tokens, "right"))
+        b = min(max(b, a + 1), a + max_rows)
+        yield a, b - a
+        a = b
+
+
 def _bm25_topk_fn(vocab: list[str], weights: np.ndarray, first: np.ndarray, token_query: np.ndarray,
                   token_n: np.ndarray, qids: list, qid_type, avg_len: float, k: int):
     """Task body: ``first[t]:first[t + 1]`` are the entries of token ``t`` in
-    ``token_query`` (query numbers) and ``token_n`` (its occurrences there)."""
+    ``token_query`` (query numbers) and ``token_n`` (its occurrences there). Batches are
+    scored in slices of bounded tokens, so a task's memory does not grow with its batches."""
+    words = pa.array(vocab, pa.string())
+
     def score(lists, ids):
         lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        pos = pc.index_in(lists.flatten(), value_set=pa.array(vocab, pa.string()))
+        pos = pc.index_in(lists.flatten(), value_set=words)
         hit = pos.is_valid().to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(lengths)), lengths)[hit]
         tok = pos.drop_null().to_numpy().astype(np.int64)
@@ -256,9 +272,11 @@ def _bm25_topk_fn(vocab: list[str], weights: np.ndarray, first: np.ndarray, toke
         best = id_type = None
         for batch in batches:
             id_type = batch.column("id").type
-            ids = np.asarray(batch.column("id").to_pylist())
-            for new in score(batch.column("_t"), ids):
-                best = _merge_top(best, new, k)
+            ids, lists = np.asarray(batch.column("id").to_pylist()), batch.column("_t")
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for at, n in token_slices(lengths, SLICE_TOKENS, max(len(ids), 1)):
+                for new in score(lists.slice(at, n), ids[at:at + n]):
+                    best = _merge_top(best, new, k)
         if best is not None:
             q, ids, s = best
             yield pa.RecordBatch.from_arrays(
