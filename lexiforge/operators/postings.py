@@ -36,14 +36,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lexiforge.functions.predicates import compile_filters
 from lexiforge.functions.text import word_tokens
 from lexiforge.operators.retrieval import (
-    B, DELTA, K1, MAX_BATCH_CHARS, SCORE_DIGITS, _query_tokens, format_result, top_k,
+    B, DELTA, K1, MAX_BATCH_CHARS, SCORE_DIGITS, _query_tokens, format_result, token_slices, top_k,
 )
 from lexiforge.schemas import DEFAULT_TOP_K
 from lexiforge.session import materialize, ship_by_value
 from lexiforge.versions import new_folder, publish, read_manifest
 
 SHARD_DOCS = 16_384
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
+#: Tokens that are counted at once while a shard is gathered.
+SLICE_TOKENS = 250_000
 BLOCK = 512
 ROW_GROUP_BYTES = 1 << 20
 #: Scores are compared after rounding; bounds leave this much room.
@@ -79,8 +81,10 @@ def _shard_rows(shard: int, ids: list, lens: np.ndarray, tokens: list[str], code
     order = sorted(range(len(tokens)), key=tokens.__getitem__)
     rank = np.empty(len(tokens), np.int64)
     rank[order] = np.arange(len(tokens))
-    by = np.lexsort((doc, rank[code]))
-    rank, doc, tf = rank[code][by], doc[by].astype("<i4"), tf[by].astype("<i4")
+    rank = rank.astype(np.int32)[code]
+    by = np.argsort((rank.astype(np.int64) << 32) | doc)
+    rank, doc, tf = rank[by], doc[by].astype("<i4", copy=False), tf[by].astype("<i4", copy=False)
+    del by
     token_start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
     within = np.arange(len(rank)) - np.repeat(token_start, np.diff(np.r_[token_start, len(rank)]))
     start = np.flatnonzero(within % block == 0)
@@ -103,18 +107,20 @@ def _shard_rows(shard: int, ids: list, lens: np.ndarray, tokens: list[str], code
 def _build_fn(id_type: pa.DataType, shard_docs: int, shard_tokens: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        part, seq, step = TaskContext.get().partitionId(), 0, min(1024, shard_docs)
+        part, seq = TaskContext.get().partitionId(), 0
         vocab: dict[str, int] = {}
         ids, lens, rows, held = [], [], [], 0
 
         def shard():
-            code, doc, tf = (np.concatenate(x) if rows else np.zeros(0, np.int64) for x in
+            code, doc, tf = (np.concatenate(x) if rows else np.zeros(0, np.int32) for x in
                              (zip(*rows) if rows else ([], [], [])))
+            rows.clear()
             yield from _shard_rows((part << 24) + seq, ids, np.concatenate(lens), list(vocab), code, doc, tf, id_type, block)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                b = batch.slice(at, step)
+            lengths = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for at, count in token_slices(lengths, SLICE_TOKENS, min(1024, shard_docs)):
+                b = batch.slice(at, count)
                 lists = b.column(1)
                 n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 if ids and (len(ids) + b.num_rows > shard_docs or held + n.sum() > shard_tokens):
@@ -125,7 +131,7 @@ def _build_fn(id_type: pa.DataType, shard_docs: int, shard_tokens: int, block: i
                 if len(flat):
                     local = own[flat.indices.to_numpy()]
                     key, tf = np.unique((np.repeat(np.arange(b.num_rows), n) << 32) + local, return_counts=True)
-                    rows.append((key & 0xFFFFFFFF, (key >> 32) + len(ids), tf))
+                    rows.append(((key & 0xFFFFFFFF).astype(np.int32), ((key >> 32) + len(ids)).astype(np.int32), tf.astype(np.int32)))
                 ids += b.column(0).to_pylist()
                 lens.append(n)
                 held += int(n.sum())

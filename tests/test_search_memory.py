@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from lexiforge.operators import postings
 from lexiforge.operators.retrieval import _bm25_topk_fn, token_slices
 
 
@@ -34,3 +35,18 @@ def test_bm25_scan_holds_a_slice_of_a_large_batch():
     assert peak < 60e6
     parts = list(_bm25_topk_fn(*args)(iter([batch.slice(a, 100) for a in range(0, 8000, 100)])))
     assert [b.to_pydict() for b in whole] == [b.to_pydict() for b in parts]
+
+
+def test_shard_rows_hold_little_per_posting():
+    n = 1_000_000
+    rng = np.random.default_rng(2)
+    code, doc, tf = (rng.integers(0, m, n).astype(np.int32) for m in (500, 4000, 9))
+    lens = np.full(4000, 250)
+    tokens = [f"t{i}" for i in range(500)]
+    rows = postings._shard_rows(0, list(range(4000)), lens, tokens, code, doc, tf, pa.int64(), 512)
+    next(rows)
+    tracemalloc.start()
+    got = sum(sum(b.column(3).to_pylist()) for b in rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == n and peak < 35 * n
