@@ -3,14 +3,14 @@ J-3, A-3, A-5, A-6).
 
 Shredding is three ``posexplode``s over one source; the position is carried
 so re-assembly can restore source order (a collected list has no guaranteed
-order). Re-assembly groups each child table by ``combo_id``; all three
-aggregates come out hash-partitioned on ``combo_id``, so the joins back to the
-header reuse that partitioning instead of shuffling again.
+order). Re-assembly groups the header and the child rows by ``combo_id`` in one
+aggregate, which moves a row per combo and file and needs no join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,28 +94,29 @@ def shred_variants(variants: DataFrame) -> ComboTables:
     return ComboTables(combos, cards, requires, features)
 
 
-def _ordered(df: DataFrame, name: str) -> DataFrame:
-    """Group a child table by combo, as an array sorted by source position."""
-    payload = [c for c in df.columns if c != "combo_id"]  # 'pos' first => sort key
-    return df.groupBy("combo_id").agg(
-        F.array_sort(F.collect_list(F.struct(*payload))).alias(name))
-
-
-def nest_combos(t: ComboTables) -> DataFrame:
-    """J-3: header + ordered ``cards`` / ``features`` / ``requires`` arrays.
+def nest_combos(t: ComboTables, parts: tuple[str, ...] = ("cards", "features", "requires")) -> DataFrame:
+    """J-3: header + ordered arrays of the child tables ``parts``.
 
     Combos without cards or features get empty arrays; without requires, null
-    (requires are optional in the source model).
+    (requires are optional in the source model). Header and child rows share one
+    grouping; a header row without an id, or with one that repeats, stays a row.
     """
-    empty = lambda name, df: F.coalesce(
-        F.col(name), F.array().cast(f"array<struct<{_ddl(df)}>>"))
-    cards = _ordered(t.cards, "cards")
-    feats = _ordered(t.features, "features")
-    reqs = _ordered(t.requires, "requires")
-    return (t.combos.join(cards, "combo_id", "left").join(feats, "combo_id", "left")
-            .join(reqs, "combo_id", "left")
-            .withColumn("cards", empty("cards", t.cards))
-            .withColumn("features", empty("features", t.features)))
+    children = {p: getattr(t, p) for p in parts}
+    tables = {"_head": t.combos, **{p: c.where(F.col("combo_id").isNotNull()) for p, c in children.items()}}
+
+    def tagged(own: str) -> DataFrame:
+        payload = lambda df: F.struct(*[c for c in df.columns if c != "combo_id"])
+        return tables[own].select("combo_id", *[
+            (payload(df) if name == own else F.lit(None).cast(f"struct<{_ddl(df)}>")).alias(name)
+            for name, df in tables.items()])
+
+    rows = reduce(DataFrame.unionByName, map(tagged, tables))
+    lists = {p: F.sort_array(F.collect_list(p)) for p in parts}     # 'pos' first => sort key
+    if "requires" in lists:
+        lists["requires"] = F.when(F.size(lists["requires"]) > 0, lists["requires"])
+    return (rows.groupBy("combo_id").agg(F.collect_list("_head").alias("_heads"), *[c.alias(p) for p, c in lists.items()])
+            .select("combo_id", F.explode("_heads").alias("_head"), *parts)
+            .select("combo_id", *[F.col("_head")[c].alias(c) for c in t.combos.columns if c != "combo_id"], *parts))
 
 
 def _ddl(df: DataFrame) -> str:

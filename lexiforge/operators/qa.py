@@ -183,7 +183,12 @@ def combo_pairs(t: ComboTables, markers: bool = True,
     mk = (lambda i: F.lit(MARKERS[i])) if markers else (lambda i: F.lit(""))
     end_steps, end_result, end_prereq, start, end_combo = (mk(i) for i in range(5))
 
-    nested = nest_combos(t)
+    # Only the fields the texts hold, and those that order them, travel through the grouping.
+    nested = nest_combos(ComboTables(
+        t.combos.select("combo_id", "identity", "manaNeeded", "steps", "otherPrerequisites"),
+        t.cards.select("combo_id", "pos", "card_id", "card_name", "zone_locations"),
+        t.requires,
+        t.features.select("combo_id", "pos", "feature_id", "feature_name")), ("cards", "features"))
     of_combo = (F.lit(" in combo "), F.col("combo_id"))
     card_name = lambda c: needed(c["card_name"], F.lit("null card name"), *of_combo)
     names = F.array_join(F.transform("cards", card_name), ", ")
@@ -194,34 +199,40 @@ def combo_pairs(t: ComboTables, markers: bool = True,
     steps = F.coalesce(ordinal_lines("steps", start=1, indent="  "), F.lit(""))
     phrase = lambda z: needed(F.try_element_at(zmap, z), F.lit("unknown zone code "), z, *of_combo)
 
+    # Texts that are used twice are columns of a projection of their own, computed once.
+    zone_tuples = F.array_distinct(F.transform("cards", lambda c: c["zone_locations"]))
+    made = nested.select(
+        "combo_id", "identity", "manaNeeded", "otherPrerequisites", "cards", names.alias("_names"),
+        feats.alias("_feats"), steps.alias("_steps"), zone_tuples.alias("_zones"))
+
     # P-18: one distinct zone tuple -> one line using its first zone only;
     # otherwise one line per card with its zones joined by " or ".
-    zone_tuples = F.array_distinct(F.transform("cards", lambda c: c["zone_locations"]))
-    single = F.array(F.concat(F.lit(COMBO_ALL_ZONE), phrase(F.get(F.get(zone_tuples, 0), 0))))
+    single = F.array(F.concat(F.lit(COMBO_ALL_ZONE), phrase(F.get(F.get(F.col("_zones"), 0), 0))))
     per_card = F.transform("cards", lambda c: F.concat(
         F.lit("  - "), card_name(c), F.lit(" must be "),
         F.array_join(F.transform(needed(c["zone_locations"], F.lit("null zones"), *of_combo), phrase), " or ")))
-    zone_lines = (F.when(F.size(zone_tuples) == 1, single)
+    zone_lines = (F.when(F.size("_zones") == 1, single)
                   .when(F.size(F.col("cards")) == 0, F.array().cast("array<string>"))
                   .otherwise(per_card))
     other = F.transform(F.coalesce(split_lines("otherPrerequisites"), F.array().cast("array<string>")),
                         lambda x: F.concat(F.lit("  - "), x))
-    prereq = F.concat(zone_lines, other)
+    made = made.select("combo_id", "identity", "manaNeeded", "_names", "_feats", "_steps",
+                       F.concat(zone_lines, other).alias("_prereq"))
     prereq_text = F.when(
-        F.size(prereq) > 0,
-        F.concat(F.lit("\n\n" + COMBO_PREREQ), F.array_join(prereq, "\n"), F.lit("\n"), end_prereq)
+        F.size("_prereq") > 0,
+        F.concat(F.lit("\n\n" + COMBO_PREREQ), F.array_join("_prereq", "\n"), F.lit("\n"), end_prereq)
         if markers else
-        F.concat(F.lit("\n\n" + COMBO_PREREQ), F.array_join(prereq, "\n"))).otherwise(F.lit(""))
+        F.concat(F.lit("\n\n" + COMBO_PREREQ), F.array_join("_prereq", "\n"))).otherwise(F.lit(""))
 
     answer = F.concat(
-        start, F.lit(COMBO_FORMED), names, F.lit("\n\n"),
+        start, F.lit(COMBO_FORMED), F.col("_names"), F.lit("\n\n"),
         F.lit(COMBO_IDENTITY), F.coalesce(F.col("identity"), F.lit("")), F.lit("\n"),
         F.lit(COMBO_MANA), F.coalesce(F.col("manaNeeded"), F.lit("")), F.lit("\n"),
-        F.lit(COMBO_STEPS), steps, end_steps, F.lit("\n\n"),
-        F.lit(COMBO_RESULT), feats, end_result, end_combo, prereq_text)
-    question = render(QUESTIONS["combo"][0], value=names)
-    return nested.select("combo_id", F.lit("combo").alias("builder"),
-                         question.alias("question"), answer.alias("answer"))
+        F.lit(COMBO_STEPS), F.col("_steps"), end_steps, F.lit("\n\n"),
+        F.lit(COMBO_RESULT), F.col("_feats"), end_result, end_combo, prereq_text)
+    question = render(QUESTIONS["combo"][0], value=F.col("_names"))
+    return made.select("combo_id", F.lit("combo").alias("builder"),
+                       question.alias("question"), answer.alias("answer"))
 
 
 # --- registry (X-1) and corpus build (U-1, X-2) -----------------------------

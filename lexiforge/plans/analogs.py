@@ -137,7 +137,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     # collect_list reduces nothing map-side, so hash the lines by order first:
     # same shuffle volume, and the lists are built in parallel reduce tasks.
     per_order = (lines.select("l_orderkey", flat.alias("l")).repartition("l_orderkey")
-                 .groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("ls")))
+                 .groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l")).alias("ls")))
     v = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
     ls = F.coalesce(F.col("ls"), F.array().cast(per_order.schema["ls"].dataType))
     none = F.lit(None).cast("string")
