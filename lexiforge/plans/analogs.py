@@ -120,77 +120,77 @@ def cards(spark: SparkSession, sf_dir: str, compat: bool = False, persist: bool
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested variant row per order (the shape of the combo JSON).
 
-    Lines travel as flat structs and are grouped per order first; the nested
-    use / require / produce structs are built afterwards, per order, by the
-    parallel reducers rather than in the scan tasks.
+    Orders and lines share one grouping, so no join sorts the grouped lines. The
+    nested use / require / produce structs are zipped per order from the fields of
+    its lines: that compiles, where a ``transform`` to structs is interpreted.
     """
     o = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey").isNotNull())
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    lines = li.join(p, li.l_partkey == p.p_partkey, "inner")
     # line order: (linenumber, partkey, suppkey, quantity, price) is a total order
-    flat = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"),
-                    F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"),
-                    F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
-                    F.col("l_linestatus").alias("status"), F.col("p_name").alias("pname"),
-                    F.col("p_type").alias("ptype"))
-    # collect_list reduces nothing map-side, so hash the lines by order first:
+    lines = li.join(p, li.l_partkey == p.p_partkey, "inner").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.struct(
+            F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("pk"),
+            F.col("l_suppkey").alias("supp"), F.col("l_quantity").alias("qty"),
+            F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
+            F.col("l_linestatus").alias("status"), F.col("p_name").alias("pname"),
+            F.col("p_type").alias("ptype")).alias("l"))
+    heads = o.select("o_orderkey", F.struct("o_orderpriority", "o_orderstatus").alias("o"))
+    # collect_list reduces nothing map-side, so hash the rows by order first:
     # same shuffle volume, and the lists are built in parallel reduce tasks.
-    per_order = (lines.select("l_orderkey", flat.alias("l")).repartition("l_orderkey")
-                 .groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l")).alias("ls")))
-    v = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
-    ls = F.coalesce(F.col("ls"), F.array().cast(per_order.schema["ls"].dataType))
-    none = F.lit(None).cast("string")
+    rows = heads.unionByName(lines, allowMissingColumns=True).repartition("o_orderkey")
+    v = (rows.groupBy("o_orderkey")
+         .agg(F.collect_list("o").alias("os"), F.sort_array(F.collect_list("l")).alias("ls"))
+         .select("o_orderkey", F.explode("os").alias("o"), "ls")
+         .select("o_orderkey", "o.*", "ls", F.filter("ls", lambda x: x["status"] == "O").alias("rs")))
+    zones = F.transform("ls.flag", lambda x: F.when(x == "R", F.array(F.lit("B")))
+                        .when(x == "A", F.array(F.lit("G"), F.lit("E"))).otherwise(F.array(F.lit("H"))))
+    feature = F.transform("ls.n", lambda n: F.when(n % 3 == 0, F.lit("Infinite ETB"))
+                          .when(n % 3 == 1, F.lit("Infinite LTB")).otherwise(F.lit("ETB then LTB")))
+    steps = F.transform("ls", lambda x: F.concat(F.lit("Use "), x["pname"], F.lit(" x"), x["qty"].cast("int").cast("string")))
+
+    def zipped(fields: dict[str, Column]) -> Column:
+        """Arrays of one value a line as one array of structs."""
+        return F.arrays_zip(*[c.alias(name) for name, c in fields.items()])
+
+    def every(lines: str, value: Column) -> Column:
+        return F.array_repeat(value, F.size(lines))
 
-    def use(x):
-        zone = (F.when(x["flag"] == "R", F.array(F.lit("B")))
-                 .when(x["flag"] == "A", F.array(F.lit("G"), F.lit("E")))
-                 .otherwise(F.array(F.lit("H"))))
-        return F.struct(
-            F.struct(x["pk"].cast("string").alias("oracleId"), x["pname"].alias("name")).alias("card"),
-            zone.alias("zoneLocations"), F.lit("tapped").alias("battlefieldCardState"),
-            none.alias("exileCardState"), none.alias("libraryCardState"),
-            (x["n"] == 1).alias("mustBeCommander"), x["qty"].cast("int").alias("quantity"))
-
-    def req(x):
-        return F.when(x["status"] == "O", F.struct(
-            F.struct(x["n"].cast("bigint").alias("id"),
-                     F.concat(F.lit("Any "), x["ptype"]).alias("name")).alias("template"),
-            F.array(F.lit("B")).alias("zoneLocations"), none.alias("battlefieldCardState"),
-            none.alias("exileCardState"), none.alias("libraryCardState"),
-            none.alias("graveyardCardState"), F.lit(False).alias("mustBeCommander"),
-            F.lit(1).alias("quantity")))
-
-    def prod(x):
-        n = x["n"]
-        return F.struct(
-            F.struct(n.cast("bigint").alias("id"),
-                     F.when(n % 3 == 0, F.lit("Infinite ETB"))
-                      .when(n % 3 == 1, F.lit("Infinite LTB"))
-                      .otherwise(F.lit("ETB then LTB")).alias("name"),
-                     (n % 2 == 0).alias("uncountable")).alias("feature"),
-            x["qty"].cast("int").alias("quantity"))
-
-    def step(x):
-        return F.concat(F.lit("Use "), x["pname"], F.lit(" x"), x["qty"].cast("int").cast("string"))
+    none = F.lit(None).cast("string")
+    states = lambda lines, *names: {f"{x}CardState": every(lines, none) for x in names}
+    uses = zipped({
+        "card": zipped({"oracleId": F.col("ls.pk").cast("array<string>"), "name": F.col("ls.pname")}),
+        "zoneLocations": zones, "battlefieldCardState": every("ls", F.lit("tapped")),
+        **states("ls", "exile", "library"),
+        "mustBeCommander": F.transform("ls.n", lambda n: n == 1), "quantity": F.col("ls.qty").cast("array<int>")})
+    requires = zipped({
+        "template": zipped({"id": F.col("rs.n").cast("array<bigint>"),
+                            "name": F.transform("rs.ptype", lambda x: F.concat(F.lit("Any "), x))}),
+        "zoneLocations": every("rs", F.array(F.lit("B"))),
+        **states("rs", "battlefield", "exile", "library", "graveyard"),
+        "mustBeCommander": every("rs", F.lit(False)), "quantity": every("rs", F.lit(1))})
+    produces = zipped({
+        "feature": zipped({"id": F.col("ls.n").cast("array<bigint>"), "name": feature,
+                           "uncountable": F.transform("ls.n", lambda n: n % 2 == 0)}),
+        "quantity": F.col("ls.qty").cast("array<int>")})
 
     return v.select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.col("o_orderpriority").alias("manaNeeded"),
-        F.size(ls).alias("manaValueNeeded"),
+        F.size("ls").alias("manaValueNeeded"),
         F.col("o_orderstatus").alias("identity"),
-        F.size(ls).alias("variantCount"),
+        F.size("ls").alias("variantCount"),
         F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("Keep priority "), F.col("o_orderpriority")))
          .when(F.col("o_orderstatus") == "P",
                F.concat(F.lit("Hold two mana open\nPriority "), F.col("o_orderpriority")))
          .alias("otherPrerequisites"),
-        F.when(F.size(ls) > 0, F.array_join(F.transform(ls, step), "\n")).alias("description"),
+        F.when(F.size("ls") > 0, F.array_join(steps, "\n")).alias("description"),
         F.lit("").alias("notes"),
-        F.transform(ls, lambda x: F.struct(x["supp"].alias("id"))).alias("of"),
-        F.transform(ls, lambda x: F.struct(x["pk"].alias("id"))).alias("includes"),
-        F.transform(ls, use).alias("uses"),
-        F.filter(F.transform(ls, req), lambda r: r.isNotNull()).alias("requires"),
-        F.transform(ls, prod).alias("produces"),
+        zipped({"id": F.col("ls.supp")}).alias("of"),
+        zipped({"id": F.col("ls.pk")}).alias("includes"),
+        uses.alias("uses"),
+        requires.alias("requires"),
+        produces.alias("produces"),
     )
 
 
