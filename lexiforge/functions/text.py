@@ -37,14 +37,20 @@ def face_name(name: Column | str, side: Column | str) -> Column:
 # Line boundaries of Python's str.splitlines, as a Java regex class.
 _BREAK_CLASS = "\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029"
 LINE_BREAK = f"\\r\\n|[{_BREAK_CLASS}]"
+_OTHER_BREAK = f"[{_BREAK_CLASS.removeprefix(chr(92) + 'n')}]"
 
 
 def split_lines(col: Column | str) -> Column:
     """Split into lines like ``str.splitlines()`` (P-16): one trailing break is
     dropped, ``""`` gives ``[]``, ``\\r\\n`` counts once; null stays null."""
     c = _c(col)
-    body = F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK))
+    # Only a text that ends in a break is rewritten, and one whose breaks are all \\n is
+    # split at that character, for which no pattern is compiled per row.
+    body = (F.when(F.right(c, F.lit(1)).rlike(f"[{_BREAK_CLASS}]"), F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", ""))
+             .otherwise(c))
+    return (F.when(c == "", F.array().cast("array<string>"))
+             .when(c.rlike(_OTHER_BREAK), F.split(body, LINE_BREAK))
+             .otherwise(F.split(body, "\n")))
 
 
 def ordinal_lines(col: Column | str, start: int = 0, indent: str = "") -> Column:

@@ -200,7 +200,7 @@ def combo_pairs(t: ComboTables, markers: bool = True,
     phrase = lambda z: needed(F.try_element_at(zmap, z), F.lit("unknown zone code "), z, *of_combo)
 
     # Texts that are used twice are columns of a projection of their own, computed once.
-    zone_tuples = F.array_distinct(F.transform("cards", lambda c: c["zone_locations"]))
+    zone_tuples = F.array_distinct("cards.zone_locations")
     made = nested.select(
         "combo_id", "identity", "manaNeeded", "otherPrerequisites", "cards", names.alias("_names"),
         feats.alias("_feats"), steps.alias("_steps"), zone_tuples.alias("_zones"))
