@@ -135,14 +135,18 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"),
             F.col("l_linestatus").alias("status"), F.col("p_name").alias("pname"),
             F.col("p_type").alias("ptype")).alias("l"))
-    heads = o.select("o_orderkey", F.struct("o_orderpriority", "o_orderstatus").alias("o"))
+    heads = o.where(F.col("o_orderkey").isNotNull()).select(
+        "o_orderkey", F.struct("o_orderpriority", "o_orderstatus").alias("o"))
     # collect_list reduces nothing map-side, so hash the rows by order first:
     # same shuffle volume, and the lists are built in parallel reduce tasks.
     rows = heads.unionByName(lines, allowMissingColumns=True).repartition("o_orderkey")
     v = (rows.groupBy("o_orderkey")
          .agg(F.collect_list("o").alias("os"), F.sort_array(F.collect_list("l")).alias("ls"))
-         .select("o_orderkey", F.explode("os").alias("o"), "ls")
-         .select("o_orderkey", "o.*", "ls", F.filter("ls", lambda x: x["status"] == "O").alias("rs")))
+         .select("o_orderkey", F.explode("os").alias("o"), "ls").select("o_orderkey", "o.*", "ls"))
+    # orders without a key have no lines and pass beside the grouping, not as one group
+    v = v.unionByName(o.where(F.col("o_orderkey").isNull()).select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", F.array().cast(v.schema["ls"].dataType).alias("ls")))
+    v = v.withColumn("rs", F.filter("ls", lambda x: x["status"] == "O"))
     zones = F.transform("ls.flag", lambda x: F.when(x == "R", F.array(F.lit("B")))
                         .when(x == "A", F.array(F.lit("G"), F.lit("E"))).otherwise(F.array(F.lit("H"))))
     feature = F.transform("ls.n", lambda n: F.when(n % 3 == 0, F.lit("Infinite ETB"))

@@ -47,6 +47,11 @@ def test_one_join_and_no_interpreted_structs(spark, tmp_dir):
     assert plan.count("Join ") == 1 and "lambdafunction(named_struct" not in plan and "lambdafunction(struct" not in plan
 
 
+def test_orders_without_a_key_pass_beside_the_grouping(spark, tmp_dir):
+    plan = write(spark, tmp_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(o_orderkey" in plan and "isnotnull(o_orderkey" in plan.split("Aggregate")[1]
+
+
 def test_lines_split_like_python(spark):
     breaks = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " "]
     texts = ["", "a", "\n\n", "\n\r", "a\r\r\n", "\r\r\n\n", "a\nb", "a\nb\n\n", None]
